@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, sharding
-from corpusloom.llm._common import documents
+from corpusloom.llm import exact_dedup, quality, sharding, toxicity
+from corpusloom.llm._common import documents, labels
+
+
+def op1_classifier_chain(spark, sf_dir):
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op2_risk_controlled_rules(spark, sf_dir):
+    return quality.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op4_lpt_shards(spark, sf_dir):
@@ -14,6 +22,6 @@ def op6_chunk_recipes(spark, sf_dir):
     return exact_dedup.deduplicate(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_lpt_shards, op6_chunk_recipes)}
+QUERIES = {f.__name__: f for f in (op1_classifier_chain, op2_risk_controlled_rules, op4_lpt_shards, op6_chunk_recipes)}
 
 ORACLES = {"op6_chunk_recipes": exact_dedup.ORACLE}
