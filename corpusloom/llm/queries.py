@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, quality, sharding, toxicity
+import public_tokenizers
+
+from corpusloom.llm import bpe, exact_dedup, pii, quality, sharding, toxicity
 from corpusloom.llm._common import documents, labels
 
 
@@ -14,6 +16,10 @@ def op2_risk_controlled_rules(spark, sf_dir):
     return quality.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op3_weak_supervision(spark, sf_dir):
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
 def op4_lpt_shards(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -22,6 +28,10 @@ def op6_chunk_recipes(spark, sf_dir):
     return exact_dedup.deduplicate(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_classifier_chain, op2_risk_controlled_rules, op4_lpt_shards, op6_chunk_recipes)}
+def op9_two_tier_bpe(spark, sf_dir):
+    return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_classifier_chain, op2_risk_controlled_rules, op3_weak_supervision, op4_lpt_shards, op6_chunk_recipes, op9_two_tier_bpe)}
 
 ORACLES = {"op6_chunk_recipes": exact_dedup.ORACLE}
