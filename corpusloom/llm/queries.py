@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from corpusloom.llm import bpe, exact_dedup, pii, quality, sharding, toxicity
+from corpusloom.llm import bpe, exact_dedup, packing, pii, quality, sharding, token_counts, toxicity
 from corpusloom.llm._common import documents, labels
 
 
@@ -24,14 +24,22 @@ def op4_lpt_shards(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op5_retrieval_packing(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_chunk_recipes(spark, sf_dir):
     return exact_dedup.deduplicate(documents(spark, sf_dir))
 
 
+def op8_separator_scan(spark, sf_dir):
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_two_tier_bpe(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_classifier_chain, op2_risk_controlled_rules, op3_weak_supervision, op4_lpt_shards, op6_chunk_recipes, op9_two_tier_bpe)}
+QUERIES = {f.__name__: f for f in (op1_classifier_chain, op2_risk_controlled_rules, op3_weak_supervision, op4_lpt_shards, op5_retrieval_packing, op6_chunk_recipes, op8_separator_scan, op9_two_tier_bpe)}
 
 ORACLES = {"op6_chunk_recipes": exact_dedup.ORACLE}
