@@ -62,6 +62,13 @@ def deduplicate(docs: DataFrame, lo: int = MIN_CHARS, hi: int = MAX_CHARS) -> Da
     )
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that `deduplicate` keeps, with all their columns. Rows without doc_id have no place in the
+    order of doc_ids and stay."""
+    dropped = deduplicate(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 ORACLE = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

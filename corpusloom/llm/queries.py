@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from corpusloom.llm import bpe, exact_dedup, jaccard, packing, pii, quality, sharding, token_counts, toxicity
+from corpusloom.llm import bpe, exact_dedup, jaccard, packing, pii, quality, sharding, suffix_dedup, token_counts, toxicity
 from corpusloom.llm._common import documents, labels
 
 
@@ -32,6 +32,10 @@ def op6_chunk_recipes(spark, sf_dir):
     return exact_dedup.deduplicate(documents(spark, sf_dir))
 
 
+def op7_cover_suffixes(spark, sf_dir):
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op8_separator_scan(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -44,6 +48,6 @@ def op10_token_group_join(spark, sf_dir):
     return jaccard.join_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_classifier_chain, op2_risk_controlled_rules, op3_weak_supervision, op4_lpt_shards, op5_retrieval_packing, op6_chunk_recipes, op8_separator_scan, op9_two_tier_bpe, op10_token_group_join)}
+QUERIES = {f.__name__: f for f in (op1_classifier_chain, op2_risk_controlled_rules, op3_weak_supervision, op4_lpt_shards, op5_retrieval_packing, op6_chunk_recipes, op7_cover_suffixes, op8_separator_scan, op9_two_tier_bpe, op10_token_group_join)}
 
 ORACLES = {"op6_chunk_recipes": exact_dedup.ORACLE}
