@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES: list[str] = []
+FAMILIES: list[str] = ["retrieval"]
 
 
 def _modules():
