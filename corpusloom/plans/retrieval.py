@@ -169,12 +169,12 @@ def carry_over_pool(spark, sf_dir):
     return R.carried_over(ranked, known, "query_id", "vec_id")
 
 
-@fam.query("SELECT vec_id, label, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) BETWEEN 0.999 AND 1.001 AS unit, len(embedding)::INT AS dims FROM embeddings WHERE vec_id % 7 IN (0, 3)")
+@fam.query("SELECT vec_id, label, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) BETWEEN 0.999 AND 1.001 AS unit, len(embedding)::INT AS dims FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def vectors_by_key(spark, sf_dir):
     from corpusloom.functions.vectors import dot
 
     e = table(spark, sf_dir, "embeddings")
-    keys = e.select(F.col("vec_id")).filter("vec_id % 7 IN (0, 3)")
+    keys = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("vec_id"))
     return e.join(keys, "vec_id", "left_semi").select("vec_id", "label", dot(F.col("embedding"), F.col("embedding")).between(0.999, 1.001).alias("unit"), F.size("embedding").alias("dims"))
 
 
