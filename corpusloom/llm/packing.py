@@ -37,6 +37,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _LETTERS, _NUMERALS, _SPACES = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\x09-\x0d\x20\x85\xa0"
 _PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + _LETTERS + rb"]+|[" + _NUMERALS + rb"]|[^" + _SPACES + _LETTERS + _NUMERALS + rb"]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 or (0xC0 <= c <= 0xDE and c != 0xD7) else c for c in range(256))
+#: The byte-level alphabet: printable Latin-1 stands for itself, every other byte for the next character from 256 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELLED = dict(zip((b for b in range(256) if b not in _PLAIN), range(256, 512), strict=False))
 _BUILT: dict = {}
 
 
@@ -47,6 +50,7 @@ class WordIds:
     def __init__(self, data: bytes):
         self.tokenizer = Tokenizer.from_buffer(data)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model  # merges one pre-token, spelled in the byte-level alphabet
         self.known: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -60,11 +64,9 @@ class WordIds:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        new = list({w for ws in words if ws for w in ws if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("latin-1") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u2").tobytes()
+        for word in {w for ws in words if ws for w in ws if w not in known}:
+            spelled = word.decode("ascii") if word.isalnum() else word.decode("latin-1").encode().decode("latin-1").translate(_SPELLED)
+            known[word] = np.array([t.id for t in self.model.tokenize(spelled)], "<u2").tobytes()
         return [b"".join([known[w] for w in ws]) if ws is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for ws, t in zip(words, texts, strict=True)]
 
 
