@@ -1 +1 @@
-
+"""Structured Streaming forms of the windowed and stateful operators."""
