@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES: list[str] = ["retrieval", "evaluation", "cleaning", "ingest", "state", "text", "sources", "streams"]
+FAMILIES: list[str] = ["retrieval", "evaluation", "cleaning", "ingest", "state", "text", "sources", "streams", "composites", "star"]
 
 
 def _modules():
