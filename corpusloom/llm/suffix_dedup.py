@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import discard, release, staged, text_or_empty
+from corpusloom.llm.packets import NAMES as PACKET_NAMES
+from corpusloom.llm.packets import PACKET, packed, regrouped
 
 WIDTH = 50
 GRAM = 20
 PERIOD = 8
 SLICE = 2000
-DOCS_PER_BUCKET = 8000
+DOCS_PER_BUCKET = 2000
 RUN = 64
 BLOCK = 300_000
 _LOW = np.uint64((1 << 48) - 1)
@@ -92,7 +94,7 @@ ANCHORS = "bucket int, docs binary, keys binary, ord binary, hi binary, lo binar
 def anchor_messages(docs: DataFrame, buckets: int) -> DataFrame:
     """Distinct anchors of each text of a slice, packed by bucket; equal texts of a slice go once."""
 
-    def packed(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
+    def sliced(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
         own: dict[bytes, tuple[int, np.ndarray]] = {}
         for i, t in zip(ids, texts, strict=True):
             raw = (t or "").encode("utf-8", "surrogatepass")
@@ -111,38 +113,36 @@ def anchor_messages(docs: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(bucket, kind="stable")
         values, ord_ = values[order] & _LOW, ord_[order]
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        names, keys = np.array([i for i, _ in own.values()], "<i8").tobytes(), b"".join(own)
+        names, keys = np.array([i for i, _ in own.values()], "<i8"), np.frombuffer(b"".join(own), "V16")
         for b in range(buckets):
             if ends[b] < ends[b + 1]:
                 s = slice(ends[b], ends[b + 1])
-                cells = [names, keys, ord_[s].tobytes(), (values[s] >> np.uint64(32)).astype("<u2").tobytes(), values[s].astype("<u4").tobytes()]
+                here, at = np.unique(ord_[s], return_inverse=True)
+                cells = [names[here].tobytes(), keys[here].tobytes(), at.astype("<u2").tobytes(), (values[s] >> np.uint64(32)).astype("<u2").tobytes(), values[s].astype("<u4").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], names=[c.split()[0] for c in ANCHORS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                yield from packed(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
+                yield from sliced(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
 
     return docs.mapInArrow(run, ANCHORS)
 
 
-def shared_anchors(table: pa.Table) -> pa.Table:
-    """Of one bucket: for the first document of each text, its anchors that other texts hold too."""
-    docs, keys, values = [], [], []
-    for r in range(table.num_rows):
-        ord_ = np.frombuffer(table["ord"][r].as_buffer(), "<u2")
-        docs.append(np.frombuffer(table["docs"][r].as_buffer(), "<i8")[ord_])
-        keys.append(np.frombuffer(table["keys"][r].as_buffer(), "V16")[ord_])
-        values.append(np.frombuffer(table["hi"][r].as_buffer(), "<u2").astype(np.uint64) << np.uint64(32) | np.frombuffer(table["lo"][r].as_buffer(), "<u4"))
-    doc, value = np.concatenate(docs), np.concatenate(values)
+def shared_anchors(table: pa.Table, homes: int) -> pa.Table:
+    """Of one bucket: for the first document of each text, its anchors that other texts hold too, packed by home."""
+    names, keys = joined_cells(table, "docs", "<i8"), joined_cells(table, "keys", "<u8").reshape(-1, 2)
     # texts by number; the smallest doc_id of each
-    halves = np.concatenate(keys).view("<u8").reshape(-1, 2)
-    order = np.lexsort((halves[:, 1], halves[:, 0]))
-    text = np.empty(len(doc), np.int64)
-    text[order] = np.cumsum(np.concatenate([[False], (halves[order][1:] != halves[order][:-1]).any(1)]))
-    first = np.full(text.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, text, doc)
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    number = np.empty(len(names), np.int64)
+    number[order] = np.cumsum(np.concatenate([[False], (keys[order][1:] != keys[order][:-1]).any(1)]))
+    first = np.full(number.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, number, names)
+    held = np.array([len(x.as_buffer()) // 8 for x in table["docs"]])
+    counts = np.array([len(x.as_buffer()) // 2 for x in table["ord"]])
+    text = number[joined_cells(table, "ord", "<u2").astype(np.int64) + np.repeat(np.cumsum(held) - held, counts)]
+    value = joined_cells(table, "hi", "<u2").astype(np.uint64) << np.uint64(32) | joined_cells(table, "lo", "<u4")
     order = np.lexsort((text, value))
     value, text = value[order], text[order]
     fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (text[1:] != text[:-1])])
@@ -151,37 +151,34 @@ def shared_anchors(table: pa.Table) -> pa.Table:
     sizes = np.diff(np.append(edge, len(value)))
     keep = np.repeat(sizes, sizes) > 1
     value, doc = value[keep] | np.uint64(table["bucket"][0].as_py() << 48), first[text[keep]]
-    order = np.argsort(doc, kind="stable")
-    value, doc = value[order].astype("<u8"), doc[order]
-    starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    cells = [value[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(doc)), strict=True)] if len(doc) else []
-    return pa.table({"doc_id": pa.array(doc[starts], pa.int64()), "anchors": pa.array(cells, pa.binary())})
+    return packed(doc, value.astype("<u8"), homes)
 
 
-RUNS = "bucket int, doc_id long, docs binary, ord binary, starts binary, sizes binary, anchors binary, raw binary, ends binary"
+#: One layout for runs on their way to buckets (bucket 0 and up) and for intervals found at once (bucket below 0: -1 - home).
+RUNS = "bucket int, docs binary, ord binary, starts binary, sizes binary, anchors binary, data binary"
 _RUN_NAMES = [c.split()[0] for c in RUNS.split(", ")]
+SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
 
 
-def _found(doc: list[int], starts: list[bytes], ends: list[bytes]) -> pa.RecordBatch:
-    """Rows of removed intervals, in the layout of RUNS with bucket -1 - something."""
-    n = len(doc)
-    none = pa.array([None] * n, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([-1 - (d & 0xFFFF) for d in doc], pa.int32()), pa.array(doc, pa.int64()), none, none, pa.array(starts, pa.binary()), none, none, none, pa.array(ends, pa.binary())], names=_RUN_NAMES)
+def spans_table(doc: np.ndarray, start: np.ndarray, end: np.ndarray, homes: int) -> pa.Table:
+    found = np.empty(len(doc), SPAN)
+    found["start"], found["end"] = start, end
+    return packed(doc, found, homes)
 
 
-def by_document(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
-    order = np.argsort(doc, kind="stable")
-    doc, start, end = doc[order], start[order].astype("<u4"), end[order].astype("<u4")
-    cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    spans = list(zip(cut, np.append(cut[1:], len(doc)), strict=True)) if len(doc) else []
-    return doc[cut].tolist(), [start[a:b].tobytes() for a, b in spans], [end[a:b].tobytes() for a, b in spans]
+def _found(doc: np.ndarray, start: np.ndarray, end: np.ndarray, homes: int) -> pa.RecordBatch:
+    """Intervals in the layout of RUNS."""
+    t = spans_table(doc, start, end, homes).combine_chunks()
+    none = pa.nulls(t.num_rows, pa.binary())
+    cell = lambda c: t[c].chunk(0)
+    return pa.RecordBatch.from_arrays([pa.array([-1 - h for h in t["home"].to_pylist()], pa.int32()), cell("docs"), none, none, cell("sizes"), none, cell("data")], names=_RUN_NAMES)
 
 
 def run_messages(docs: DataFrame, buckets: int) -> DataFrame:
     """Runs of windows with a shared anchor, packed by bucket with their bytes; of equal runs of a slice only those of
     the smallest document go, and the others are found to be repeats at once."""
 
-    def packed(ids: list, texts: list, shared: list) -> Iterator[pa.RecordBatch]:
+    def sliced(ids: list, texts: list, shared: list) -> Iterator[pa.RecordBatch]:
         raws, rows = [], []
         for k, (t, cells) in enumerate(zip(texts, shared, strict=True)):
             raw = (t or "").encode("utf-8", "surrogatepass")
@@ -189,7 +186,7 @@ def run_messages(docs: DataFrame, buckets: int) -> DataFrame:
             if len(raw) < WIDTH:
                 continue
             low = window_anchors(np.frombuffer(raw, np.uint8))
-            known = np.sort(np.concatenate([np.frombuffer(c, "<u8") for c in cells]))
+            known = np.sort(np.frombuffer(cells, "<u8"))
             first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
             stop = np.append(first[1:], len(low))
             value = anchor_names(low[first], buckets)
@@ -208,24 +205,25 @@ def run_messages(docs: DataFrame, buckets: int) -> DataFrame:
                 else:
                     out.append((v >> 48, k, s, raw, v))
         if gone:
-            yield _found(*by_document(*np.array(gone, np.int64).T))
+            yield _found(*np.array(gone, np.int64).T, buckets)
         out.sort(key=lambda x: x[0])
         at = 0
-        names = np.array(ids, "<i8").tobytes()
+        names = np.array(ids, "<i8")
         while at < len(out):
             end = at
             while end < len(out) and out[end][0] == out[at][0]:
                 end += 1
             part = out[at:end]
-            cells = [np.array([x[1] for x in part], "<u2").tobytes(), np.array([x[2] for x in part], "<u4").tobytes(), np.array([len(x[3]) for x in part], "<u2").tobytes(), np.array([x[4] for x in part], "<u8").tobytes(), b"".join(x[3] for x in part)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[0][0])], pa.int32()), pa.array([None], pa.int64()), *(pa.array([c], pa.binary()) for c in [names, *cells]), pa.array([None], pa.binary())], names=_RUN_NAMES)
+            here, ord_ = np.unique(np.array([x[1] for x in part]), return_inverse=True)
+            cells = [ord_.astype("<u2").tobytes(), np.array([x[2] for x in part], "<u4").tobytes(), np.array([len(x[3]) for x in part], "<u2").tobytes(), np.array([x[4] for x in part], "<u8").tobytes(), b"".join(x[3] for x in part)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[0][0])], pa.int32()), *(pa.array([c], pa.binary()) for c in [names[here].tobytes(), *cells])], names=_RUN_NAMES)
             at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                yield from packed(*(part.column(c).to_pylist() for c in ("doc_id", "text", "shared")))
+                yield from sliced(*(part.column(c).to_pylist() for c in ("doc_id", "text", "shared")))
 
     return docs.mapInArrow(run, RUNS)
 
@@ -298,13 +296,13 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, wi
     return out
 
 
-def bucket_repeats(table: pa.Table) -> pa.Table:
-    """Of one bucket: removed intervals by document."""
-    if table["doc_id"][0].as_py() is not None:
-        return table.select(["doc_id", "starts", "ends"])
+def bucket_repeats(table: pa.Table, homes: int) -> pa.Table:
+    """Of one bucket: removed intervals, packed by home. Intervals that are known already pass through."""
+    if table["bucket"][0].as_py() < 0:
+        return pa.table([pa.array([-1 - b for b in table["bucket"].to_pylist()], pa.int32()), table["docs"], table["sizes"], table["data"]], names=PACKET_NAMES)
     doc = np.concatenate([np.frombuffer(n.as_buffer(), "<i8")[np.frombuffer(o.as_buffer(), "<u2")] for n, o in zip(table["docs"], table["ord"], strict=True)])
     start, size, anchor = (joined_cells(table, c, k).astype(np.int64 if c != "anchors" else np.uint64) for c, k in (("starts", "<u4"), ("sizes", "<u2"), ("anchors", "<u8")))
-    data = joined_cells(table, "raw", np.uint8)
+    data = joined_cells(table, "data", np.uint8)
     at = np.cumsum(size) - size
     raw = data.tobytes()
     order = np.lexsort((doc, anchor))
@@ -350,13 +348,14 @@ def bucket_repeats(table: pa.Table) -> pa.Table:
     if block:
         sort_block()
     if not gone:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "starts": pa.array([], pa.binary()), "ends": pa.array([], pa.binary())})
-    d, s, e = by_document(*(np.concatenate(x) for x in zip(*gone, strict=True)))
-    return pa.table({"doc_id": pa.array(d, pa.int64()), "starts": pa.array(s, pa.binary()), "ends": pa.array(e, pa.binary())})
+        return spans_table(*(np.zeros(0, np.int64),) * 3, homes)
+    return spans_table(*(np.concatenate(x) for x in zip(*gone, strict=True)), homes)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes."""
+    if not len(starts):
+        return []
     order = np.lexsort((ends, starts))
     starts, ends = starts[order], np.maximum.accumulate(ends[order])
     fresh = np.concatenate([[True], starts[1:] > ends[:-1]])
@@ -365,22 +364,22 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, starts, ends: intervals (packed 32-bit byte offsets) that are to be removed, a row or more a document.
-    Intervals may overlap."""
+    """doc_id, spans (intervals to be removed, packed as SPAN; they may overlap), whole (all of it goes)."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), "text")
     sizes = staged(own.select("doc_id", F.octet_length(text_or_empty()).alias("n"), F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("key")).filter(f"n >= {WIDTH} AND doc_id IS NOT NULL"), "suffix-keys")
     buckets = min(32_000, max(8, sizes.count() // DOCS_PER_BUCKET))
     firsts = sizes.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    copies = staged(sizes.join(firsts, "key").filter("doc_id > first").select("doc_id", F.lit(b"\0\0\0\0").alias("starts"), F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned("n", k).bitwiseAND(255)), 2, "0") for k in (0, 8, 16, 24)])).alias("ends")).distinct(), "suffix-copies")
-    found = anchor_messages(own, buckets).groupBy("bucket").applyInArrow(shared_anchors, "doc_id long, anchors binary")
-    shared = staged(found.groupBy("doc_id").agg(F.collect_list("anchors").alias("shared")), "suffix-shared")
+    copies = staged(sizes.join(firsts, "key").filter("doc_id > first").select("doc_id").distinct(), "suffix-copies")
+    found = anchor_messages(own, buckets).groupBy("bucket").applyInArrow(lambda t: shared_anchors(t, buckets), PACKET)
+    shared = staged(regrouped(found, 8).withColumnRenamed("data", "shared"), "suffix-shared")
     release(spark)
     live = own.join(shared.hint("shuffle_hash"), "doc_id")
-    out = staged(run_messages(live, buckets).groupBy("bucket").applyInArrow(bucket_repeats, "doc_id long, starts binary, ends binary"), "suffix-spans")
+    spans = run_messages(live, buckets).groupBy("bucket").applyInArrow(lambda t: bucket_repeats(t, buckets), PACKET)
+    out = staged(regrouped(spans, SPAN.itemsize), "suffix-spans")
     release(spark)
     discard(shared, sizes)
-    return out.unionByName(copies)
+    return out.join(copies.withColumn("whole", F.lit(True)), "doc_id", "full").select("doc_id", F.col("data").alias("spans"), F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -391,16 +390,18 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     repeat a doc_id are not each other's repeats; each loses what smaller doc_ids hold. Rows without doc_id have no
     place in the order: they are left whole. An empty table gives no rows.
     """
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("spans"))
-    own = docs.select(F.col("doc_id").cast("long"), "text").join(spans.hint("shuffle_hash"), "doc_id", "left")
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(repeated_spans(docs).hint("shuffle_hash"), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            for text, spans, whole in zip(batch.column("text"), batch.column("spans"), batch.column("whole"), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                cut = merged(*(np.concatenate([np.frombuffer(s[k], "<u4") for s in spans]).astype(np.int64) for k in ("starts", "ends"))) if spans else []
-                cut = [(a, min(b, len(raw))) for a, b in cut if a < len(raw)]
+                if whole.as_py():
+                    cut = [(0, len(raw))] if len(raw) >= WIDTH else []
+                else:
+                    found = np.frombuffer(spans.as_buffer(), SPAN) if spans.is_valid else np.zeros(0, SPAN)
+                    cut = [(a, min(b, len(raw))) for a, b in merged(found["start"].astype(np.int64), found["end"].astype(np.int64)) if a < len(raw)]
                 edges = [0, *(x for span in cut for x in span), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 rows.append((len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept))
