@@ -40,6 +40,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 or (0xC0 <= c <= 0xDE and c != 0xD7) else
 #: The byte-level alphabet: printable Latin-1 stands for itself, every other byte for the next character from 256 on.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SPELLED = dict(zip((b for b in range(256) if b not in _PLAIN), range(256, 512), strict=False))
+_TWO_BYTES = [i.to_bytes(2, "little") for i in range(1 << 16)]
 _BUILT: dict = {}
 
 
@@ -64,10 +65,11 @@ class WordIds:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        for word in {w for ws in words if ws for w in ws if w not in known}:
+        for word in set().union(*filter(None, words)).difference(known):
             spelled = word.decode("ascii") if word.isalnum() else word.decode("latin-1").encode().decode("latin-1").translate(_SPELLED)
-            known[word] = np.array([t.id for t in self.model.tokenize(spelled)], "<u2").tobytes()
-        return [b"".join([known[w] for w in ws]) if ws is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for ws, t in zip(words, texts, strict=True)]
+            known[word] = b"".join([_TWO_BYTES[t.id] for t in self.model.tokenize(spelled)])
+        find = known.__getitem__
+        return [b"".join(map(find, ws)) if ws is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for ws, t in zip(words, texts, strict=True)]
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
