@@ -4,8 +4,9 @@
 2. Tokens meet in buckets (packed, a few bytes a token) and each learns in how many sets it lies. Tokens of one set
    alone can't be part of an overlap, so a set lives on only if its shared tokens reach the threshold. What is left of
    the corpus are the sets that have a chance of a partner.
-3. Similar sets are partitioned into groups: sets that share a smallest hash are compared with one centre each, and
-   the components of the links found so far are the groups, in pieces of at most `GROUP` sets.
+3. Similar sets are partitioned into groups: sets that share a smallest hash are compared with one centre each, where
+   sizes and sketches don't rule it out, and the components of these links are the groups, in pieces of about `GROUP`
+   sets; sets still alone are grouped by their rarest token.
 4. The token-group matrix: each set looks up the rarest tokens of its prefix (a set and a partner must share one) and
    gets the groups outside its own component that hold them. For each such group the union of its sets' tokens bounds
    the overlap; only groups whose bound reaches the threshold are opened, and their sets are compared exactly.
@@ -21,17 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import discard, release, staged
 from corpusloom.llm.components import components
+from corpusloom.llm.packets import PACKET, packed, regrouped, runs
 
 WORDS = 5
 SHARE = 75  # per cent
-GROUP = 64
+GROUP = 128
 SLICE = 2000
-DOCS_PER_BUCKET = 8000
+DOCS_PER_BUCKET = 4000
 QUERIES_PER_TASK = 256
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -86,7 +88,7 @@ MESSAGE = "bucket int, docs binary, ord binary, hi binary, lo binary"
 def messages(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame:
     """The tokens of each slice of documents, packed by bucket: eight bytes a token. Equal sets of a slice go once."""
 
-    def packed(ids: list[int], texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+    def sliced(ids: list[int], texts: list[str | None]) -> Iterator[pa.RecordBatch]:
         sets: dict[bytes, tuple[int, np.ndarray]] = {}
         for i, t in zip(ids, texts, strict=True):
             s = shingles(t, words)
@@ -101,24 +103,29 @@ def messages(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame:
         order = np.argsort(bucket, kind="stable")
         tokens, own = tokens[order], own[order]
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        names = np.array([i for i, _ in sets.values()], "<i8").tobytes()
+        names = np.array([i for i, _ in sets.values()], "<i8")
         for b in range(buckets):
             if ends[b] < ends[b + 1]:
                 part = tokens[ends[b] : ends[b + 1]] & _LOW
-                row = [own[ends[b] : ends[b + 1]].tobytes(), (part >> np.uint64(32)).astype("<u2").tobytes(), part.astype("<u4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([names], pa.binary()), *(pa.array([x], pa.binary()) for x in row)], names=["bucket", "docs", "ord", "hi", "lo"])
+                here, ord_ = np.unique(own[ends[b] : ends[b + 1]], return_inverse=True)
+                row = [names[here].tobytes(), ord_.astype("<u2").tobytes(), (part >> np.uint64(32)).astype("<u2").tobytes(), part.astype("<u4").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names=["bucket", "docs", "ord", "hi", "lo"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                yield from packed(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
+                yield from sliced(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MESSAGE)
 
 
-def shared_tokens(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each document its tokens that other sets hold too, and in how many sets each lies."""
+#: A token that other sets hold too, and in how many sets it lies.
+SHARED = np.dtype([("token", "<u8"), ("df", "<u4")])
+
+
+def shared_tokens(table: pa.Table, homes: int) -> pa.Table:
+    """Of one bucket: for each document its tokens that other sets hold too, packed by the documents' homes."""
     docs, tokens = [], []
     for r in range(table.num_rows):
         names, own = np.frombuffer(table["docs"][r].as_buffer(), "<i8"), np.frombuffer(table["ord"][r].as_buffer(), "<u2")
@@ -127,44 +134,48 @@ def shared_tokens(table: pa.Table) -> pa.Table:
     doc, token = np.concatenate(docs), np.concatenate(tokens)
     order = np.argsort(token)
     doc, token = doc[order], token[order]
-    edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    df = np.repeat(np.diff(np.append(edge, len(token))), np.diff(np.append(edge, len(token))))
+    starts, ends = runs(token)
+    df = np.repeat(ends - starts, ends - starts)
     keep = df > 1
-    doc, token, df = doc[keep], token[keep] | np.uint64(table["bucket"][0].as_py() << 48), df[keep]
-    order = np.argsort(doc, kind="stable")
-    doc, token, df = doc[order], token[order].astype("<u8"), df[order].astype("<u4")
-    starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    cuts = list(zip(starts, np.append(starts[1:], len(doc)), strict=True)) if len(doc) else []
-    return pa.table({"doc_id": pa.array(doc[starts], pa.int64()), "k": pa.array([b - a for a, b in cuts], pa.int64()), "tokens": pa.array([token[a:b].tobytes() for a, b in cuts], pa.binary()), "dfs": pa.array([df[a:b].tobytes() for a, b in cuts], pa.binary())})
+    found = np.empty(int(keep.sum()), SHARED)
+    found["token"], found["df"] = token[keep] | np.uint64(table["bucket"][0].as_py() << 48), df[keep]
+    return packed(doc[keep], found, homes)
 
 
-LIVE = "rep long, n long, tokens binary, prefix array<long>, key1 long, key2 long"
+LIVE = "rep long, n long, k long, sketch array<long>, tokens binary, prefix array<long>, keys array<long>"
+#: Odd multipliers: one for each key of similarity, and the sketch's.
+KEYS, SKETCH = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], 0x94D049BB133111EB
+SKETCH_BITS = 2048
 
 
 def live_sets(docs: DataFrame, sets: DataFrame, buckets: int, share: int = SHARE, words: int = WORDS) -> DataFrame:
     """Representatives whose shared tokens reach the threshold, with these tokens (sorted), the prefix under which any
-    partner is met (rarest first), and two smallest hashes as keys of similarity."""
-    found = messages(docs, buckets, words).groupBy("bucket").applyInArrow(shared_tokens, "doc_id long, k long, tokens binary, dfs binary")
-    own = found.join(sets.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
-    whole = own.groupBy("doc_id").agg(F.first("n").alias("n"), F.sum("k").alias("k"), F.collect_list(F.struct("tokens", "dfs")).alias("parts")).filter(F.col("k") * 100 >= F.col("n") * share)
+    partner is met (rarest first), smallest hashes as keys of similarity, and a sketch: the parity of how many tokens
+    fall on each of SKETCH_BITS bits."""
+    met = messages(docs, buckets, words).groupBy("bucket").applyInArrow(lambda t: shared_tokens(t, buckets), PACKET)
+    whole = regrouped(met, SHARED.itemsize).join(sets.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
+    whole = whole.filter(F.octet_length("data") / SHARED.itemsize * 100 >= F.col("n") * share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for n, parts in zip(batch.column("n").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                token = np.frombuffer(b"".join(p["tokens"] for p in parts), "<u8")
-                df = np.frombuffer(b"".join(p["dfs"] for p in parts), "<u4")
+            rows: list[list] = [[], [], [], [], []]
+            for n, cell in zip(batch.column("n").to_pylist(), batch.column("data"), strict=True):
+                found = np.frombuffer(cell.as_buffer(), SHARED)
+                token, df = found["token"].copy(), found["df"].copy()
                 first = np.lexsort((token, df))[: len(token) - least_overlap(n, share) + 1]
                 with np.errstate(over="ignore"):
-                    keys = [(token * np.uint64(m) >> np.uint64(1)).min() for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
-                for column, x in zip(rows, (np.sort(token).tobytes(), token[first].astype(np.int64), *map(int, keys)), strict=True):
+                    keys = [int((token * np.uint64(m) >> np.uint64(1)).min()) for m in KEYS]
+                    odd = np.bincount((token * np.uint64(SKETCH) >> np.uint64(53)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                sketch = np.packbits(odd.astype(np.uint8)).view("<i8")
+                for column, x in zip(rows, (len(token), sketch, np.sort(token).tobytes(), token[first].astype(np.int64), keys), strict=True):
                     column.append(x)
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n"), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64())],
+                [batch.column("doc_id"), batch.column("n"), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))],
                 names=[c.split()[0] for c in LIVE.split(", ")],
             )
 
-    return whole.select("doc_id", "n", "parts").mapInArrow(run, LIVE)
+    return whole.select("doc_id", "n", "data").mapInArrow(run, LIVE)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -179,13 +190,21 @@ def links(shared: int, n: int, m: int, share: int = SHARE) -> bool:
     return 100 * shared >= share * (n + m - shared)
 
 
+def may_link(a: Column, b: Column, share: int = SHARE) -> Column:
+    """False only where sizes or sketches show that two sets cannot link: each bit on which sketches differ stands for
+    a token at least that one of them has alone."""
+    apart = F.aggregate(F.zip_with(a["sketch"], b["sketch"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = (a["k"] + b["k"] - apart) / 2
+    return (F.greatest(a["n"], b["n"]) * share <= F.least(a["n"], b["n"]) * 100) & (most * 100 >= (a["n"] + b["n"] - most) * share)
+
+
 def linked_to_centres(live: DataFrame, share: int = SHARE) -> DataFrame:
     """a, b: links between sets and the centre (smallest representative) of those that share a key with them."""
-    edges = None
-    for key in ("key1", "key2"):
-        centres = live.groupBy(key).agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-        own = live.select("rep", key).join(centres, key).filter("rep <> centre").select("rep", "centre")
-        edges = own if edges is None else edges.union(own)
+    light = F.struct("rep", "n", "k", "sketch").alias("own")
+    by_key = live.select(light, F.explode(F.array(*[F.struct(F.lit(i).alias("key"), F.element_at("keys", i + 1).alias("v")) for i in range(len(KEYS))])).alias("key"))
+    centres = by_key.groupBy("key").agg(F.min_by("own", "own.rep").alias("centre"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    near = by_key.join(centres, "key").filter("own.rep <> centre.rep").filter(may_link(F.col("own"), F.col("centre"), share))
+    edges = near.select(F.col("own.rep").alias("rep"), F.col("centre.rep").alias("centre"))
     side = lambda name, p: live.select(F.col("rep").alias(name), F.col("n").alias(f"{p}n"), F.col("tokens").alias(f"{p}t"))
     pairs = edges.distinct().join(side("centre", "c"), "centre").join(side("rep", "r"), "rep")
 
@@ -199,44 +218,58 @@ def linked_to_centres(live: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def open_groups(members: pa.Table, queries: pa.Table, share: int) -> pa.Table:
-    """Links between queries and the sets of one group, one for each query and component."""
+    """Links between queries and the sets of one group, as many as join their components."""
     sets = [np.frombuffer(x.as_buffer(), "<u8") for x in members["tokens"]]
-    out = []
+    out, above = [], {}
+
+    def top(c: int) -> int:
+        while (up := above.get(c, c)) != c:
+            above[c] = above.get(up, up)
+            c = up
+        return c
+
     if sets and queries.num_rows:
         union = np.unique(np.concatenate(sets))
-        sizes, reps, comps = (members[c].to_pylist() for c in ("n", "rep", "comp"))
-        for rep, comp, n, cell in zip(*(queries[c].to_pylist() for c in ("rep", "comp", "n")), queries["tokens"], strict=True):
-            own, done = np.frombuffer(cell.as_buffer(), "<u8"), set()
-            if overlap(own, union) < least_overlap(n, share):
+        n, k, rep, comp = (members[c].to_numpy() for c in ("n", "k", "rep", "comp"))
+        sketches = members["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(sets), -1)
+        mine = queries["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(queries.num_rows, -1)
+        for row, (q_rep, q_comp, q_n, q_k) in enumerate(zip(*(queries[c].to_pylist() for c in ("rep", "comp", "n", "k")), strict=True)):
+            own = np.frombuffer(queries["tokens"][row].as_buffer(), "<u8")
+            if overlap(own, union) < least_overlap(q_n, share):
                 continue  # the group's bound
-            for s, m, other, c in zip(sets, sizes, reps, comps, strict=True):
-                if c != comp and c not in done and share * max(n, m) <= 100 * min(n, m) and links(overlap(own, s), n, m, share):
-                    out.append((rep, other))
-                    done.add(c)
+            most = (k + q_k - np.bitwise_count(sketches ^ mine[row]).sum(1)) / 2
+            fits = (np.maximum(n, q_n) * share <= np.minimum(n, q_n) * 100) & (most * 100 >= (n + q_n - most) * share) & (comp != q_comp)
+            for i in np.flatnonzero(fits):
+                if top(int(comp[i])) != top(q_comp) and links(overlap(own, sets[i]), q_n, int(n[i]), share):
+                    out.append((q_rep, int(rep[i])))
+                    above[top(int(comp[i]))] = top(q_comp)
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def linked_across(live: DataFrame, comps: DataFrame, share: int = SHARE) -> DataFrame:
-    """a, b: every link between different components so far, up to one for each set and component of a group."""
+    """a, b: links between different components so far, as many as join what is joined at all."""
     sized = comps.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     known = comps.join(sized, "label").select(F.col("id").alias("rep"), F.col("label").alias("comp"), "size")
-    one = live.select("rep", "n", "tokens", "prefix").join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).withColumn("size", F.coalesce("size", F.lit(1)))
-    # a component's sets, or lone sets with the same rarest token, in pieces of GROUP sets at most on average
-    pieces = F.ceil(F.col("size") / GROUP)
-    group = F.when(F.col("size") > 1, F.struct(F.lit("c").alias("kind"), F.col("comp").alias("key"), F.pmod(F.xxhash64("rep"), pieces).alias("piece"))).otherwise(
-        F.struct(F.lit("s").alias("kind"), F.element_at("prefix", 1).alias("key"), F.pmod(F.xxhash64("rep"), F.lit(4)).cast("long").alias("piece"))
-    )
-    grouped = staged(one.withColumn("grp", F.xxhash64(group)), "matrix-sets")
-    posts = grouped.select("rep", "comp", "size", "grp", F.explode("prefix").alias("token"))
+    one = live.select("rep", "n", "k", "sketch", "tokens", "prefix").join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).withColumn("size", F.coalesce("size", F.lit(1)))
+    # a component's sets, or lone sets with the same rarest token, in pieces of about GROUP sets
+    family = F.when(F.col("size") > 1, F.struct(F.lit("c").alias("kind"), F.col("comp").alias("key"))).otherwise(F.struct(F.lit("s").alias("kind"), F.element_at("prefix", 1).alias("key")))
+    one = one.withColumn("family", F.xxhash64(family))
+    pieces = one.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("pieces"))
+    grouped = one.join(pieces, "family").withColumn("grp", F.xxhash64("family", F.pmod(F.xxhash64("rep"), F.col("pieces")))).drop("family", "pieces")
+    grouped = staged(grouped, "matrix-sets")
+    posts = grouped.select("rep", "n", "comp", "size", "grp", F.explode("prefix").alias("token"))
     mixed = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     posts = staged(posts.join(mixed, "token", "left_semi"), "matrix-posts")
-    columns = posts.select("token", F.col("grp").alias("g"), F.col("comp").alias("gcomp"), F.col("size").alias("gsize")).distinct()
-    bigger = (F.col("gsize") > F.col("size")) | ((F.col("gsize") == F.col("size")) & (F.col("gcomp") > F.col("comp")))
-    asked = staged(posts.join(columns, "token").filter(bigger).select("rep", F.col("g").alias("grp")).distinct(), "matrix-asked")
-    fresh = [F.col(c).alias(c) for c in ("rep", "comp", "n", "tokens")]  # attributes of their own on either side
+    # the matrix: a token's groups, with their sizes and the largest component they hold
+    columns = posts.groupBy("token", F.col("grp").alias("g")).agg(F.max(F.struct("size", "comp")).alias("top"), F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (F.col("n") * share <= F.col("most") * 100) & (F.col("least") * share <= F.col("n") * 100)
+    asked = staged(posts.join(columns, "token").filter((F.col("top") > F.struct("size", "comp")) & fits).select("rep", F.col("g").alias("grp")).distinct(), "matrix-asked")
+    release(live.sparkSession)
+    fresh = [F.col(c).alias(c) for c in ("rep", "comp", "n", "k", "sketch", "tokens")]  # attributes of their own on either side
     salts = asked.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).alias("salts"))
     members = grouped.join(salts, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *fresh)
-    queries = asked.join(salts, "grp").select("grp", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("long").alias("salt"), "rep").join(grouped.select("rep", "comp", "n", "tokens"), "rep").select("grp", "salt", "rep", "comp", "n", "tokens")
+    queries = asked.join(salts, "grp").select("grp", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("long").alias("salt"), "rep").join(grouped.select("rep", "comp", "n", "k", "sketch", "tokens"), "rep")
+    queries = queries.select("grp", "salt", "rep", "comp", "n", "k", "sketch", "tokens")
     found = members.groupBy("grp", "salt").cogroup(queries.groupBy("grp", "salt")).applyInArrow(lambda m, q: open_groups(m, q, share), "a long, b long")
     out = staged(found, "matrix-links")
     discard(grouped, posts, asked)
@@ -257,6 +290,7 @@ def join_components(docs: DataFrame, share: int = SHARE, words: int = WORDS) ->
     live = staged(live_sets(docs, sets, buckets, share, words), "jaccard-live")
     release(spark)
     near = staged(linked_to_centres(live, share), "jaccard-near")
+    release(spark)
     first = components(near)
     across = linked_across(live, first, share)
     final = components(near.union(across))
