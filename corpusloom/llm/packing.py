@@ -72,43 +72,49 @@ class WordIds:
         return [b"".join(map(find, ws)) if ws is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for ws, t in zip(words, texts, strict=True)]
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """doc_id, ids: little-endian unsigned 16-bit identifiers with `end` last."""
+def tokenised(docs: DataFrame, tokenizer: str, end: int = END, vocabulary: int = 1 << 16) -> DataFrame:
+    """doc_id, ids: little-endian unsigned 16-bit identifiers with `end` last. Rows whose `df` is set are not documents:
+    one a partition, `df` counts its documents by token identifier, and n and total its documents and their tokens."""
     with open(tokenizer, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())  # a fixed file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "ids" not in _BUILT:
             _BUILT["ids"] = WordIds(data.value)
-        last = np.array([end], "<u2").tobytes()
+        last, df, n, total = np.array([end], "<u2").tobytes(), np.zeros(vocabulary, "<u4"), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out = _BUILT["ids"]([t or "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x + last for x in out], pa.binary())], names=["doc_id", "ids"])
+                out = [x + last for x in _BUILT["ids"]([t or "" for t in part.column("text").to_pylist()])]
+                for x in out:
+                    df[np.unique(np.frombuffer(x, "<u2"))] += 1
+                n, total = n + len(out), total + sum(map(len, out)) // 2
+                none = pa.nulls(len(out), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary()), none, none], names=["doc_id", "ids", "df", "n", "total"])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["doc_id", "ids", "df", "n", "total"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, df binary, n long, total long")
 
 
 def frequencies(tokens: DataFrame, vocabulary: int = 1 << 16) -> tuple[np.ndarray, int, float]:
-    """Documents by token identifier, documents, mean length; over all of `tokens`."""
+    """Documents by token identifier, documents, mean length; over all of `tokens`. Partitions' counts are added up by
+    identifier, so the driver gets a vector as long as the vocabulary whatever their number."""
+    parts = tokens.filter("df IS NOT NULL")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, total = np.zeros(vocabulary, np.int64), 0, 0
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for cell in batch.column("ids"):
-                ids = np.frombuffer(cell.as_buffer(), "<u2")
-                df[np.unique(ids)] += 1
-                n, total = n + 1, total + len(ids)
+            for cell in batch.column("df"):
+                df += np.frombuffer(cell.as_buffer(), "<u4")
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2]), pa.int64()), pa.array(np.append(df[at], [n, total]), pa.int64())], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["term", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
-    term, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
+    rows = parts.select("df").mapInArrow(spread, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(vocabulary)
-    df[term[term >= 0]] = n[term >= 0]
-    docs, total = (int(n[term == k].sum()) for k in (-1, -2))
-    return df, docs, total / max(1, docs)
+    df[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
+    n, total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    return df, n, total / max(1, n)
 
 
 class Index:
@@ -208,4 +214,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: i
         if ids:
             yield packed()
 
-    return tokens.mapInArrow(run, PIECES)
+    return tokens.filter("df IS NULL").select("doc_id", "ids").mapInArrow(run, PIECES)

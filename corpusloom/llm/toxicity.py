@@ -35,33 +35,50 @@ def hashed(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 class Linear:
-    """Logistic regression over present features and `k` dense inputs, fitted by accelerated gradient descent."""
-
-    def __init__(self, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, size: int, l2: float = 1e-3, steps: int = 120):
-        flat, at = np.concatenate([*rows, np.zeros(0, np.int32)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        scale = 1 / np.sqrt(np.maximum(1, np.array([len(r) for r in rows], float)))
+    """Logistic regression over present features and `k` dense inputs, fitted by accelerated gradient descent.
+
+    A feature counts by the log-ratio of how often it is found in positive and negative documents, smoothed by one;
+    features of fewer than `least` documents count nothing. A document is scaled by the root of its features' norm."""
+
+    def __init__(self, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, size: int, l2: float = 1e-3, steps: int = 80, least: int = 3):
+        flat, at = flattened(rows)
+        bad, good = np.bincount(flat, y[at], size), np.bincount(flat, 1 - y[at], size)
+        ratio = np.log((bad + 1) / (y.sum() + 2)) - np.log((good + 1) / (len(y) - y.sum() + 2))
+        ratio[bad + good < least] = 0
+        used = ratio[flat] != 0
+        flat, at = flat[used], at[used]
+        value = ratio[flat]
+        value *= scales(np.bincount(at, value**2, len(rows)))[at]
         n, pos = max(1, len(y)), max(1.0, y.sum())
         weight = np.where(y > 0, 0.5 * n / pos, 0.5 * n / max(1.0, n - pos)) / n
         w, d, b = np.zeros(size), np.zeros(dense.shape[1]), 0.0
         mw, md, mb = w.copy(), d.copy(), b
         rate = 4.0
         for t in range(steps):
-            z = np.bincount(at, mw[flat], len(rows)) * scale + dense @ md + mb
+            z = np.bincount(at, mw[flat] * value, len(rows)) + dense @ md + mb
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-            nw = mw - rate * (np.bincount(flat, (g * scale)[at], size) * 8 + l2 * mw)
+            nw = mw - rate * (np.bincount(flat, g[at] * value, size) * 8 + l2 * mw)
             nd, nb = md - rate * (dense.T @ g + l2 * md), mb - rate * g.sum()
             k = t / (t + 3)
             mw, md, mb = nw + k * (nw - w), nd + k * (nd - d), nb + k * (nb - b)
             w, d, b = nw, nd, nb
-        self.w, self.d, self.b = w.astype(np.float32), d, b
+        self.w, self.norm, self.d, self.b = (w * ratio).astype(np.float32), (ratio**2).astype(np.float32), d, b
 
     def __call__(self, rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
-        sizes = np.array([len(r) for r in rows])
-        flat, at = np.concatenate([*rows, np.zeros(0, np.int32)]), np.repeat(np.arange(len(rows)), sizes)
-        z = np.bincount(at, self.w[flat], len(rows)) / np.sqrt(np.maximum(1, sizes)) + dense @ self.d + self.b
+        flat, at = flattened(rows)
+        z = np.bincount(at, self.w[flat], len(rows)) * scales(np.bincount(at, self.norm[flat], len(rows))) + dense @ self.d + self.b
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def flattened(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All features, and the row of each."""
+    return np.concatenate([*rows, np.zeros(0, np.int32)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+
+def scales(norms: np.ndarray) -> np.ndarray:
+    return 1 / np.maximum(norms, 1e-9) ** 0.25
+
+
 class Chain:
     """Models, cutoffs and out-of-fold scores of a chain. y: one column of 0 and 1 for each category."""
 
