@@ -90,3 +90,31 @@ def test_lines_of_dumps(spark, tmp_path):
     (tmp_path / "a.sql").write_text("INSERT INTO `posts` (`id`, `t`) VALUES\n(1, 'a'),\n(2, 'b;'),\nbroken\n(3, 'c');\nINSERT INTO `x` (`id`) VALUES\n(9, 'z');\n")
     rows = D.mysql_rows(D.numbered_lines(spark, f"file://{tmp_path}"), "posts").orderBy("no").collect()
     assert [r.vals for r in rows] == [["1", "a"], ["2", "b;"], None, ["3", "c"]]
+
+
+def test_files(spark, tmp_path):
+    import json
+    import sqlite3
+
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    from corpusloom.sources import files as S
+
+    (tmp_path / "terms.csv").write_text("﻿title\n1,a  b,c,d,2001,2002\n2,x,y,z,,2003\nno,x,y,z,1,2\n", encoding="utf-8")
+    assert [(r.c0, r.c1) for r in S.csv_terms(spark, f"file://{tmp_path}/terms.csv").collect()] == [("1", "a b")]
+    schema = StructType([StructField("id", IntegerType()), StructField("why", StringType())])
+    (tmp_path / "list.csv").write_text("id,why\n3,dup\nx,bad\n")
+    assert [(r.id, r.why) for r in S.csv_by_header(spark, f"file://{tmp_path}/list.csv", schema).collect()] == [(3, "dup"), (None, "bad")]
+    assert S.csv_by_header(spark, f"file://{tmp_path}/absent.csv", schema).count() == 0
+    (tmp_path / "v1.json").write_text(json.dumps([{"query": "q", "answerable": False, "relevant_ids": ["page_1"]}]))
+    (tmp_path / "v2.json").write_text(json.dumps({"questions": [{"id": "a", "question": "q2", "slice": "bn", "expected_row_keys": ["page_2"]}]}))
+    assert [(r.question, r.answerable, r.gold) for r in S.eval_questions(spark, f"file://{tmp_path}/v1.json").collect()] == [("q", False, [])]
+    assert [(r.question, r.answerable, r.gold) for r in S.eval_questions(spark, f"file://{tmp_path}/v2.json").collect()] == [("q2", True, ["page_2"])]
+    with sqlite3.connect(tmp_path / "t.db") as db:
+        db.execute("CREATE TABLE v (sura INTEGER, t TEXT)")
+        db.executemany("INSERT INTO v VALUES (?, ?)", [(2, "b"), (1, "a"), (1, None)])
+    assert [(r.place, r.sura, r.t) for r in S.sqlite_table(spark, str(tmp_path / "t.db"), "v", ["sura", "t"]).orderBy("place").collect()] == [(0, "2", "b"), (1, "1", "a"), (2, "1", None)]
+    verses = spark.createDataFrame([(1, 1, "x১ y২(ক) z৩")], "sura int, verse int, text string")
+    notes = spark.createDataFrame([(1, 1, "one"), (1, -2, "two"), (2, 3, "other")], "sura int, key int, note string")
+    got = S.with_notes(verses, notes).first()
+    assert (got.notes, got.orphans) == (["one", "two"], 1)
