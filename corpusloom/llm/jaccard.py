@@ -6,10 +6,10 @@
    the corpus are the sets that have a chance of a partner.
 3. Similar sets are partitioned into groups: sets that share a smallest hash are compared with one centre each, where
    sizes and sketches don't rule it out, and the components of these links are the groups, in pieces of about `GROUP`
-   sets; sets still alone are grouped by their rarest token.
-4. The token-group matrix: each set looks up the rarest tokens of its prefix (a set and a partner must share one) and
-   gets the groups outside its own component that hold them. For each such group the union of its sets' tokens bounds
-   the overlap; only groups whose bound reaches the threshold are opened, and their sets are compared exactly.
+   sets; sets still alone are grouped by that smallest hash.
+4. The token-group matrix: groups that share a token of their sets' prefixes (a set and a partner must share one) meet,
+   unless they are of one component. For each set of one group the union of the other's tokens bounds the overlap; only
+   groups whose bound reaches the threshold are opened, and their sets are compared exactly.
 5. Links of both kinds give the components.
 
 Pairs within a component are never formed, so a group of very many near copies costs one comparison a copy.
@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._common import discard, release, staged
 from corpusloom.llm.components import components
-from corpusloom.llm.packets import PACKET, packed, regrouped, runs
+from corpusloom.llm.packets import PACKET, by_document, homes_of, packed, runs
 
 WORDS = 5
 SHARE = 75  # per cent
 GROUP = 128
 SLICE = 2000
-DOCS_PER_BUCKET = 4000
+DOCS_PER_BUCKET = 2000
 QUERIES_PER_TASK = 256
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -148,34 +148,45 @@ KEYS, SKETCH = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], 0x94D049BB133111EB
 SKETCH_BITS = 2048
 
 
+def with_homes(rows: DataFrame, key: str, homes: int) -> DataFrame:
+    """Adds home, dealt as `packets` deals documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home = homes_of(batch.column(key).to_numpy(), homes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32())], names=[*batch.schema.names, "home"])
+
+    return rows.mapInArrow(run, rows.schema.simpleString()[7:-1].replace(":", " ") + ", home int")
+
+
 def live_sets(docs: DataFrame, sets: DataFrame, buckets: int, share: int = SHARE, words: int = WORDS) -> DataFrame:
     """Representatives whose shared tokens reach the threshold, with these tokens (sorted), the prefix under which any
     partner is met (rarest first), smallest hashes as keys of similarity, and a sketch: the parity of how many tokens
     fall on each of SKETCH_BITS bits."""
     met = messages(docs, buckets, words).groupBy("bucket").applyInArrow(lambda t: shared_tokens(t, buckets), PACKET)
-    whole = regrouped(met, SHARED.itemsize).join(sets.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
-    whole = whole.filter(F.octet_length("data") / SHARED.itemsize * 100 >= F.col("n") * share)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for n, cell in zip(batch.column("n").to_pylist(), batch.column("data"), strict=True):
-                found = np.frombuffer(cell.as_buffer(), SHARED)
-                token, df = found["token"].copy(), found["df"].copy()
+    known = with_homes(sets.select("rep", "n"), "rep", buckets)
+
+    def gather(own: pa.Table, found: pa.Table) -> pa.Table:
+        rows: list[list] = [[] for _ in LIVE.split(", ")]
+        if own.num_rows and found.num_rows:
+            size = dict(zip(own["rep"].to_pylist(), own["n"].to_pylist(), strict=True))
+            for rep, record in by_document(found, SHARED):
+                n = size.get(rep)
+                if n is None or len(record) * 100 < n * share:
+                    continue
+                token, df = record["token"].copy(), record["df"]
                 first = np.lexsort((token, df))[: len(token) - least_overlap(n, share) + 1]
                 with np.errstate(over="ignore"):
                     keys = [int((token * np.uint64(m) >> np.uint64(1)).min()) for m in KEYS]
                     odd = np.bincount((token * np.uint64(SKETCH) >> np.uint64(53)).astype(np.int64), minlength=SKETCH_BITS) & 1
                 sketch = np.packbits(odd.astype(np.uint8)).view("<i8")
-                for column, x in zip(rows, (len(token), sketch, np.sort(token).tobytes(), token[first].astype(np.int64), keys), strict=True):
+                for column, x in zip(rows, (rep, n, len(token), sketch, np.sort(token).tobytes(), token[first].astype(np.int64), keys), strict=True):
                     column.append(x)
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n"), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))],
-                names=[c.split()[0] for c in LIVE.split(", ")],
-            )
+        many = pa.list_(pa.int64())
+        kinds = [pa.int64(), pa.int64(), pa.int64(), many, pa.binary(), many, many]
+        return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[c.split()[0] for c in LIVE.split(", ")])
 
-    return whole.select("doc_id", "n", "data").mapInArrow(run, LIVE)
+    return known.groupBy("home").cogroup(met.groupBy("home")).applyInArrow(gather, LIVE)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -217,8 +228,10 @@ def linked_to_centres(live: DataFrame, share: int = SHARE) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def open_groups(members: pa.Table, queries: pa.Table, share: int) -> pa.Table:
-    """Links between queries and the sets of one group, as many as join their components."""
+def open_group(table: pa.Table, share: int) -> pa.Table:
+    """Links between the queries of one group and its sets, as many as join their components."""
+    asking = table["asks"].to_numpy()
+    members, queries = table.filter(pa.array(~asking)), table.filter(pa.array(asking))
     sets = [np.frombuffer(x.as_buffer(), "<u8") for x in members["tokens"]]
     out, above = [], {}
 
@@ -231,8 +244,7 @@ def open_groups(members: pa.Table, queries: pa.Table, share: int) -> pa.Table:
     if sets and queries.num_rows:
         union = np.unique(np.concatenate(sets))
         n, k, rep, comp = (members[c].to_numpy() for c in ("n", "k", "rep", "comp"))
-        sketches = members["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(sets), -1)
-        mine = queries["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(queries.num_rows, -1)
+        sketches, mine = (np.concatenate([np.asarray(x.as_py(), np.int64) for x in t["sketch"]]).view(np.uint64).reshape(t.num_rows, -1) for t in (members, queries))
         for row, (q_rep, q_comp, q_n, q_k) in enumerate(zip(*(queries[c].to_pylist() for c in ("rep", "comp", "n", "k")), strict=True)):
             own = np.frombuffer(queries["tokens"][row].as_buffer(), "<u8")
             if overlap(own, union) < least_overlap(q_n, share):
@@ -247,32 +259,42 @@ def open_groups(members: pa.Table, queries: pa.Table, share: int) -> pa.Table:
 
 
 def linked_across(live: DataFrame, comps: DataFrame, share: int = SHARE) -> DataFrame:
-    """a, b: links between different components so far, as many as join what is joined at all."""
+    """a, b: links between different components so far, as many as join what is joined at all.
+
+    Groups are the components in pieces of about GROUP sets, and lone sets with the same smallest hash. The matrix is
+    joined with itself by token, a row for each token and group, so that a token that very many sets hold costs the
+    square of its groups, not of its sets; groups of one and the same component never meet."""
     sized = comps.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     known = comps.join(sized, "label").select(F.col("id").alias("rep"), F.col("label").alias("comp"), "size")
-    one = live.select("rep", "n", "k", "sketch", "tokens", "prefix").join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).withColumn("size", F.coalesce("size", F.lit(1)))
-    # a component's sets, or lone sets with the same rarest token, in pieces of about GROUP sets
-    family = F.when(F.col("size") > 1, F.struct(F.lit("c").alias("kind"), F.col("comp").alias("key"))).otherwise(F.struct(F.lit("s").alias("kind"), F.element_at("prefix", 1).alias("key")))
-    one = one.withColumn("family", F.xxhash64(family))
+    one = live.select("rep", "n", "prefix", F.element_at("keys", 1).alias("key")).join(known, "rep", "left")
+    lone = F.coalesce("size", F.lit(1)) == 1
+    one = one.select("rep", "n", "prefix", F.coalesce("comp", "rep").alias("comp"), F.xxhash64(lone, F.when(lone, F.col("key")).otherwise(F.col("comp"))).alias("family"))
     pieces = one.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("pieces"))
-    grouped = one.join(pieces, "family").withColumn("grp", F.xxhash64("family", F.pmod(F.xxhash64("rep"), F.col("pieces")))).drop("family", "pieces")
-    grouped = staged(grouped, "matrix-sets")
-    posts = grouped.select("rep", "n", "comp", "size", "grp", F.explode("prefix").alias("token"))
+    grouped = staged(one.join(pieces, "family").withColumn("grp", F.xxhash64("family", F.pmod(F.xxhash64("rep"), F.col("pieces")))).drop("family", "pieces"), "matrix-sets")
+    posts = grouped.select("grp", "n", "comp", F.explode("prefix").alias("token"))
     mixed = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    posts = staged(posts.join(mixed, "token", "left_semi"), "matrix-posts")
-    # the matrix: a token's groups, with their sizes and the largest component they hold
-    columns = posts.groupBy("token", F.col("grp").alias("g")).agg(F.max(F.struct("size", "comp")).alias("top"), F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("n") * share <= F.col("most") * 100) & (F.col("least") * share <= F.col("n") * 100)
-    asked = staged(posts.join(columns, "token").filter((F.col("top") > F.struct("size", "comp")) & fits).select("rep", F.col("g").alias("grp")).distinct(), "matrix-asked")
+    columns = posts.join(mixed, "token", "left_semi").groupBy("token", "grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    columns = staged(columns, "matrix-columns")
+    side = lambda p: columns.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("grp", "lo", "hi", "least", "most")])
+    fits = (F.col("a_least") * share <= F.col("b_most") * 100) & (F.col("b_least") * share <= F.col("a_most") * 100)
+    apart = F.least("a_lo", "b_lo") < F.greatest("a_hi", "b_hi")
+    met = side("a").join(side("b"), "token").filter((F.col("a_grp") <= F.col("b_grp")) & fits & apart).select("a_grp", "b_grp").distinct()
+    counts = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+    about = lambda p: counts.select(*[F.col(c).alias(f"{p}_{c}") for c in counts.columns])
+    both = met.join(about("a"), "a_grp").join(about("b"), "b_grp")
+    # of two groups the smaller one's sets are the queries
+    pick = lambda c: F.when(F.col("a_c") <= F.col("b_c"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+    other = lambda c: F.when(F.col("a_c") <= F.col("b_c"), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))
+    pairs = both.select(pick("grp").alias("grp"), other("grp").alias("opened"), other("least").alias("least"), other("most").alias("most"))
+    in_range = (F.col("n") * share <= F.col("most") * 100) & (F.col("least") * share <= F.col("n") * 100)
+    asked = staged(pairs.join(grouped.select("grp", "rep", "comp", "n"), "grp").filter(in_range).select(F.col("opened").alias("grp"), "rep", "comp"), "matrix-asked")
     release(live.sparkSession)
-    fresh = [F.col(c).alias(c) for c in ("rep", "comp", "n", "k", "sketch", "tokens")]  # attributes of their own on either side
     salts = asked.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).alias("salts"))
-    members = grouped.join(salts, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *fresh)
-    queries = asked.join(salts, "grp").select("grp", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("long").alias("salt"), "rep").join(grouped.select("rep", "comp", "n", "k", "sketch", "tokens"), "rep")
-    queries = queries.select("grp", "salt", "rep", "comp", "n", "k", "sketch", "tokens")
-    found = members.groupBy("grp", "salt").cogroup(queries.groupBy("grp", "salt")).applyInArrow(lambda m, q: open_groups(m, q, share), "a long, b long")
-    out = staged(found, "matrix-links")
-    discard(grouped, posts, asked)
+    members = grouped.select("grp", "rep", "comp").join(salts, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "rep", "comp", F.lit(False).alias("asks"))
+    queries = asked.join(salts, "grp").select("grp", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("long").alias("salt"), "rep", "comp", F.lit(True).alias("asks"))
+    whole = members.unionByName(queries).join(live.select("rep", "n", "k", "sketch", "tokens"), "rep")
+    out = staged(whole.groupBy("grp", "salt").applyInArrow(lambda t: open_group(t, share), "a long, b long"), "matrix-links")
+    discard(grouped, columns, asked)
     return out
 
 

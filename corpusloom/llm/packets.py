@@ -40,15 +40,21 @@ def packed(doc: np.ndarray, records: np.ndarray, homes: int) -> pa.Table:
     return pa.table([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=NAMES)
 
 
+def by_document(table: pa.Table, kind: np.dtype | str) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one home: each document with all its records."""
+    whole = [np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table[c]]) for c, k in (("docs", "<i8"), ("sizes", "<u4"), ("data", kind))]
+    doc = np.repeat(whole[0], whole[1])
+    order = np.argsort(doc, kind="stable")
+    doc, data = doc[order], whole[2][order]
+    for a, b in zip(*runs(doc), strict=True):
+        yield int(doc[a]), data[a:b]
+
+
 def regrouped(found: DataFrame, width: int) -> DataFrame:
     """doc_id, data: all records (of `width` bytes) of each document."""
 
-    def merge(table: pa.Table) -> Iterator[pa.Table] | pa.Table:
-        whole = [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]]) for c, kind in (("docs", "<i8"), ("sizes", "<u4"), ("data", f"V{width}"))]
-        doc = np.repeat(whole[0], whole[1])
-        order = np.argsort(doc, kind="stable")
-        doc, data = doc[order], whole[2][order]
-        starts, ends = runs(doc)
-        return pa.table({"doc_id": pa.array(doc[starts], pa.int64()), "data": pa.array([data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())})
+    def merge(table: pa.Table) -> pa.Table:
+        rows = [(d, x.tobytes()) for d, x in by_document(table, f"V{width}")]
+        return pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "data": pa.array([x for _, x in rows], pa.binary())})
 
     return found.groupBy("home").applyInArrow(merge, "doc_id long, data binary")
