@@ -387,7 +387,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     as `kept` if asked for.
 
     Null counts as empty: no bytes, nothing removed. Texts under WIDTH bytes neither lose nor cost anything. Rows that
-    repeat a doc_id are not each other's repeats; each loses what smaller doc_ids hold. Rows without doc_id have no
+    repeat a doc_id are not each other's repeats; each loses what smaller doc_ids hold. (Where one doc_id has several
+    different texts, what is found in any of them is removed from all: a doc_id is taken to name one text.) Rows without doc_id have no
     place in the order: they are left whole. An empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long"), "text").join(repeated_spans(docs).hint("shuffle_hash"), "doc_id", "left")
