@@ -58,6 +58,16 @@ def bm25_ngram_topk(spark, sf_dir):
     return leg(spark, sf_dir, T.tokens)
 
 
+@fam.query(f"""WITH {bm25_sql('g', GRAM_TOKENS, 25)} SELECT (SELECT count(*) FROM g_p) AS postings, (SELECT count(DISTINCT term) FROM g_p) AS terms, (SELECT sum(tf) FROM g_p)::BIGINT AS tokens, (SELECT round(avgdl, 6) FROM g_s) AS avgdl""")
+def bm25_index_build(spark, sf_dir):
+    """Builds the whole n-gram index, and returns its figures."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    d = corpus(spark, sf_dir).select("doc_id", "text")
+    posted = R.postings(d, "doc_id", T.tokens(text))
+    by_term = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return by_term.agg(F.sum("df").alias("postings"), F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens")).crossJoin(R.corpus_sizes(d, T.tokens(text)).select(F.round("avgdl", 6).alias("avgdl")))
+
+
 def hybrid(spark, sf_dir) -> DataFrame:
     lists = leg(spark, sf_dir, T.words).select("item_id", "doc_id", "rank", F.lit(0).alias("list_no"))
     lists = lists.unionByName(leg(spark, sf_dir, prefixes).select("item_id", "doc_id", "rank", F.lit(1).alias("list_no")))
