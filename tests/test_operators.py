@@ -36,13 +36,13 @@ def test_metrics(spark):
 
 
 def test_canonical(spark):
-    rows = [(1, "h", False, "x"), (2, "h", False, "tarun"), (3, "h", True, "tarun"), (4, "k", False, "x"), (5, "k", False, "x"), (6, "solo", False, "x")]
+    rows = [(1, "h", False, "x"), (2, "h", False, "main"), (3, "h", True, "main"), (4, "k", False, "x"), (5, "k", False, "x"), (6, "solo", False, "x")]
     df = spark.createDataFrame(rows, "id long, digest string, excluded boolean, source string")
-    got = {r.digest: r for r in C.canonical_rows(df, "id", "digest", "excluded", F.col("source") == "tarun").collect()}
+    got = {r.digest: r for r in C.canonical_rows(df, "id", "digest", "excluded", F.col("source") == "main").collect()}
     assert (got["h"].canonical, got["h"].ambiguous) == (2, False)
     assert (got["k"].canonical, got["k"].blocked) == (4, True) and "solo" not in got
     named = spark.createDataFrame([("k", 5), ("h", 99)], "digest string, canonical_id long")
-    got = {r.digest: r for r in C.canonical_rows(df, "id", "digest", "excluded", F.col("source") == "tarun", named).collect()}
+    got = {r.digest: r for r in C.canonical_rows(df, "id", "digest", "excluded", F.col("source") == "main", named).collect()}
     assert (got["k"].canonical, got["k"].blocked, got["h"].canonical, got["h"].overridden) == (5, False, 2, False)
 
 
