@@ -6,7 +6,8 @@ array is never built whole, and suffixes that cannot matter are never moved:
 1. Every window of WIDTH bytes has an anchor, its smallest GRAM-gram by hash; equal windows have equal anchors. Anchors
    meet in buckets (packed, eight bytes each), and each document learns which of its own other texts hold too.
 2. Runs of windows with the same shared anchor go, with their bytes, to that anchor's bucket. Equal runs are joined
-   before they move; within a bucket, too, only distinct runs are sorted.
+   before they move; within a bucket, too, only distinct runs are sorted. Windows of an anchor that very many texts
+   hold go one by one, dealt by their own bytes, so that no bucket gathers the surroundings of a common passage.
 3. A bucket's suffixes are sorted a block at a time. Suffixes are sorted by their first PERIOD bytes; longer ties are
    resolved by ranks of the positions in a difference cover, precomputed for the block: for any two suffixes a short
    shift brings both to cover positions, whose ranks settle the order. So memory is that of a block whatever the length
@@ -37,6 +38,9 @@ SLICE = 2000
 DOCS_PER_BUCKET = 2000
 RUN = 64
 BLOCK = 300_000
+#: An anchor of more texts than this is hot: its windows go one by one, to buckets of their own bytes.
+HOT_TEXTS = 4096
+_HOT = np.uint64(1 << 63)
 _LOW = np.uint64((1 << 48) - 1)
 _BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 _ODD = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
@@ -130,7 +134,7 @@ def anchor_messages(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, ANCHORS)
 
 
-def shared_anchors(table: pa.Table, homes: int) -> pa.Table:
+def shared_anchors(table: pa.Table, homes: int, hot_texts: int = HOT_TEXTS) -> pa.Table:
     """Of one bucket: for the first document of each text, its anchors that other texts hold too, packed by home."""
     names, keys = joined_cells(table, "docs", "<i8"), joined_cells(table, "keys", "<u8").reshape(-1, 2)
     # texts by number; the smallest doc_id of each
@@ -149,8 +153,10 @@ def shared_anchors(table: pa.Table, homes: int) -> pa.Table:
     value, text = value[fresh], text[fresh]
     edge = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     sizes = np.diff(np.append(edge, len(value)))
-    keep = np.repeat(sizes, sizes) > 1
+    many = np.repeat(sizes, sizes)
+    keep = many > 1
     value, doc = value[keep] | np.uint64(table["bucket"][0].as_py() << 48), first[text[keep]]
+    value[many[keep] > hot_texts] |= _HOT
     return packed(doc, value.astype("<u8"), homes)
 
 
@@ -186,16 +192,18 @@ def run_messages(docs: DataFrame, buckets: int) -> DataFrame:
             if len(raw) < WIDTH:
                 continue
             low = window_anchors(np.frombuffer(raw, np.uint8))
-            known = np.sort(np.frombuffer(cells, "<u8"))
+            known = np.frombuffer(cells, "<u8")
+            hot, known = known[known >= _HOT] & ~_HOT, np.sort(known & ~_HOT)
             first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
             stop = np.append(first[1:], len(low))
             value = anchor_names(low[first], buckets)
             at = np.minimum(np.searchsorted(known, value), len(known) - 1)
-            for a, b, v in zip(first[hit := known[at] == value], stop[hit], value[hit], strict=True):
-                rows += [(k, s, min(RUN, b - s), v) for s in range(a, b, RUN)]
+            for a, b, v, h in zip(first[hit := known[at] == value], stop[hit], value[hit], np.isin(value[hit], hot), strict=True):
+                rows += [(k, s, 1, None) for s in range(a, b)] if h else [(k, s, min(RUN, b - s), v) for s in range(a, b, RUN)]
         seen: dict[tuple[int, bytes], list] = {}
         for k, s, n, v in rows:
-            seen.setdefault((v, raws[k][s : s + n + WIDTH - 1]), []).append((k, s))
+            raw = raws[k][s : s + n + WIDTH - 1]
+            seen.setdefault((name_of(raw, buckets) if v is None else v, raw), []).append((k, s))
         gone, out = [], []
         for (v, raw), places in seen.items():
             least = min(ids[k] for k, _ in places)
@@ -233,6 +241,11 @@ def anchor_names(values: np.ndarray, buckets: int) -> np.ndarray:
     return in_buckets(values, buckets).astype(np.uint64) << np.uint64(48) | values & _LOW
 
 
+def name_of(window: bytes, buckets: int) -> np.uint64:
+    code = xxhash.xxh3_64_intdigest(window)
+    return np.uint64(((code >> 48) * buckets >> 16) << 48 | code & ((1 << 48) - 1))
+
+
 def words(padded: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     """The n 8-byte big-endian words that start at each of `at`."""
     return [(np.lib.stride_tricks.sliding_window_view(padded, 8)[at + 8 * k]).copy().view(">u8").ravel().astype(np.uint64) for k in range(n)]
@@ -363,7 +376,17 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), ends[np.append(first[1:] - 1, len(ends) - 1)].tolist(), strict=True))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def documents_anchors(own: DataFrame, buckets: int, hot_texts: int = HOT_TEXTS) -> DataFrame:
+    met = anchor_messages(own, buckets).groupBy("bucket").applyInArrow(lambda t: shared_anchors(t, buckets, hot_texts), PACKET)
+    return regrouped(met, 8).withColumnRenamed("data", "shared")
+
+
+def found_spans(own: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+    live = own.join(shared.hint("shuffle_hash"), "doc_id")
+    return regrouped(run_messages(live, buckets).groupBy("bucket").applyInArrow(lambda t: bucket_repeats(t, buckets), PACKET), SPAN.itemsize)
+
+
+def repeated_spans(docs: DataFrame, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """doc_id, spans (intervals to be removed, packed as SPAN; they may overlap), whole (all of it goes)."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), "text")
@@ -371,18 +394,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     buckets = min(32_000, max(8, sizes.count() // DOCS_PER_BUCKET))
     firsts = sizes.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     copies = staged(sizes.join(firsts, "key").filter("doc_id > first").select("doc_id").distinct(), "suffix-copies")
-    found = anchor_messages(own, buckets).groupBy("bucket").applyInArrow(lambda t: shared_anchors(t, buckets), PACKET)
-    shared = staged(regrouped(found, 8).withColumnRenamed("data", "shared"), "suffix-shared")
+    shared = staged(documents_anchors(own, buckets, hot_texts), "suffix-shared")
     release(spark)
-    live = own.join(shared.hint("shuffle_hash"), "doc_id")
-    spans = run_messages(live, buckets).groupBy("bucket").applyInArrow(lambda t: bucket_repeats(t, buckets), PACKET)
-    out = staged(regrouped(spans, SPAN.itemsize), "suffix-spans")
+    out = staged(found_spans(own, shared, buckets), "suffix-spans")
     release(spark)
     discard(shared, sizes)
     return out.join(copies.withColumn("whole", F.lit(True)), "doc_id", "full").select("doc_id", F.col("data").alias("spans"), F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes kept
     as `kept` if asked for.
 
@@ -391,7 +411,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     different texts, what is found in any of them is removed from all: a doc_id is taken to name one text.) Rows without doc_id have no
     place in the order: they are left whole. An empty table gives no rows.
     """
-    own = docs.select(F.col("doc_id").cast("long"), "text").join(repeated_spans(docs).hint("shuffle_hash"), "doc_id", "left")
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(repeated_spans(docs, hot_texts).hint("shuffle_hash"), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -302,7 +302,8 @@ def test_chunks_tile_and_clashes_fall_back(spark):
 # ---- 7 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_suffix_dedup(docs, texts, empty):
+@pytest.mark.parametrize("hot_texts", [suffix_dedup.HOT_TEXTS, 2])
+def test_suffix_dedup(docs, texts, empty, hot_texts):
     first: dict = {}
     raw = [(d, (t or "").encode()) for d, t in texts]
     for d, b in sorted((x for x in raw if x[0] is not None), key=lambda x: x[0]):
@@ -318,7 +319,7 @@ def test_suffix_dedup(docs, texts, empty):
         gone = np.cumsum(cover[:-1]) > 0
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         want[(d, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())] += 1
-    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect())
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, hot_texts=hot_texts).collect())
     assert got == want
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
