@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,13 @@ def discard(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Collect the driver's garbage, so that shuffle files of finished steps leave the executors' disks."""
+    """Let shuffle files of finished steps leave the executors' disks. Spark drops them when the driver has collected the
+    plans that made them; the plan that ran last stays reachable until another has run, hence the small one between."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+        spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
