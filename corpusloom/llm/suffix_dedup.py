@@ -41,6 +41,7 @@ BLOCK = 300_000
 #: An anchor of more texts than this is hot: its windows go one by one, to buckets of their own bytes.
 HOT_TEXTS = 4096
 _HOT = np.uint64(1 << 63)
+_AGAIN = 1 << 15  # marks, beside a run's size, that its bytes are those of the run before
 _LOW = np.uint64((1 << 48) - 1)
 _BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 _ODD = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
@@ -207,11 +208,13 @@ def run_messages(docs: DataFrame, buckets: int) -> DataFrame:
         gone, out = [], []
         for (v, raw), places in seen.items():
             least = min(ids[k] for k, _ in places)
+            again = 0  # a run that its document repeats goes with its bytes once
             for k, s in places:
                 if ids[k] > least:
                     gone.append((ids[k], s, s + len(raw)))
                 else:
-                    out.append((v >> 48, k, s, raw, v))
+                    out.append((v >> 48, k, s, b"" if again else raw, v, len(raw) | again))
+                    again = _AGAIN
         if gone:
             yield _found(*np.array(gone, np.int64).T, buckets)
         out.sort(key=lambda x: x[0])
@@ -223,7 +226,7 @@ def run_messages(docs: DataFrame, buckets: int) -> DataFrame:
                 end += 1
             part = out[at:end]
             here, ord_ = np.unique(np.array([x[1] for x in part]), return_inverse=True)
-            cells = [ord_.astype("<u2").tobytes(), np.array([x[2] for x in part], "<u4").tobytes(), np.array([len(x[3]) for x in part], "<u2").tobytes(), np.array([x[4] for x in part], "<u8").tobytes(), b"".join(x[3] for x in part)]
+            cells = [ord_.astype("<u2").tobytes(), np.array([x[2] for x in part], "<u4").tobytes(), np.array([x[5] for x in part], "<u2").tobytes(), np.array([x[4] for x in part], "<u8").tobytes(), b"".join(x[3] for x in part)]
             yield pa.RecordBatch.from_arrays([pa.array([int(part[0][0])], pa.int32()), *(pa.array([c], pa.binary()) for c in [names[here].tobytes(), *cells])], names=_RUN_NAMES)
             at = end
 
@@ -316,7 +319,8 @@ def bucket_repeats(table: pa.Table, homes: int) -> pa.Table:
     doc = np.concatenate([np.frombuffer(n.as_buffer(), "<i8")[np.frombuffer(o.as_buffer(), "<u2")] for n, o in zip(table["docs"], table["ord"], strict=True)])
     start, size, anchor = (joined_cells(table, c, k).astype(np.int64 if c != "anchors" else np.uint64) for c, k in (("starts", "<u4"), ("sizes", "<u2"), ("anchors", "<u8")))
     data = joined_cells(table, "data", np.uint8)
-    at = np.cumsum(size) - size
+    again, size = size & _AGAIN > 0, size & ~np.int64(_AGAIN)
+    at = np.cumsum(np.where(again, 0, size)) - size  # a repeat lies where the run before it does
     raw = data.tobytes()
     order = np.lexsort((doc, anchor))
     cuts = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
