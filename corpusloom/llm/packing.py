@@ -1,18 +1,22 @@
 """Operator 5: packing documents into training sequences by lexical retrieval.
 
-The documents are tokenised once and kept as token identifiers. Shards of consecutive documents each get a BM25
-inverted index over token identifiers, whose document frequencies and mean length are those of the whole corpus (a
-vector as long as the vocabulary, summed by Spark). Within a shard, each seed document asks its index for unused
-neighbours, best first, and they fill its window; the document that reaches the window's end is cut there, and its rest
-is the next seed. Only a shard's last window can be short.
-
-A shard is bounded by rows and tokens, needs no shuffle, and is packed by one pass over a staged table, so a lost
-executor costs one partition's work.
+The documents are tokenised once and kept as token identifiers. Chains of windows are filled side by side, in rounds. In
+each round every chain's seed document asks all unused documents, wherever they stand, by BM25 over all of its distinct
+token identifiers; document frequencies and mean length are those of the whole corpus. Where two seeds want the same
+document, the one with the better score gets it; a seed that lost some of its neighbours and has room left asks again in
+the next round. The document that reaches the window's end is cut there and is the next seed. What chains leave in their
+last windows is joined, so that only the last of those windows is short.
+
+A task answers with each seed's few best documents and with the score at which it cut; what is merged from all
+tasks is used down to the highest of those scores only, so it is the true order over the corpus. A round's seeds and
+lists are of bounded size, whatever the corpus. All seeds meet all unused documents: the work grows with the square of
+the corpus.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,13 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm._common import staged
+from corpusloom.llm._common import discard, shared_dir, staged
 
 WINDOW = 2048
 END = 1
 SHARD_ROWS = 4096
-SHARD_TOKENS = 16_000_000
-QUERY_TERMS = 24
+#: Chains at most, and windows that each should fill; distinct identifiers of the seeds of a round; seeds in a message.
+CHAINS, CHAIN_WINDOWS, SEED_TERMS, GROUP = 8192, 16, 16_000_000, 256
+#: Documents that a task names to a seed at least, and that a seed is given in a round.
+ANSWERS, LISTED = 4, 32
+#: Seeds that are scored at once; share of a block's documents from which a term has a dense column; columns by which maxima are taken.
+SCORED, DENSE, LANES = 2048, 0.045, 64
+#: Documents that are claimed, or placed, before a table is written anew.
+CLAIMED = 1_000_000
 K1, B = 1.5, 0.75
 CACHE = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -73,8 +83,9 @@ class WordIds:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end: int = END, vocabulary: int = 1 << 16) -> DataFrame:
-    """doc_id, ids: little-endian unsigned 16-bit identifiers with `end` last. Rows whose `df` is set are not documents:
-    one a partition, `df` counts its documents by token identifier, and n and total its documents and their tokens."""
+    """row: a document's number; doc_id; ids: little-endian unsigned 16-bit identifiers with `end` last; terms, counts:
+    the distinct ones and how often each is there. Rows whose `df` is set are not documents: one a partition, `df`
+    counts its documents by token identifier, and n and total its documents and their tokens."""
     with open(tokenizer, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())  # a fixed file
 
@@ -82,23 +93,30 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int = END, vocabulary: int =
         if "ids" not in _BUILT:
             _BUILT["ids"] = WordIds(data.value)
         last, df, n, total = np.array([end], "<u2").tobytes(), np.zeros(vocabulary, "<u4"), 0, 0
+        first = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = [x + last for x in _BUILT["ids"]([t or "" for t in part.column("text").to_pylist()])]
-                for x in out:
-                    df[np.unique(np.frombuffer(x, "<u2"))] += 1
+                found = [np.unique(np.frombuffer(x, "<u2"), return_counts=True) for x in out]
+                for terms, _ in found:
+                    df[terms] += 1
+                row = pa.array(np.arange(first + n, first + n + len(out)), pa.int64())
                 n, total = n + len(out), total + sum(map(len, out)) // 2
                 none = pa.nulls(len(out), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary()), none, none], names=["doc_id", "ids", "df", "n", "total"])
+                cells = [pa.array(x, pa.binary()) for x in (out, [t.tobytes() for t, _ in found], [c.astype("<u4").tobytes() for _, c in found])]
+                yield pa.RecordBatch.from_arrays([row, part.column("doc_id"), *cells, pa.nulls(len(out), pa.binary()), none, none], names=names)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["doc_id", "ids", "df", "n", "total"])
+            blank = [pa.nulls(1, pa.int64())] * 2 + [pa.nulls(1, pa.binary())] * 3
+            yield pa.RecordBatch.from_arrays([*blank, pa.array([df.tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, df binary, n long, total long")
+    schema = "row long, doc_id long, ids binary, terms binary, counts binary, df binary, n long, total long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def frequencies(tokens: DataFrame, vocabulary: int = 1 << 16) -> tuple[np.ndarray, int, float]:
-    """Documents by token identifier, documents, mean length; over all of `tokens`. Partitions' counts are added up by
+def frequencies(tokens: DataFrame, vocabulary: int = 1 << 16) -> tuple[np.ndarray, int, int]:
+    """Documents by token identifier, documents, tokens; over all of `tokens`. Partitions' counts are added up by
     identifier, so the driver gets a vector as long as the vocabulary whatever their number."""
     parts = tokens.filter("df IS NOT NULL")
 
@@ -114,104 +132,264 @@ def frequencies(tokens: DataFrame, vocabulary: int = 1 << 16) -> tuple[np.ndarra
     df = np.zeros(vocabulary)
     df[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
     n, total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    return df, n, total / max(1, n)
+    return df, n, total
 
 
 class Index:
-    """BM25 inverted index of a shard."""
+    """BM25 index of a block of documents. Terms that many of them hold have a dense column, others a posting list."""
 
-    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int = QUERY_TERMS):
-        self.idf, self.n, self.query_terms = idf, len(ids), query_terms
+    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int | None = None):
         found = [np.unique(x, return_counts=True) for x in ids]
-        self.terms = [t for t, _ in found]
-        term, doc = np.concatenate(self.terms), np.repeat(np.arange(self.n), [len(t) for t in self.terms])
-        tf, length = np.concatenate([c for _, c in found]), np.array([len(x) for x in ids])
-        weight = idf[term] * tf / (tf + K1 * (1 - B + B * length[doc] / mean))
+        self.query_terms = query_terms
+        self._build([t for t, _ in found], np.concatenate([c for _, c in found]), np.array([len(x) for x in ids]), idf, mean)
+
+    @classmethod
+    def of(cls, terms: list[np.ndarray], counts: np.ndarray, lengths: np.ndarray, idf: np.ndarray, mean: float) -> Index:
+        index = cls.__new__(cls)
+        index.query_terms = None
+        index._build(terms, counts, lengths, idf, mean)
+        return index
+
+    def _build(self, terms: list[np.ndarray], tf: np.ndarray, lengths: np.ndarray, idf: np.ndarray, mean: float) -> None:
+        self.idf, self.n, self.terms = idf, len(terms), terms
+        term, doc = np.concatenate(terms), np.repeat(np.arange(self.n), [len(t) for t in terms])
+        weight = (idf[term] * tf / (tf + K1 * (1 - B + B * lengths[doc] / mean))).astype(np.float32)
+        held = np.bincount(term, minlength=len(idf))
+        common = np.flatnonzero(held > DENSE * self.n)
+        self.column = np.full(len(idf), -1)
+        self.column[common] = np.arange(len(common))
+        at = self.column[term]
+        self.dense = np.zeros((len(common), -(-self.n // LANES) * LANES), np.float32)
+        self.dense[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
+        term, doc, weight = term[at < 0], doc[at < 0], weight[at < 0]
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order].astype(np.float32)
+        self.doc, self.weight = doc[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
+    def scores(self, seeds: list[np.ndarray]) -> np.ndarray:
+        """Scores of each seed's terms by document; columns that fill up the last lane hold -1."""
+        term, who = np.concatenate(seeds), np.repeat(np.arange(len(seeds)), [len(t) for t in seeds])
+        at = self.column[term]
+        query = np.zeros((len(seeds), len(self.dense)), np.float32)
+        query[who[at >= 0], at[at >= 0]] = 1
+        score = query @ self.dense
+        term, who = term[at < 0], who[at < 0]
+        order = np.argsort(term, kind="stable")
+        term, who = term[order], who[order]
+        asked, first = np.unique(term, return_index=True)
+        for t, lo, hi in zip(asked.tolist(), first.tolist(), [*first[1:].tolist(), len(term)][: len(first)], strict=True):
+            s = slice(self.starts[t], self.starts[t + 1])
+            if s.start < s.stop:
+                score[who[lo:hi, None], self.doc[s]] += self.weight[s]
+        score[:, self.n :] = -1
+        return score
+
+    def best(self, seeds: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and documents of the `k` best by seed, best first (ties: in order); -1 where there are fewer."""
+        score = self.scores(seeds)
+        if score.shape[1] > 2 * k * LANES:  # the k best lie in the k lanes with the highest maxima
+            lanes = np.sort(np.argpartition(-score.reshape(len(seeds), -1, LANES).max(2), k - 1)[:, :k])
+            at = (lanes[:, :, None] * LANES + np.arange(LANES)).reshape(len(seeds), -1)
+        else:
+            at = np.broadcast_to(np.arange(score.shape[1]), score.shape)
+        found = np.take_along_axis(score, at, 1)
+        first = np.argpartition(-found, k - 1)[:, :k]
+        found, at = np.take_along_axis(found, first, 1), np.take_along_axis(at, first, 1)
+        order = np.lexsort((at, -found))
+        return np.take_along_axis(found, order, 1), np.take_along_axis(at, order, 1)
+
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
-        """Unused documents that share one of the seed's rarest terms, best first (ties: in order)."""
+        """Unused documents that share a term with the seed, best first (ties: in order)."""
         terms = self.terms[seed]
-        if len(terms) > self.query_terms:
+        if self.query_terms and len(terms) > self.query_terms:
             terms = terms[np.argpartition(-self.idf[terms], self.query_terms)[: self.query_terms]]
-        lists = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
-        doc = np.concatenate([self.doc[s] for s in lists])
-        score = np.bincount(doc, np.concatenate([self.weight[s] for s in lists]), self.n) * unused
-        top = min(16, self.n - 1)
-        if top > 0:
-            first = np.argpartition(-score, top)[:top]
-            first = first[np.lexsort((first, -score[first]))]
-            yield from (int(i) for i in first if score[i] > 0)
-            score[first] = 0
+        score = self.scores([terms])[0, : self.n] * unused
         yield from (int(i) for i in np.argsort(-score, kind="stable") if score[i] > 0)
 
 
-def pack(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, window, offset) of each piece, in order; every identifier lies in exactly one."""
-    index, unused = Index(ids, idf, mean), np.ones(len(ids), bool)
-    at, room, following = 0, window, 0
-    carry: tuple[int, int] | None = None  # a document whose rest is the next seed
-    while True:
-        if carry is None:
-            while following < len(ids) and not unused[following]:
-                following += 1
-            if following == len(ids):
-                return
-            carry = (following, 0)
-            unused[following] = False
-        seed, asked = carry[0], None
-        while room and carry:
-            doc, start = carry
-            take = min(room, len(ids[doc]) - start)
-            yield doc, start, take, at, window - room
-            room -= take
-            carry = (doc, start + take) if start + take < len(ids[doc]) else None
-            if room and carry is None:
-                asked = index.neighbours(seed, unused) if asked is None else asked
-                doc = next((d for d in asked if unused[d]), -1)
-                if doc < 0:
-                    break
-                unused[doc] = False
-                carry = (doc, 0)
-        if room == 0:
-            at, room = at + 1, window
+def is_in(rows: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of `rows` are among `some`, which is sorted."""
+    return some[np.minimum(np.searchsorted(some, rows), len(some) - 1)] == rows if len(some) else np.zeros(len(rows), bool)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], used: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """row, length, terms and counts of the documents that are not used, `size` documents at a time."""
+    rows, lengths, terms, counts = [], [], [], []
+    for batch in batches:
+        fresh = np.flatnonzero(~is_in(batch.column("row").to_numpy(), used))
+        for part in (batch.take(pa.array(fresh[i : i + 256])) for i in range(0, len(fresh), 256)):
+            for row, length, t, c in zip(*(part.column(x).to_pylist() for x in ("row", "length", "terms", "counts")), strict=True):
+                rows.append(row), lengths.append(length), terms.append(np.frombuffer(t, "<u2")), counts.append(np.frombuffer(c, "<u4"))
+                if len(rows) == size:
+                    yield np.array(rows), np.array(lengths), terms, np.concatenate(counts)
+                    rows, lengths, terms, counts = [], [], [], []
+    if rows:
+        yield np.array(rows), np.array(lengths), terms, np.concatenate(counts)
+
+
+ANSWER = np.dtype([("score", "<f4"), ("row", "<i8"), ("length", "<i8")])
+
+
+def nearest(left: DataFrame, seeds: list[np.ndarray], used: np.ndarray, corpus, size: int = SHARD_ROWS) -> pa.Table:
+    """seed, score, row, length: the unused documents of all of `left` that score best for each seed, `LISTED` at most
+    and one at least where any is left; no document that is not listed scores better than one that is."""
+    sent = left.sparkSession.sparkContext.broadcast((seeds, used))
+    answers = max(ANSWERS, min(LISTED, 4 * LISTED // max(1, left.rdd.getNumPartitions())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (idf, mean), (seeds, used) = corpus.value, sent.value
+        top, seen = np.full((len(seeds), answers), np.array((-1, -1, 0), ANSWER)), 0
+        for row, length, terms, counts in blocks(batches, used, size):
+            index, seen = Index.of(terms, counts, length, idf, mean), seen + len(row)
+            for lo in range(0, len(seeds), SCORED):
+                score, at = index.best(seeds[lo : lo + SCORED], min(answers, index.n))
+                new = np.empty(score.shape, ANSWER)
+                new["score"], new["row"], new["length"] = score, row[at], length[at]
+                both = np.concatenate([top[lo : lo + SCORED], new], 1)
+                order = np.lexsort((both["row"], -both["score"]))[:, :answers]
+                top[lo : lo + SCORED] = np.take_along_axis(both, order, 1)
+        if seen:
+            cut = pa.array([seen > answers])
+            for g, lo in enumerate(range(0, len(seeds), GROUP)):
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), cut, pa.array([top[lo : lo + GROUP].tobytes()], pa.binary())], names=["part", "cut", "top"])
+
+    def merge(found: pa.Table) -> pa.Table:
+        tops = np.stack([np.frombuffer(x, ANSWER).reshape(-1, answers) for x in found.column("top").to_pylist()], 1)
+        floor = np.where(found.column("cut").to_numpy()[None], tops["score"][:, :, -1], -1).max(1)
+        tops = tops.reshape(len(tops), -1)
+        tops = np.take_along_axis(tops, np.lexsort((tops["row"], -tops["score"]))[:, :LISTED], 1)
+        seed, at = np.nonzero((tops["row"] >= 0) & (tops["score"] >= floor[:, None]))
+        kept = tops[seed, at]
+        return pa.table({"seed": pa.array(seed + found.column("part")[0].as_py() * GROUP, pa.int64()), **{c: pa.array(np.ascontiguousarray(kept[c])) for c in ANSWER.names}})
+
+    out = left.mapInArrow(run, "part long, cut boolean, top binary").groupBy("part").applyInArrow(merge, "seed long, score float, row long, length long").toArrow()
+    sent.destroy()
+    return out
+
+
+def terms_of(left: DataFrame, rows: np.ndarray) -> dict[int, np.ndarray]:
+    """Distinct identifiers of some documents."""
+    sent = left.sparkSession.sparkContext.broadcast(np.sort(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(np.flatnonzero(is_in(batch.column("row").to_numpy(), sent.value))))
+
+    found = left.select("row", "terms").mapInArrow(run, "row long, terms binary").toArrow()
+    return {r: np.frombuffer(t, "<u2") for r, t in zip(found.column("row").to_pylist(), found.column("terms").to_pylist(), strict=True)}
+
+
+def settle(found: pa.Table, position: np.ndarray, asking: list[int], window: int) -> list[tuple[int, int, int, bool]]:
+    """Who gets which document: (row, chain, length, whether it reaches the window's end), as chains take them. The best
+    scores go first (ties: in order of row and chain); a chain takes no more once its window is full. Moves `position`."""
+    seed, score, row, length = (found.column(c).to_numpy() for c in ("seed", "score", "row", "length"))
+    order = np.lexsort((seed, row, -score))
+    taken, full, out = set(), set(), []
+    for s, r, n in zip(seed[order].tolist(), row[order].tolist(), length[order].tolist(), strict=True):
+        if s in full or r in taken:
+            continue
+        taken.add(r)
+        chain = asking[s]
+        ends = int(position[chain]) % window + n >= window
+        out.append((r, chain, n, ends))
+        position[chain] += n
+        if ends:
+            full.add(s)
+    return out
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per piece: see `PIECES`. `docs`: doc_id, text; other columns are not read.
 
     A null or empty text is a document of its end identifier alone. A long document fills windows of its own and its
-    rest is a seed like any other. Repeated rows are packed each. An empty table gives no rows. A window without
-    neighbours left goes on with the shard's next unused document.
+    rest is a seed like any other. Repeated rows are packed each. An empty table gives no rows. Documents that share
+    nothing with a seed come last, in order. `shard_rows` documents are scored at once; the result does not hang on it.
     """
+    spark = docs.sparkSession
     tokens = staged(tokenised(docs, tokenizer, end), "packing-tokens")
-    df, n, mean = frequencies(tokens)
-    shared = docs.sparkSession.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)), max(mean, 1.0)))
+    df, n, total = frequencies(tokens)
+    if not n:
+        return spark.createDataFrame([], PIECES)
+    corpus = spark.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)), max(total / n, 1.0)))
+    texts = tokens.filter("df IS NULL")
+    left, copy = texts.select("row", (F.octet_length("ids") / 2).cast("long").alias("length"), "terms", "counts"), None
+    chains = int(min(CHAINS, max(1, total // (window * CHAIN_WINDOWS)), n))
+    firsts = left.select("row", "length").orderBy(F.xxhash64("row"), "row").limit(chains).toArrow()
+    position, seed = firsts.column("length").to_numpy().copy(), firsts.column("row").to_numpy().copy()
+    at = f"{shared_dir(spark)}/packing-places-{uuid.uuid4().hex}"
+    places = [(r, c, 0) for c, r in enumerate(seed.tolist())]
+
+    def written() -> None:
+        columns = dict(zip(("row", "chain", "position"), (pa.array(x, pa.int64()) for x in zip(*places, strict=True)), strict=True))
+        spark.createDataFrame(pa.table(columns)).coalesce(1).write.mode("append").parquet(at)
+        places.clear()
+
+    used, unused, since = np.sort(seed), n - chains, chains
+    known, sizes = {}, dict(zip(seed.tolist(), position.tolist(), strict=True))
+    turn = 0
+    while unused:
+        asking, terms = [], 0
+        for c in ((turn + i) % chains for i in range(chains)):  # all, unless their seeds hold too much
+            terms += min(sizes[int(seed[c])], len(df))
+            if asking and terms > SEED_TERMS:
+                turn = c
+                break
+            asking.append(c)
+        missing = [r for r in {int(seed[c]) for c in asking} if r not in known]
+        if missing:
+            known |= terms_of(left if copy is None else tokens.filter("df IS NULL"), np.array(missing))
+        before = position.copy()
+        got = settle(nearest(left, [known[int(seed[c])] for c in asking], used, corpus, shard_rows), position, asking, window)
+        for r, c, length, ends in got:
+            places.append((r, c, int(before[c])))
+            before[c] += length
+            if ends:
+                seed[c], sizes[r] = r, length
+        live = {int(r) for r in seed}
+        known, sizes = {r: t for r, t in known.items() if r in live}, {r: x for r, x in sizes.items() if r in live}
+        used = np.sort(np.concatenate([used, np.array([g[0] for g in got], np.int64)]))
+        unused, since = unused - len(got), since + len(got)
+        if len(places) > CLAIMED:
+            written()
+        if unused and (since > CLAIMED or since > unused):
+            fresh, since = staged(without(left, used), "packing-unused"), 0
+            if copy is not None:
+                discard(copy)
+            left = copy = fresh
+            used = np.zeros(0, np.int64)
+    written()
+    if copy is not None:
+        discard(copy)
+    rest = position % window
+    tails = spark.sparkContext.broadcast((position // window, np.cumsum(rest) - rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, mean = shared.value
-        sequence = TaskContext.get().partitionId() << 40
-        names: list = []
-        ids: list[np.ndarray] = []
-        held = 0
-
-        def packed() -> pa.RecordBatch:
-            nonlocal sequence, names, ids, held
-            rows = [(names[d], s, k, zlib.crc32(ids[d][s : s + k].astype("<u4").tobytes()), len(ids[d]), sequence + w, o) for d, s, k, w, o in pack(ids, idf, mean, window)]
-            sequence = max(r[5] for r in rows) + 1
-            names, ids, held = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+        last, base = tails.value
+        for batch in batches:
+            rows = []
+            for name, cell, chain, p in zip(*(batch.column(c) for c in ("doc_id", "ids", "chain", "position")), strict=True):
+                ids, s, name, chain, p = np.frombuffer(cell.as_py(), "<u2"), 0, name.as_py(), chain.as_py(), p.as_py()
+                while s < len(ids):
+                    number, offset = chain << 40 | p // window, p % window
+                    if p // window == last[chain]:  # left over: joined to other chains' last windows
+                        place = int(base[chain]) + offset
+                        number, offset = chains << 40 | place // window, place % window
+                    k = min(window - p % window, window - offset, len(ids) - s)
+                    rows.append((name, s, k, zlib.crc32(ids[s : s + k].astype("<u4").tobytes()), len(ids), number, offset))
+                    s, p = s + k, p + k
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+
+    placed = spark.read.schema("row long, chain long, position long").parquet(at)
+    return texts.select("row", "doc_id", "ids").join(placed, "row").select("doc_id", "ids", "chain", "position").mapInArrow(run, PIECES)
+
+
+def without(left: DataFrame, used: np.ndarray) -> DataFrame:
+    """The documents that are not used."""
+    sent = left.sparkSession.sparkContext.broadcast(used)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, cell in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                names.append(name)
-                ids.append(np.frombuffer(cell.as_py(), "<u2"))
-                held += len(ids[-1])
-                if len(ids) >= shard_rows or held >= SHARD_TOKENS:
-                    yield packed()
-        if ids:
-            yield packed()
-
-    return tokens.filter("df IS NULL").select("doc_id", "ids").mapInArrow(run, PIECES)
+            yield batch.take(pa.array(np.flatnonzero(~is_in(batch.column("row").to_numpy(), sent.value))))
+
+    return left.mapInArrow(run, "row long, length long, terms binary, counts binary")

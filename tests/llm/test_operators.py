@@ -273,6 +273,43 @@ def test_neighbours_are_the_best_scored():
     assert got == sorted(range(1, 50), key=lambda d: (-round(score[d], 4), d))[:5]
 
 
+def spelled(spark, texts, slices):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(slices, "doc_id")
+
+
+@pytest.mark.parametrize(("rows", "slices"), [(4096, 1), (2, 4)])
+def test_neighbours_are_found_in_every_shard(spark, monkeypatch, rows, slices):
+    monkeypatch.setattr(packing, "CHAINS", 1)
+    said = [" ".join(f"{w}{i}" for i in range(30)) for w in ("river", "stone", "cloud", "engine", "garden", "market")]
+    tokenizer = Tokenizer.from_file(WORDS)
+    shortest = min(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in said)  # so each document is a seed
+    out = packing.pack_documents(spelled(spark, said + said, slices), WORDS, window=shortest, shard_rows=rows).collect()
+    order = [r.doc_id for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    assert sorted(order) == list(range(12)) and all(abs(a - b) == 6 for a, b in zip(order[::2], order[1::2], strict=True))
+
+
+@pytest.mark.parametrize("rows", [4096, 7])
+def test_listed_documents_are_the_best_of_all(spark, texts, rows):
+    docs = spelled(spark, [t for _, t in texts], 5)
+    tokens = packing.staged(packing.tokenised(docs, WORDS), "test-tokens")
+    df, n, total = packing.frequencies(tokens)
+    idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), total / n
+    left = tokens.filter("df IS NULL").select("row", (F.octet_length("ids") / 2).cast("long").alias("length"), "terms", "counts")
+    held = {r.row: (np.frombuffer(r.terms, "<u2"), np.frombuffer(r.counts, "<u4"), r.length) for r in left.collect()}
+    seeds = sorted(held)[::9]
+    used = np.array(seeds)
+    got = packing.nearest(left, [held[s][0] for s in seeds], used, spark.sparkContext.broadcast((idf, mean)), rows).to_pylist()
+    for i, s in enumerate(seeds):
+        score = {}
+        for d, (t, c, length) in held.items():
+            both = np.isin(t, held[s][0])
+            score[d] = float((idf[t] * c / (c + 1.5 * (0.25 + 0.75 * length / mean)))[both].sum())
+        best = sorted((x for d, x in score.items() if d not in set(seeds)), reverse=True)
+        mine = [r for r in got if r["seed"] == i]
+        assert len(mine) >= packing.ANSWERS and [r["score"] for r in mine] == pytest.approx(best[: len(mine)], rel=1e-4, abs=1e-4)
+        assert all(r["score"] == pytest.approx(score[r["row"]], rel=1e-4, abs=1e-4) for r in mine)
+
+
 # ---- 6 ---------------------------------------------------------------------------------------------------------------
 
 
