@@ -288,6 +288,17 @@ def test_neighbours_are_found_in_every_shard(spark, monkeypatch, rows, slices):
     assert sorted(order) == list(range(12)) and all(abs(a - b) == 6 for a, b in zip(order[::2], order[1::2], strict=True))
 
 
+def test_all_of_a_seeds_terms_are_scored():
+    rare, shared = np.arange(100, 130), np.arange(1000, 1040)
+    ids = [np.concatenate([rare, shared]).astype(np.uint16)] + [shared[i : i + 4].astype(np.uint16) for i in range(30)]
+    df = np.bincount(np.concatenate(ids), minlength=1 << 16)
+    idf, mean = np.log1p((31 - df + 0.5) / (df + 0.5)), float(np.mean([len(x) for x in ids]))
+    unused = np.arange(31) > 0
+    score = [sum(idf[t] / (1 + 1.5 * (0.25 + 0.75 * 4 / mean)) for t in x) for x in ids]
+    got = list(packing.Index(ids, idf, mean).neighbours(0, unused))
+    assert sorted(got) == list(range(1, 31)) and [score[d] for d in got] == pytest.approx(sorted(score[1:], reverse=True), abs=1e-4)
+
+
 @pytest.mark.parametrize("rows", [4096, 7])
 def test_listed_documents_are_the_best_of_all(spark, texts, rows):
     docs = spelled(spark, [t for _, t in texts], 5)
