@@ -133,6 +133,15 @@ def mentor_turns(spark, sf_dir):
     return m.select("conv_id", "turn", step.alias("step"), L.explicit_level(F.col("message")).alias("level"))
 
 
+@fam.query()
+def conversation_mentor_turns(spark, sf_dir):
+    """The steps of mentor_turns over every turn and its whole text."""
+    said = F.col("text")
+    role = L.match_role(said)
+    step = F.when(L.impersonates(said, F.lit(True)), "refuse").when(role.isNotNull(), F.concat(F.lit("answer as "), role)).otherwise("ask for a role")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", step.alias("step"), L.explicit_level(said).alias("level"))
+
+
 @fam.query("SELECT doc_id, round(n_chars / 7.0::DOUBLE, 4) AS similarity, CASE WHEN doc_id % 2 = 0 THEN round(n_chars / 13.0::DOUBLE, 4) END AS rerank FROM documents")
 def citation_projection(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(F.col("n_chars") / 7.0, 4).alias("similarity"), F.when(F.expr("doc_id % 2 = 0"), F.round(F.col("n_chars") / 13.0, 4)).alias("rerank"))

@@ -259,6 +259,14 @@ def roles_and_levels(spark, sf_dir):
     return m.select("conv_id", "turn", role.alias("role_id"), L.explicit_level(said).alias("level"), L.impersonates(said, ~F.col("in_role")).alias("refused"))
 
 
+@fam.query()
+def conversation_roles_and_levels(spark, sf_dir):
+    """The rules of roles_and_levels over every turn and its whole text."""
+    said, within = F.col("text"), F.expr("conv_id % 4 = 0")
+    role = L.resolve_role(said, F.when(within, "boro_bhai"), F.lit("shikkhok"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role_id"), L.explicit_level(said).alias("level"), L.impersonates(said, ~within).alias("refused"))
+
+
 @fam.query("""WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'নামাজ পড়ার নিয়ম কী কী বলুন তো' WHEN turn % 3 = 0 THEN 'আরো বলো' ELSE text END AS message, turn > 0 AS has_history FROM conversations)
 SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN true WHEN turn % 3 = 0 THEN false ELSE false END AS skips FROM m""")
 def condense_skips(spark, sf_dir):
