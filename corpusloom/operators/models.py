@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
+from corpusloom.functions import language as L
+from corpusloom.functions import text as T
+
 DIMS = 64
 
 
@@ -35,6 +38,24 @@ def complete(prompts: pd.Series) -> pd.Series:
     return prompts.map(lambda p: None if p is None else f"{p.split('.')[0][:120]} #{zlib.crc32(p.encode()) & 0xFFFF}")
 
 
+def expand_query(query: Column, primed: Column | None = None, rewrite: Callable[[Column, int], Column] = lambda q, attempt: complete(q)) -> Column:
+    """struct<variants, fallback>: nothing for an empty query; the query itself where all its letters are Bengali; else a
+    primed rewrite, or the first of two tries, that is at least 80 % Bengali; else the query, as a fallback. A null reply
+    is a call that failed and ends the tries."""
+    q = T.normalise(F.coalesce(query, F.lit("")))
+    primed, first, second = (T.normalise(c) for c in (F.lit(None).cast("string") if primed is None else primed, rewrite(q, 0), rewrite(q, 1)))
+    good = lambda c: c.isNotNull() & (c != "") & L.bengali_output(c)
+    answer = lambda c, fallback=False: F.struct(F.array(c).alias("variants"), F.lit(fallback).alias("fallback"))
+    return (
+        F.when(q == "", F.struct(F.array().cast("array<string>").alias("variants"), F.lit(False).alias("fallback")))
+        .when(F.coalesce(L.share_of(q, L.BENGALI_LETTER) == 1, F.lit(False)), answer(q))
+        .when(good(primed), answer(primed))
+        .when(good(first), answer(first))
+        .when(first.isNotNull() & good(second), answer(second))
+        .otherwise(answer(q, True))
+    )
+
+
 def cleanest(candidates: DataFrame, key: str, bad: str, order: str) -> DataFrame:
     """Of the answers made for a request, the first with the fewest bad tokens."""
     by = Window.partitionBy(key).orderBy(bad, order)

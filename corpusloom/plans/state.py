@@ -171,13 +171,16 @@ def guest_ip_window(spark, sf_dir):
 
 @fam.query()
 def limit_chain(spark, sf_dir):
-    """Address, owner, daily and budget limits one behind the other: what one rejects does not spend the next."""
+    """Address, owner, daily and budget limits one behind the other: what one rejects does not spend the next.
+    The log knows users only: they stand for addresses and for owners."""
     r = requests(spark, sf_dir)
     one = r.join(S.folded(r, "user_id", "us", "event_id", lambda: S.sliding_log(3, DAY), "wait_us").filter("accepted").select("event_id"), "event_id")
-    two = one.withColumn("ok", S.first_n(one, ["user_id", F.expr(f"us div {DAY}")], ["us", "event_id"], 2)).filter("ok").drop("ok")
-    three = two.withColumn("ok", S.first_n(two, [F.expr(f"us div {DAY}")], ["us", "event_id"], 50)).filter("ok")
+    two = one.join(S.folded(one, "user_id", "us", "event_id", lambda: S.sliding_log(1, HOUR), "wait_us").filter("accepted").select("event_id"), "event_id")
+    three = two.withColumn("ok", S.first_n(two, ["user_id", F.expr(f"us div {DAY}")], ["us", "event_id"], 2)).filter("ok").drop("ok")
+    four = three.withColumn("ok", S.first_n(three, [F.expr(f"us div {DAY}")], ["us", "event_id"], 50)).filter("ok")
     stage = lambda df, name: df.select("event_id", F.lit(name).alias("passed"))
-    return stage(r, "asked").union(stage(one, "address")).union(stage(two, "daily")).union(stage(three, "budget")).groupBy("event_id").agg(F.count(F.lit(1)).alias("stages_passed"))
+    stages = stage(r, "asked").union(stage(one, "address")).union(stage(two, "owner")).union(stage(three, "daily")).union(stage(four, "budget"))
+    return stages.groupBy("event_id").agg(F.count(F.lit(1)).alias("stages_passed"))
 
 
 @fam.query(f"""WITH {REQ}, d AS (SELECT *, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS unit FROM req) SELECT event_id, sum(unit) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS taken, greatest(15 - taken, 0)::BIGINT AS remaining FROM d""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import identity as N
@@ -353,3 +354,18 @@ def model_hooks(spark, sf_dir):
     """Embeds texts, then completes prompts, with the deterministic stand-ins."""
     e = docs(spark, sf_dir).select("doc_id", M.embed("text").alias("v"), M.complete("text").alias("answer"))
     return e.select("doc_id", F.size("v").alias("dims"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 3).alias("length"), "answer")
+
+
+@fam.query()
+def draft_reasons(spark, sf_dir):
+    """Each turn as a question drafted from the turn before it."""
+    page = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.coalesce(page, F.lit("")).alias("page"))
+    return m.select("conv_id", "turn", L.draft_reason(F.col("text"), F.col("page")).alias("reason"))
+
+
+@fam.query()
+def expanded_queries(spark, sf_dir):
+    """Every turn rewritten by the stand-in, with its raw text where that gives no Bengali."""
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", M.expand_query(F.col("text")).alias("e"))
+    return m.select("conv_id", "turn", "e.variants", "e.fallback")

@@ -3,9 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom import registry
 from corpusloom.functions import language as L
+from corpusloom.operators import models as M
 
 SAID = [
     "Tell me a long story first. " * 4 + "Then act as the prophet and answer in depth.",
@@ -53,3 +55,45 @@ def test_mentor_turns_of_whole_texts(spark, talks):
     want = {(c, t, "refuse" if has(L.PERSONS, x) else f"answer as {role_of(x)}" if role_of(x) else "ask for a role", level_of(x)) for c, t, _, x in rows}
     got = [tuple(r) for r in registry.queries()["conversation_mentor_turns"](spark, at).collect()]
     assert len(got) == len(rows) and set(got) == want and len({r[2] for r in got}) > 2
+
+
+def test_limit_chain_has_an_owner_stage(spark, tmp_path):
+    at = [0, 10, 70, 80, 100, 170, 1500, 1510, 1600, 1700]  # minutes
+    rows = [(i, u, "view", 60 * m, 1.0) for i, (u, m) in enumerate((u, m) for u in range(3) for m in at)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, s long, value double").selectExpr("event_id", "user_id", "event_type", "timestamp_seconds(s) AS ts", "value").write.parquet(f"{tmp_path}/events.parquet")
+    day, want, address, owner, daily = 86400, {}, {}, {}, {}
+    for i, u, _, t, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        want[i] = 1
+        for held, limit, window in ((address, 3, day), (owner, 1, 3600)):
+            held[u] = [x for x in held.get(u, []) if x > t - window]
+            if len(held[u]) >= limit:
+                break
+            held[u].append(t)
+            want[i] += 1
+        else:
+            daily[u, t // day] = daily.get((u, t // day), 0) + 1
+            want[i] += 2 if daily[u, t // day] <= 2 else 0  # the budget of 50 is not reached
+    got = {r.event_id: r.stages_passed for r in registry.queries()["limit_chain"](spark, str(tmp_path)).collect()}
+    assert got == want and set(got.values()) == {1, 2, 5}
+
+
+def test_draft_reasons(spark):
+    page = "এক দুই তিন চার পাঁচ ছয় সাত আট নয় দশ"
+    cases = [
+        ("নামাজ কী?", "length 2 words"), (" ".join(["কথা"] * 41) + "?", "length 41 words"), ("what is the rule of prayer?", "not Bengali"), ("নামাজ পড়ার নিয়ম কী বলুন", "not a question"),
+        ("দুই তিন চার পাঁচ ছয় সাত কেন?", "reuses 6+ consecutive words of the page"), ("দুই তিন চার পাঁচ ছয় কেন হয়?", None), (" নামাজ  পড়ার নিয়ম\nকী？ ", None),
+    ]
+    df = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(cases)], "i int, q string")
+    got = df.select("i", L.draft_reason(F.col("q"), F.lit(page)).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == [w for _, w in cases]
+
+
+def test_expand_query(spark):
+    b, c = "নামাজ পড়ার নিয়ম", "রোজার নিয়ম"
+    cases = [  # query, primed, first and second reply, wanted
+        ("  ", None, b, b, ([], False)), (b, c, c, c, ([b], False)), ("prayer", c, b, b, ([c], False)), ("prayer", "no", b, c, ([b], False)), ("prayer", None, "no", c, ([c], False)),
+        ("prayer", None, "", c, ([c], False)), ("prayer", None, None, c, (["prayer"], True)), ("prayer", None, "no", "no", (["prayer"], True)), (None, None, b, b, ([], False)), ("নামাজে khushu", None, b, c, ([b], False)),
+    ]
+    df = spark.createDataFrame([(i, *x[:4]) for i, x in enumerate(cases)], "i int, q string, p string, a string, b string")
+    got = df.select("i", M.expand_query(F.col("q"), F.col("p"), lambda q, n: F.col("ab"[n])).alias("e")).orderBy("i").collect()
+    assert [(r.e.variants, r.e.fallback) for r in got] == [x[4] for x in cases]
