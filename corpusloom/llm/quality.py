@@ -8,11 +8,13 @@ rungs' p-values, in its simple Bonferroni form for the later rungs. The shares o
 with probability `1 - delta` no stratum loses more than `risk` of its good documents to the method.
 
 Text is read by Python in Arrow batches, one document at a time; what leaves it is a few numbers per document. Holdout
-counts are summed by Spark over all labelled documents; what reaches the driver is one row per stratum and rung.
+counts are summed by Spark over all labelled documents; what reaches the driver is one row for each stratum that has
+labels enough for any rule to pass. The others count among the tests, but need not be named.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -27,7 +29,6 @@ from corpusloom.llm._common import staged
 
 RISK = 0.05
 DELTA = 0.05
-MAX_STRATA = 500
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_digits long, n_long_words long, top_word long"
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -110,33 +111,40 @@ def tail(k: int, n: int, share: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def choose(counts: list[tuple[str, str, int, int, int]], risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
+def choose(counts: list[tuple[str, str, int, int, int]], risk: float = RISK, delta: float = DELTA, strata: int = 0) -> dict[tuple[str, str], float]:
     """counts: stratum, rule, rung, rejected good documents, good documents. Returns the strictest accepted cutoff by
-    stratum and rule; where none is accepted there is no entry and the rule does not act."""
+    stratum and rule; where none is accepted there is no entry and the rule does not act. `strata`: how many there are,
+    if `counts` leaves out some that cannot pass."""
     share, tests = risk / len(RULES), {}
     for stratum, rule, rung, k, n in counts:
         tests.setdefault((stratum, rule), {})[rung] = (k, n)
     firsts = sorted((tail(*rungs[0], share), key) for key, rungs in tests.items())
-    chosen = {}
+    chosen, total = {}, max(len(firsts), strata * len(RULES))
     for done, (p, key) in enumerate(firsts):  # Holm over strata and rules
-        level = delta / (len(firsts) - done)
+        level = delta / (total - done)
         if p > level:
             break
         ladder = RULES[key[1]][1]
         for rung, cutoff in enumerate(ladder):  # fixed sequence within one, at the uniform level
-            if rung and tail(*tests[key][rung], share) > delta / len(firsts):
+            if rung and tail(*tests[key][rung], share) > delta / total:
                 break
             chosen[key] = cutoff
     return chosen
 
 
-def holdout_counts(found: DataFrame, labelled: DataFrame) -> list[tuple[str, str, int, int, int]]:
-    """Rejections of good documents (quality = 1) that pass the base rules, by stratum, rule and rung."""
+def least_documents(risk: float = RISK, delta: float = DELTA) -> int:
+    """With fewer good documents than this no test can pass, even if none of them is rejected and it is the only test."""
+    return math.ceil(math.log(delta) / math.log1p(-risk / len(RULES))) - 1
+
+
+def holdout_counts(found: DataFrame, labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[list[tuple[str, str, int, int, int]], int]:
+    """Rejections of good documents (quality = 1) that pass the base rules, by stratum, rule and rung, of all strata with
+    `least_documents` at least; and the number of all strata."""
     good = found.join(labelled.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").filter(~base_failed())
     sums = [F.sum((F.expr(value) > cut).cast("long")).alias(f"{rule}|{i}") for rule, (value, ladder) in RULES.items() for i, cut in enumerate(ladder)]
-    by = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums).orderBy(F.desc("n"), "stratum")
-    rows = by.limit(MAX_STRATA).collect()
-    return [(r.stratum, rule, i, r[f"{rule}|{i}"], r.n) for r in rows for rule, (_, ladder) in RULES.items() for i in range(len(ladder))]
+    rows = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums).filter(F.col("n") >= least_documents(risk, delta)).collect()
+    counts = [(r.stratum, rule, i, r[f"{rule}|{i}"], r.n) for r in rows for rule, (_, ladder) in RULES.items() for i in range(len(ladder))]
+    return counts, good.select("stratum").distinct().count()
 
 
 def base_failed():
@@ -149,7 +157,7 @@ def rejected_by(chosen: dict[tuple[str, str], float]):
     for rule, (value, _) in RULES.items():
         cutoffs = {s: c for (s, r), c in chosen.items() if r == rule}
         if cutoffs:
-            by = F.create_map(*[F.lit(x) for pair in sorted(cutoffs.items()) for x in pair])
+            by = F.from_json(F.lit(json.dumps(dict(sorted(cutoffs.items())))), "map<string,double>")  # one literal, however many strata
             tests.append(F.when(F.expr(value) > F.try_element_at(by, F.col("stratum")), F.lit(rule)))
     return F.coalesce(*tests) if tests else F.lit(None).cast("string")
 
@@ -161,14 +169,15 @@ def judged(found: DataFrame, chosen: dict[tuple[str, str], float]) -> DataFrame:
 
 def cutoffs_for(docs: DataFrame, labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[DataFrame, dict]:
     found = staged(features(docs), "quality-features")
-    return found, choose(holdout_counts(found, labelled), risk, delta)
+    counts, strata = holdout_counts(found, labelled, risk, delta)
+    return found, choose(counts, risk, delta, strata)
 
 
 def quality_rules(docs: DataFrame, labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """One row per row of `docs` (doc_id, text, lang): doc_id, the base figures, base_failed, kept, rule.
 
     Null, empty and blank texts have no words: they fail the base and are not kept. A null language is a stratum of
-    its own; strata beyond the `MAX_STRATA` with most labelled documents, and those without labels, have no cutoffs
+    its own; strata without labels, or with too few for the test to pass, have no cutoffs
     and face the base rules only, as the guarantee cannot be given there. Without labels no rule acts. Repeated rows
     are judged each; an empty table gives no rows; columns with other names are not read.
     """

@@ -132,6 +132,19 @@ def test_cutoffs_hold_their_risk():
     assert quality.choose(some) == {("en", r): quality.RULES[r][1][2] for r in rungs}
 
 
+def test_no_stratum_is_left_out(spark):
+    """Rules act in each of 501 strata with labels enough; a stratum with too few counts among the tests."""
+    zero = [F.lit(0).cast("long").alias(c) for c in ("n_symbols", "n_dup_lines", "n_repeat_words", "n_digits", "n_long_words", "top_word")]
+    rows = spark.range(501 * 1600 + 3)
+    found = rows.select(F.col("id").alias("doc_id"), F.expr("string(id div 1600)").alias("stratum"), F.lit(100).cast("long").alias("n_words"), F.lit(500).cast("long").alias("word_chars"), F.lit(9).cast("long").alias("n_lines"), *zero)
+    counts, strata = quality.holdout_counts(found, rows.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
+    chosen = quality.choose(counts, strata=strata)
+    assert strata == 502 and {s for s, _ in chosen} == {str(i) for i in range(501)} and len(chosen) == 501 * len(quality.RULES)
+    assert quality.tail(0, quality.least_documents() - 1, quality.RISK / len(quality.RULES)) > quality.DELTA
+    docs = spark.createDataFrame([(str(i), 300.0) for i in (0, 500, 501)], "stratum string, word_chars double").select("stratum", "word_chars", F.lit(10).alias("n_words"), F.lit(9).alias("n_lines"), *zero)
+    assert [r.rule for r in docs.select("stratum", quality.rejected_by(chosen).alias("rule")).orderBy("stratum").collect()] == ["word_length", "word_length", None]
+
+
 def test_quality_keeps_all_columns(docs, labels):
     kept = quality.keep_good(docs, labels)
     want = quality.quality_rules(docs, labels).filter("kept").select("doc_id")
