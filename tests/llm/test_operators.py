@@ -193,6 +193,14 @@ def test_labelers_find_secrets_and_leave_words_alone(spark):
     assert all(out[i].spans == "secret:11:51" for i, _ in secret) and all(out[i].spans == "" for i, _ in plain)
 
 
+def test_long_secrets_are_candidates(spark):
+    keys = [(i, (hashlib.sha512(str(i).encode()).hexdigest() * 400)[:n]) for i, n in enumerate([40, 200, 201, 640, 50_000] * 6)]
+    docs = spark.createDataFrame([(i, f'x token = "eyJ{k}" y') for i, k in keys], "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    assert all(f"secret:11:{14 + len(k)}" in out[i].split(",") for i, k in keys)
+    assert {r.text for r in pii.mask_personal_data(docs).select("text").collect()} == {'x token = "[SECRET]" y'}
+
+
 def test_masking(spark):
     rows = [(1, "mail a@b.co now +1 (555) 123-4567!", 34), (2, None, None), (3, "nothing", 7)]
     out = {r.doc_id: r for r in pii.mask_personal_data(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
