@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting by which a query's shuffle files are deleted at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,45 +26,62 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session (a test's)
+    gets a temporary folder of its own; a cluster's executors would not see one, so there it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: staged tables need a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Staged folders that are still there, by application.
+_STAGED: dict[str, set[str]] = {}
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
-    """`df` written to the shared folder and read again: cuts the lineage, and a lost executor loses none of it.
+    """`df` written to the shared folder and read again: cuts the lineage, and a lost executor loses none of it. Shuffle
+    files of the write go with its end, as nothing reads them any more.
 
-    The copy is columnar and compressed (unlike a checkpoint's) and its path hangs on the frame as `staged_at`.
+    The copy is columnar and compressed (unlike a checkpoint's) and its path hangs on the frame as `staged_at`. Copies
+    that no result reads are to be given to `discard`; results are read later, so what they read stays until the
+    application ends.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    at, own = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", _STAGED.setdefault(spark.sparkContext.applicationId, set())
+    if not own:
+        atexit.register(_clear, spark)
+    own.add(at)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(at)
     out.staged_at = at
     return out
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete staged copies that nothing reads any more, and let Spark drop the shuffle files that made them."""
+    """Delete staged copies that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let shuffle files of finished steps leave the executors' disks. Spark drops them when the driver has collected the
-    plans that made them; the plan that ran last stays reachable until another has run, hence the small one between."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-        spark.range(1).count()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        _delete(df.sparkSession, df.staged_at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _STAGED.get(spark.sparkContext.applicationId, set()).discard(at)
+
+
+def _clear(spark: SparkSession) -> None:
+    """What an application has left goes with it."""
+    if spark.sparkContext._jsc is not None:
+        for at in list(_STAGED.get(spark.sparkContext.applicationId, ())):
+            _delete(spark, at)
 
 
 def text_or_empty(column: str = "text"):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import discard, release, staged, text_or_empty
+from corpusloom.llm._common import discard, staged, text_or_empty
 from corpusloom.llm.packets import NAMES as PACKET_NAMES
 from corpusloom.llm.packets import PACKET, packed, regrouped
 
@@ -399,9 +399,7 @@ def repeated_spans(docs: DataFrame, hot_texts: int = HOT_TEXTS) -> DataFrame:
     firsts = sizes.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     copies = staged(sizes.join(firsts, "key").filter("doc_id > first").select("doc_id").distinct(), "suffix-copies")
     shared = staged(documents_anchors(own, buckets, hot_texts), "suffix-shared")
-    release(spark)
     out = staged(found_spans(own, shared, buckets), "suffix-spans")
-    release(spark)
     discard(shared, sizes)
     return out.join(copies.withColumn("whole", F.lit(True)), "doc_id", "full").select("doc_id", F.col("data").alias("spans"), F.coalesce("whole", F.lit(False)).alias("whole"))
 

@@ -276,70 +276,89 @@ def test_packing(docs, texts, empty, rows):
     assert packing.pack_documents(empty, WORDS).count() == 0
 
 
-def test_neighbours_are_the_best_scored():
-    rng = np.random.default_rng(2)
-    ids = [rng.integers(0, 300, 60).astype(np.uint16) for _ in range(50)]
-    df = np.zeros(1 << 16)
-    for x in ids:
-        df[np.unique(x)] += 1
-    idf, mean = np.log1p((50 - df + 0.5) / (df + 0.5)), 60.0
-    index, unused = packing.Index(ids, idf, mean, query_terms=10_000), np.ones(50, bool)
-    unused[0] = False
-    score = np.zeros(50)
-    for d, x in enumerate(ids):
-        for t in np.unique(ids[0]):
-            tf = (x == t).sum()
-            score[d] += idf[t] * tf / (tf + 1.5) if tf else 0
-    got = list(index.neighbours(0, unused))[:5]
-    assert got == sorted(range(1, 50), key=lambda d: (-round(score[d], 4), d))[:5]
-
-
-def spelled(spark, texts, slices):
-    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(slices, "doc_id")
-
-
-@pytest.mark.parametrize(("rows", "slices"), [(4096, 1), (2, 4)])
-def test_neighbours_are_found_in_every_shard(spark, monkeypatch, rows, slices):
-    monkeypatch.setattr(packing, "CHAINS", 1)
+def small_corpus(rng, n=50, words=300, length=60):
+    ids = [rng.integers(0, words, rng.integers(1, length)).astype(np.uint16) for _ in range(n)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=1 << 16)
+    return ids, packing.inverse_frequency(df, n), float(np.mean([len(x) for x in ids]))
+
+
+def bm25(query, doc, idf, mean):
+    score = 0.0
+    for t in np.unique(query):
+        tf = int((doc == t).sum())
+        score += idf[t] * tf / (tf + 1.5 * (0.25 + 0.75 * len(doc) / mean))
+    return score
+
+
+@pytest.mark.parametrize("dense", [packing.DENSE, 0.3, 1.0])
+def test_neighbours_are_the_best_by_all_terms(monkeypatch, dense):
+    monkeypatch.setattr(packing, "DENSE", dense)
+    ids, idf, mean = small_corpus(np.random.default_rng(2))
+    index, unused = packing.Index(ids, idf, mean), np.arange(50) % 7 > 0
+    for seed in range(50):
+        score = [bm25(ids[seed], x, idf, mean) for x in ids]
+        got = list(index.neighbours(seed, unused))
+        assert {d for d in range(50) if unused[d] and d != seed and score[d] > 1e-9} == set(got)
+        assert [score[d] for d in got] == pytest.approx(sorted((score[d] for d in got), reverse=True), abs=1e-4)
+
+
+def test_windows_are_filled_by_the_seeds_best_neighbours():
+    """Against a plain version that scores pair by pair."""
+    ids, idf, mean = small_corpus(np.random.default_rng(5), 40, 60)
+    windows = packing.Windows(64, 7)
+    packing.fill(list(range(40)), ids, packing.Index(ids, idf, mean), windows)
+    order = [r[0] for r in windows.rows if r[1] == 0]
+    unused, seed, filled = set(range(40)), None, 0
+    for d in order:
+        if seed is not None and (rest := [bm25(ids[seed], ids[x], idf, mean) for x in unused]) and max(rest) > 1e-9:
+            assert bm25(ids[seed], ids[d], idf, mean) == pytest.approx(max(rest), abs=1e-4)
+            fresh = False
+        else:
+            assert d == min(unused)
+            fresh = True
+        unused.remove(d)
+        filled += len(ids[d])
+        if filled >= 64 or fresh:
+            seed = d
+        filled %= 64
+    assert not unused and windows.rows[0][5] == 7 and all(a[6] + a[2] in (64, b[6]) for a, b in zip(windows.rows, windows.rows[1:], strict=False))
+
+
+def test_like_documents_meet_wherever_they_stood(spark):
     said = [" ".join(f"{w}{i}" for i in range(30)) for w in ("river", "stone", "cloud", "engine", "garden", "market")]
+    docs = spark.createDataFrame(list(enumerate(said + said)), "doc_id long, text string").repartitionByRange(4, "doc_id")
     tokenizer = Tokenizer.from_file(WORDS)
     shortest = min(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in said)  # so each document is a seed
-    out = packing.pack_documents(spelled(spark, said + said, slices), WORDS, window=shortest, shard_rows=rows).collect()
+    out = packing.pack_documents(docs, WORDS, window=shortest).collect()
     order = [r.doc_id for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
     assert sorted(order) == list(range(12)) and all(abs(a - b) == 6 for a, b in zip(order[::2], order[1::2], strict=True))
 
 
-def test_all_of_a_seeds_terms_are_scored():
-    rare, shared = np.arange(100, 130), np.arange(1000, 1040)
-    ids = [np.concatenate([rare, shared]).astype(np.uint16)] + [shared[i : i + 4].astype(np.uint16) for i in range(30)]
-    df = np.bincount(np.concatenate(ids), minlength=1 << 16)
-    idf, mean = np.log1p((31 - df + 0.5) / (df + 0.5)), float(np.mean([len(x) for x in ids]))
-    unused = np.arange(31) > 0
-    score = [sum(idf[t] / (1 + 1.5 * (0.25 + 0.75 * 4 / mean)) for t in x) for x in ids]
-    got = list(packing.Index(ids, idf, mean).neighbours(0, unused))
-    assert sorted(got) == list(range(1, 31)) and [score[d] for d in got] == pytest.approx(sorted(score[1:], reverse=True), abs=1e-4)
-
-
-@pytest.mark.parametrize("rows", [4096, 7])
-def test_listed_documents_are_the_best_of_all(spark, texts, rows):
-    docs = spelled(spark, [t for _, t in texts], 5)
-    tokens = packing.staged(packing.tokenised(docs, WORDS), "test-tokens")
-    df, n, total = packing.frequencies(tokens)
-    idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), total / n
-    left = tokens.filter("df IS NULL").select("row", (F.octet_length("ids") / 2).cast("long").alias("length"), "terms", "counts")
-    held = {r.row: (np.frombuffer(r.terms, "<u2"), np.frombuffer(r.counts, "<u4"), r.length) for r in left.collect()}
-    seeds = sorted(held)[::9]
-    used = np.array(seeds)
-    got = packing.nearest(left, [held[s][0] for s in seeds], used, spark.sparkContext.broadcast((idf, mean)), rows).to_pylist()
-    for i, s in enumerate(seeds):
-        score = {}
-        for d, (t, c, length) in held.items():
-            both = np.isin(t, held[s][0])
-            score[d] = float((idf[t] * c / (c + 1.5 * (0.25 + 0.75 * length / mean)))[both].sum())
-        best = sorted((x for d, x in score.items() if d not in set(seeds)), reverse=True)
-        mine = [r for r in got if r["seed"] == i]
-        assert len(mine) >= packing.ANSWERS and [r["score"] for r in mine] == pytest.approx(best[: len(mine)], rel=1e-4, abs=1e-4)
-        assert all(r["score"] == pytest.approx(score[r["row"]], rel=1e-4, abs=1e-4) for r in mine)
+def test_routes_are_the_order_of_the_best_pivots():
+    ids, idf, mean = small_corpus(np.random.default_rng(3))
+    pivots = [(*np.unique(x, return_counts=True), len(x)) for x in ids[:9]]
+    routes = packing.Routes(pivots, idf, mean)
+    doc, term, _ = packing.counted(np.concatenate(ids), np.array([len(x) for x in ids]))
+    for x, route in zip(ids, routes(doc, term, len(ids)).tolist(), strict=True):
+        score = [bm25(x, p, idf, mean) for p in ids[:9]]
+        best = [route // 9**k % 9 for k in (3, 2, 1, 0)]
+        assert [score[b] for b in best] == pytest.approx(sorted(score, reverse=True)[:4], abs=1e-4)
+    assert packing.Routes([], idf, mean)(doc, term, len(ids)).tolist() == [0] * 50
+
+
+def test_identifiers_are_the_tokenizers(texts):
+    """Pre-tokens that are told apart here, and merges that are made here, give what the tokenizer gives."""
+    data = open(WORDS, "rb").read()
+    tokenizer, own = Tokenizer.from_file(WORDS), packing.WordIds(data)
+    tokenizer.encode_special_tokens = True
+    rng = np.random.default_rng(4)
+    letters = list("aAbsSttrREevVlLmMdD'''' \t\n\x85\xa0\x1c.,!5½²\xad\xb5ªºÀßÿ×÷é\x00\x7f\x80")
+    odd = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)] + ["Straße ΣΑΣ 日本", "it's 'S o''s we'LL <|endoftext|>", "x" * 5000]
+    for some in ([t or "" for _, t in texts], odd):
+        ids, sizes = own(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    other = packing.WordIds(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())  # another kind of file goes to the tokenizer whole
+    assert not other.apart and other(["It's  so"])[0].tolist() == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode("It's  so", add_special_tokens=False).ids
 
 
 # ---- 6 ---------------------------------------------------------------------------------------------------------------
