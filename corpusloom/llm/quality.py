@@ -3,9 +3,9 @@
 A labelled holdout of good documents limits what each rule may reject. For every stratum (language) and rule, a fixed
 ladder of cutoffs, from lenient to strict, is tested in order: a cutoff is accepted while the exact binomial test
 rejects "this rule rejects more than its share of good documents" at the corrected level. The ladder is a fixed
-sequence, so it costs no correction in itself; the rules and strata are corrected by Holm's step-down over the first
-rungs' p-values, in its simple Bonferroni form for the later rungs. The shares of the rules add up to `risk`, so that
-with probability `1 - delta` no stratum loses more than `risk` of its good documents to the method.
+sequence, so it costs no correction in itself; rules and strata are corrected by Bonferroni: each ladder has `delta`
+over their number. The shares of the rules add up to `risk`, so that with probability `1 - delta` no stratum loses more
+than `risk` of its good documents to the method.
 
 Text is read by Python in Arrow batches, one document at a time; what leaves it is a few numbers per document. Holdout
 counts are summed by Spark over all labelled documents; what reaches the driver is one row for each stratum that has
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import staged
+from corpusloom.llm._common import discard, staged
 
 RISK = 0.05
 DELTA = 0.05
@@ -103,30 +103,44 @@ def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
 
 
 def tail(k: int, n: int, share: float) -> float:
-    """P(X <= k) for X binomial(n, share): the exact p-value of `k` rejections of `n` against "more than `share`"."""
-    if n == 0:
+    """P(X <= k) for X binomial(n, share): the exact p-value of `k` rejections of `n` against "more than `share`". It is
+    the regularised incomplete beta function at (n - k, k + 1), by its continued fraction, so its cost hardly grows with n."""
+    if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    a, b, x = n - k, k + 1, 1 - share
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(b, a, share)
+    return _beta(a, b, x)
+
+
+def _beta(a: float, b: float, x: float) -> float:
+    """I_x(a, b) for x up to about its mean, by the modified Lentz method."""
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    value, m = d, 0
+    while True:
+        m += 1
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or tiny)
+            c = 1 + step / c or tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-14 or m > 100_000:
+            return min(1.0, front * value)
 
 
 def choose(counts: list[tuple[str, str, int, int, int]], risk: float = RISK, delta: float = DELTA, strata: int = 0) -> dict[tuple[str, str], float]:
     """counts: stratum, rule, rung, rejected good documents, good documents. Returns the strictest accepted cutoff by
     stratum and rule; where none is accepted there is no entry and the rule does not act. `strata`: how many there are,
-    if `counts` leaves out some that cannot pass."""
+    if `counts` leaves out some that cannot pass. Every ladder is tested at the same level, `delta` over the number of
+    ladders, from its first rung to the first that does not pass; no ladder's level is ever used by another."""
     share, tests = risk / len(RULES), {}
     for stratum, rule, rung, k, n in counts:
         tests.setdefault((stratum, rule), {})[rung] = (k, n)
-    firsts = sorted((tail(*rungs[0], share), key) for key, rungs in tests.items())
-    chosen, total = {}, max(len(firsts), strata * len(RULES))
-    for done, (p, key) in enumerate(firsts):  # Holm over strata and rules
-        level = delta / (total - done)
-        if p > level:
-            break
-        ladder = RULES[key[1]][1]
-        for rung, cutoff in enumerate(ladder):  # fixed sequence within one, at the uniform level
-            if rung and tail(*tests[key][rung], share) > delta / total:
+    level, chosen = delta / max(1, len(tests), strata * len(RULES)), {}
+    for key in sorted(tests):
+        for rung, cutoff in enumerate(RULES[key[1]][1]):
+            if tail(*tests[key][rung], share) > level:
                 break
             chosen[key] = cutoff
     return chosen
@@ -178,17 +192,18 @@ def quality_rules(docs: DataFrame, labelled: DataFrame, risk: float = RISK, delt
 
     Null, empty and blank texts have no words: they fail the base and are not kept. A null language is a stratum of
     its own; strata without labels, or with too few for the test to pass, have no cutoffs
-    and face the base rules only, as the guarantee cannot be given there. Without labels no rule acts. Repeated rows
-    are judged each; an empty table gives no rows; columns with other names are not read.
+    and face the base rules only, as the guarantee cannot be given there. Without labels no rule acts. A document that is
+    labelled both good and bad counts as good, so that cutoffs are the more careful. Repeated rows are judged each; an empty table gives no rows; columns with other names are not read.
     """
     found, chosen = cutoffs_for(docs, labelled, risk, delta)
     return judged(found, chosen)
 
 
 def keep_good(docs: DataFrame, labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of `docs` that `quality_rules` keeps, with all their columns. Figures are worked out again beside the
+    """The rows of `docs` that `quality_rules` keeps, with all their columns, in the cases told there. Figures are worked out again beside the
     text, so that texts are not shuffled to meet a verdict."""
-    _, chosen = cutoffs_for(docs, labelled, risk, delta)
+    found, chosen = cutoffs_for(docs, labelled, risk, delta)
+    discard(found)
     own = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
 
     @F.pandas_udf(", ".join(FEATURES.split(", ")[2:]))
