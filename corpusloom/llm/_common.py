@@ -84,5 +84,19 @@ def _clear(spark: SparkSession) -> None:
             _delete(spark, at)
 
 
+#: Groups of more than one row in so many are hot; so there are never more hot groups than this.
+HOT_GROUPS = 1000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with what is known of their group by `key`; `size` is the number of the group's rows, among `rows`
+    all together `total`. Both are read more than once. Groups that hold more than one row in HOT_GROUPS can be
+    HOT_GROUPS at most, so these are broadcast; no group of the rest is large enough to weigh on the task that gets it."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(groups.filter(F.col(size) * HOT_GROUPS > total))
+    known = rows.join(hot, key)
+    return known.unionByName(rows.join(hot, key, "left_anti").join(groups.filter(F.col(size) * HOT_GROUPS <= total), key, how))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
