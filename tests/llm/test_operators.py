@@ -283,21 +283,41 @@ def test_sharding(docs, texts, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
-def test_lpt_is_near_the_best():
+def plain_lpt(sizes, shards):
+    loads, counts = [0] * shards, collections.Counter()
+    for size in sorted(sizes, reverse=True):
+        s = min(range(shards), key=lambda i: (loads[i], i))
+        loads[s] += size
+        counts[size, s] += 1
+    return loads, counts
+
+
+@pytest.mark.parametrize("one_by_one", [0, 3, sharding.ONE_BY_ONE])
+def test_classes_are_dealt_as_one_group_after_the_other(monkeypatch, one_by_one):
+    monkeypatch.setattr(sharding, "ONE_BY_ONE", one_by_one)
     rng = np.random.default_rng(0)
-    sizes = [(int(s), i) for i, s in enumerate(rng.integers(1, 1000, 500))]
-    loads = collections.Counter()
-    for (size, _), shard in zip(sizes, [sharding.lpt(sizes, 7)[i] for _, i in sizes], strict=True):
-        loads[shard] += size
-    assert max(loads.values()) - min(loads.values()) <= 1000 and max(loads.values()) <= 4 / 3 * sum(loads.values()) / 7 + 1000
-
-
-def test_small_groups_in_bundles_stay_balanced(docs, texts):
-    out = sharding.shard_documents(docs, shards=3, heavy=5, bundles_per_shard=64).collect()
-    loads = collections.Counter()
-    for r in out:
-        loads[r.shard] += r["size"]
-    assert len(out) == len(texts) and max(loads.values()) < 1.5 * sum(loads.values()) / 3
+    for shards, top, n in ((7, 1000, 500), (3, 5, 400), (24, 30, 3000), (5, 10, 2), (1, 4, 50)):
+        sizes = [int(x) for x in rng.integers(1, top, n)] + [5000] * (n % 3)
+        got = collections.Counter()
+        for size, to, many in sharding.lpt(list(collections.Counter(sizes).items()), shards):
+            for s, k in zip(to, many, strict=True):
+                got[size, s] += k
+        loads, want = plain_lpt(sizes, shards)
+        assert got == want and max(loads) <= 4 / 3 * max(sum(sizes) / shards, max(sizes)) + 1
+
+
+def test_placement_is_plain_lpt(docs, texts, empty):
+    """Loads of all shards against a plain loop over all groups."""
+    sizes = collections.Counter()
+    for _, t in texts:
+        sizes[t] += len((t or "").encode()) + 8
+    loads, _ = plain_lpt(sizes.values(), 5)
+    for strip in (sharding.ROWS_PER_STRIP, 3):
+        out = sharding.shard_documents(docs, shards=5, rows_per_strip=strip).collect()
+        got = collections.Counter()
+        for r in out:
+            got[r.shard] += r["size"]
+        assert len(out) == len(texts) and [got[i] for i in range(5)] == loads
 
 
 # ---- 5 ---------------------------------------------------------------------------------------------------------------
