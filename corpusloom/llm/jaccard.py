@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._common import discard, staged, with_group
 from corpusloom.llm.components import components
-from corpusloom.llm.packets import PACKET, by_document, homes_of, packed, runs
+from corpusloom.llm.packets import PACKET, buckets_of, by_bucket, by_document, homes_of, packed, runs
 
 WORDS = 5
 SHARE = 75  # per cent
@@ -122,11 +122,6 @@ def with_numbers(rows: DataFrame, new: dict[bytes, int]) -> DataFrame:
 MESSAGE = "bucket int, sets binary, ord binary, top binary, hi binary, lo binary"
 
 
-def buckets_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    bits = 16 if buckets <= 1 << 16 else 32
-    return ((tokens >> np.uint64(64 - bits)) * np.uint64(buckets) >> np.uint64(bits)).astype(np.int32)
-
-
 def messages(docs: DataFrame, buckets: int, words: int = WORDS, seed: int = 0, new: dict[bytes, int] | None = None) -> DataFrame:
     """The tokens of each slice of documents, packed by bucket. Equal sets of a slice go once. Within a message tokens are
     in the order of their upper bits, which so take next to no room."""
@@ -141,7 +136,7 @@ def messages(docs: DataFrame, buckets: int, words: int = WORDS, seed: int = 0, n
             return
         tokens = np.concatenate(list(sets.values()))
         own = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets.values()])
-        order = np.argsort((tokens >> np.uint64(48)).astype(np.uint16) if buckets <= 1 << 16 else tokens, kind="stable")
+        order = by_bucket(tokens, buckets)
         tokens, own = tokens[order], own[order]
         bucket = buckets_of(tokens, buckets)
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))

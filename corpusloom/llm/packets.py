@@ -19,6 +19,17 @@ def homes_of(doc: np.ndarray, homes: int) -> np.ndarray:
         return ((x ^ (x >> np.uint64(32))) % np.uint64(homes)).astype(np.int64)
 
 
+def buckets_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of 64-bit hashes, by their upper bits, in the order of the hashes."""
+    bits = 16 if buckets <= 1 << 16 else 32
+    return ((values >> np.uint64(64 - bits)) * np.uint64(buckets) >> np.uint64(bits)).astype(np.int32)
+
+
+def by_bucket(values: np.ndarray, buckets: int) -> np.ndarray:
+    """An order in which buckets, and the upper 16 bits within them, ascend."""
+    return np.argsort((values >> np.uint64(48)).astype(np.uint16) if buckets <= 1 << 16 else values, kind="stable")
+
+
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values."""
     if not len(sorted_values):

@@ -24,12 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import discard, staged, text_or_empty
+from corpusloom.llm._common import discard, staged, text_or_empty, with_group
 from corpusloom.llm.packets import NAMES as PACKET_NAMES
-from corpusloom.llm.packets import PACKET, packed, regrouped
+from corpusloom.llm.packets import PACKET, buckets_of, by_bucket, packed, regrouped
 
 WIDTH = 50
 GRAM = 20
@@ -42,7 +43,8 @@ BLOCK = 300_000
 HOT_TEXTS = 4096
 _HOT = np.uint64(1 << 63)
 _AGAIN = 1 << 15  # marks, beside a run's size, that its bytes are those of the run before
-_LOW = np.uint64((1 << 48) - 1)
+#: Where a doc_id has several texts each is named by the rank of its doc_id and, in so many low bits, a number of its own.
+VARIANT_BITS, RANGES = 20, 200
 _BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 _ODD = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 
@@ -76,24 +78,22 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
 
 
 def window_anchors(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
-    """For each window of `width` bytes the smallest hash of its grams."""
+    """For each window of `width` bytes the smallest hash of its grams, multiplied so that its upper bits, by which buckets
+    are told, are spread evenly (smallest hashes are small)."""
     m, span = gram_hashes(data, gram), width - gram + 1
     size = 1
     while size * 2 <= span:
         m = np.minimum(m[:-size], m[size:])
         size *= 2
-    return np.minimum(m[: len(m) - (span - size)], m[span - size :]) if span > size else m
-
-
-def in_buckets(values: np.ndarray, buckets: int) -> np.ndarray:
-    return ((values >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
+    with np.errstate(over="ignore"):
+        return (np.minimum(m[: len(m) - (span - size)], m[span - size :]) if span > size else m) * _ODD[0]
 
 
 def joined_cells(table: pa.Table, column: str, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[column]])
 
 
-ANCHORS = "bucket int, docs binary, keys binary, ord binary, hi binary, lo binary"
+ANCHORS = "bucket int, docs binary, keys binary, ord binary, top binary, hi binary, lo binary"
 
 
 def anchor_messages(docs: DataFrame, buckets: int) -> DataFrame:
@@ -114,17 +114,16 @@ def anchor_messages(docs: DataFrame, buckets: int) -> DataFrame:
             return
         values = np.concatenate([v for _, v in own.values()])
         ord_ = np.repeat(np.arange(len(own), dtype=np.uint16), [len(v) for _, v in own.values()])
-        bucket = in_buckets(values, buckets)
-        order = np.argsort(bucket, kind="stable")
-        values, ord_ = values[order] & _LOW, ord_[order]
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        order = by_bucket(values, buckets)
+        values, ord_ = values[order], ord_[order]
+        bucket = buckets_of(values, buckets)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         names, keys = np.array([i for i, _ in own.values()], "<i8"), np.frombuffer(b"".join(own), "V16")
-        for b in range(buckets):
-            if ends[b] < ends[b + 1]:
-                s = slice(ends[b], ends[b + 1])
-                here, at = np.unique(ord_[s], return_inverse=True)
-                cells = [names[here].tobytes(), keys[here].tobytes(), at.astype("<u2").tobytes(), (values[s] >> np.uint64(32)).astype("<u2").tobytes(), values[s].astype("<u4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], names=[c.split()[0] for c in ANCHORS.split(", ")])
+        for a, b in zip(first.tolist(), np.append(first[1:], len(values)).tolist(), strict=True):
+            here, at = np.unique(ord_[a:b], return_inverse=True)
+            top, hi, lo = ((values[a:b] >> np.uint64(n)).astype(kind).tobytes() for n, kind in ((48, "<u2"), (32, "<u2"), (0, "<u4")))
+            cells = [names[here].tobytes(), keys[here].tobytes(), at.astype("<u2").tobytes(), top, hi, lo]
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], names=[c.split()[0] for c in ANCHORS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +146,8 @@ def shared_anchors(table: pa.Table, homes: int, hot_texts: int = HOT_TEXTS) -> p
     held = np.array([len(x.as_buffer()) // 8 for x in table["docs"]])
     counts = np.array([len(x.as_buffer()) // 2 for x in table["ord"]])
     text = number[joined_cells(table, "ord", "<u2").astype(np.int64) + np.repeat(np.cumsum(held) - held, counts)]
-    value = joined_cells(table, "hi", "<u2").astype(np.uint64) << np.uint64(32) | joined_cells(table, "lo", "<u4")
+    top, hi = (joined_cells(table, c, "<u2").astype(np.uint64) for c in ("top", "hi"))
+    value = top << np.uint64(48) | hi << np.uint64(32) | joined_cells(table, "lo", "<u4")
     order = np.lexsort((text, value))
     value, text = value[order], text[order]
     fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (text[1:] != text[:-1])])
@@ -156,7 +156,7 @@ def shared_anchors(table: pa.Table, homes: int, hot_texts: int = HOT_TEXTS) -> p
     sizes = np.diff(np.append(edge, len(value)))
     many = np.repeat(sizes, sizes)
     keep = many > 1
-    value, doc = value[keep] | np.uint64(table["bucket"][0].as_py() << 48), first[text[keep]]
+    value, doc = value[keep] >> np.uint64(1), first[text[keep]]
     value[many[keep] > hot_texts] |= _HOT
     return packed(doc, value.astype("<u8"), homes)
 
@@ -181,7 +181,7 @@ def _found(doc: np.ndarray, start: np.ndarray, end: np.ndarray, homes: int) -> p
     return pa.RecordBatch.from_arrays([pa.array([-1 - h for h in t["home"].to_pylist()], pa.int32()), cell("docs"), none, none, cell("sizes"), none, cell("data")], names=_RUN_NAMES)
 
 
-def run_messages(docs: DataFrame, buckets: int) -> DataFrame:
+def run_messages(docs: DataFrame, buckets: int, bits: int = 0) -> DataFrame:
     """Runs of windows with a shared anchor, packed by bucket with their bytes; of equal runs of a slice only those of
     the smallest document go, and the others are found to be repeats at once."""
 
@@ -197,26 +197,28 @@ def run_messages(docs: DataFrame, buckets: int) -> DataFrame:
             hot, known = known[known >= _HOT] & ~_HOT, np.sort(known & ~_HOT)
             first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
             stop = np.append(first[1:], len(low))
-            value = anchor_names(low[first], buckets)
+            value = low[first] >> np.uint64(1)
             at = np.minimum(np.searchsorted(known, value), len(known) - 1)
             for a, b, v, h in zip(first[hit := known[at] == value], stop[hit], value[hit], np.isin(value[hit], hot), strict=True):
                 rows += [(k, s, 1, None) for s in range(a, b)] if h else [(k, s, min(RUN, b - s), v) for s in range(a, b, RUN)]
         seen: dict[tuple[int, bytes], list] = {}
         for k, s, n, v in rows:
             raw = raws[k][s : s + n + WIDTH - 1]
-            seen.setdefault((name_of(raw, buckets) if v is None else v, raw), []).append((k, s))
+            seen.setdefault((name_of(raw) if v is None else int(v), raw), []).append((k, s))
         gone, out = [], []
         for (v, raw), places in seen.items():
             least = min(ids[k] for k, _ in places)
             again = 0  # a run that its document repeats goes with its bytes once
             for k, s in places:
-                if ids[k] > least:
+                if ids[k] >> bits > least >> bits:
                     gone.append((ids[k], s, s + len(raw)))
                 else:
-                    out.append((v >> 48, k, s, b"" if again else raw, v, len(raw) | again))
+                    out.append([0, k, s, b"" if again else raw, v, len(raw) | again])
                     again = _AGAIN
         if gone:
             yield _found(*np.array(gone, np.int64).T, buckets)
+        for row, b in zip(out, buckets_of(np.array([x[4] for x in out], np.uint64) << np.uint64(1), buckets).tolist(), strict=True):
+            row[0] = b
         out.sort(key=lambda x: x[0])
         at = 0
         names = np.array(ids, "<i8")
@@ -239,14 +241,8 @@ def run_messages(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, RUNS)
 
 
-def anchor_names(values: np.ndarray, buckets: int) -> np.ndarray:
-    """An anchor's name: its bucket and its lower 48 bits."""
-    return in_buckets(values, buckets).astype(np.uint64) << np.uint64(48) | values & _LOW
-
-
-def name_of(window: bytes, buckets: int) -> np.uint64:
-    code = xxhash.xxh3_64_intdigest(window)
-    return np.uint64(((code >> 48) * buckets >> 16) << 48 | code & ((1 << 48) - 1))
+def name_of(window: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(window) >> 1
 
 
 def words(padded: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
@@ -312,7 +308,7 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, wi
     return out
 
 
-def bucket_repeats(table: pa.Table, homes: int) -> pa.Table:
+def bucket_repeats(table: pa.Table, homes: int, bits: int = 0) -> pa.Table:
     """Of one bucket: removed intervals, packed by home. Intervals that are known already pass through."""
     if table["bucket"][0].as_py() < 0:
         return pa.table([pa.array([-1 - b for b in table["bucket"].to_pylist()], pa.int32()), table["docs"], table["sizes"], table["data"]], names=PACKET_NAMES)
@@ -339,7 +335,7 @@ def bucket_repeats(table: pa.Table, homes: int) -> pa.Table:
         own = np.concatenate([data[at[i] : at[i] + size[i]] for i in lead])
         run = np.repeat(np.arange(len(lead)), n)
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = np.flatnonzero(repeated_windows(own, place[run] + offset, doc[lead][run]))
+        hit = np.flatnonzero(repeated_windows(own, place[run] + offset, doc[lead][run] >> bits))
         times = np.array([len(b) for b in block])
         flat, first = np.concatenate([np.array(b) for b in block]), np.cumsum(times) - times
         r = run[hit]
@@ -353,12 +349,12 @@ def bucket_repeats(table: pa.Table, homes: int) -> pa.Table:
         for i in order[a:b].tolist():
             runs.setdefault(raw[at[i] : at[i] + size[i]], []).append(i)
         for members in runs.values():  # in order of doc_id
-            later = [i for i in members if doc[i] > doc[members[0]]]
+            later = [i for i in members if doc[i] >> bits > doc[members[0]] >> bits]
             if later:
                 gone.append((doc[later], start[later], start[later] + size[later]))
         if len(runs) > 1:
             for members in runs.values():
-                block.append([i for i in members if doc[i] == doc[members[0]]])
+                block.append([i for i in members if doc[i] >> bits == doc[members[0]] >> bits])
                 held += len(raw[at[members[0]] : at[members[0]] + size[members[0]]])
             if held > BLOCK:
                 sort_block()
@@ -385,23 +381,51 @@ def documents_anchors(own: DataFrame, buckets: int, hot_texts: int = HOT_TEXTS)
     return regrouped(met, 8).withColumnRenamed("data", "shared")
 
 
-def found_spans(own: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+def found_spans(own: DataFrame, shared: DataFrame, buckets: int, bits: int) -> DataFrame:
     live = own.join(shared.hint("shuffle_hash"), "doc_id")
-    return regrouped(run_messages(live, buckets).groupBy("bucket").applyInArrow(lambda t: bucket_repeats(t, buckets), PACKET), SPAN.itemsize)
+    return regrouped(run_messages(live, buckets, bits).groupBy("bucket").applyInArrow(lambda t: bucket_repeats(t, buckets, bits), PACKET), SPAN.itemsize)
 
 
-def repeated_spans(docs: DataFrame, hot_texts: int = HOT_TEXTS) -> DataFrame:
-    """doc_id, spans (intervals to be removed, packed as SPAN; they may overlap), whole (all of it goes)."""
-    spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long"), "text")
-    sizes = staged(own.select("doc_id", F.octet_length(text_or_empty()).alias("n"), F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("key")).filter(f"n >= {WIDTH} AND doc_id IS NOT NULL"), "suffix-keys")
-    buckets = min(32_000, max(8, sizes.count() // DOCS_PER_BUCKET))
-    firsts = sizes.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    copies = staged(sizes.join(firsts, "key").filter("doc_id > first").select("doc_id").distinct(), "suffix-copies")
+def text_key() -> Column:
+    return F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
+
+
+def named(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc_id, text, name), texts (name, key) of WIDTH bytes or more, and how many low bits of a name do not count
+    in the order of documents. A name is the doc_id itself, unless some doc_id has several texts."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = staged(rows.select("doc_id", F.octet_length(text_or_empty()).alias("n"), text_key().alias("key")).filter(f"n >= {WIDTH} AND doc_id IS NOT NULL").select("doc_id", "key"), "suffix-keys")
+    if not texts.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").limit(1).count():
+        return rows.withColumn("name", F.col("doc_id")), texts.withColumnRenamed("doc_id", "name"), 0
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, rank, variant, base = None, 0, 0, TaskContext.get().partitionId() << 55
+        for batch in batches:
+            names = []
+            for doc in batch.column("doc_id").to_pylist():
+                rank, variant = (rank, variant + 1) if doc == before else (rank + 1, 0)
+                before = doc
+                names.append(base | rank << VARIANT_BITS | variant)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], names=["doc_id", "key", "name"])
+
+    names = staged(texts.distinct().repartitionByRange(RANGES, "doc_id").sortWithinPartitions("doc_id", "key").mapInArrow(number, "doc_id long, key binary, name long"), "suffix-names")
+    own = rows.withColumn("key", text_key()).join(names, ["doc_id", "key"], "left").select("doc_id", "text", "name")
+    named_texts = staged(texts.join(names, ["doc_id", "key"]).select("name", "key"), "suffix-keys")
+    discard(texts)
+    return own, named_texts, VARIANT_BITS
+
+
+def repeated_spans(own: DataFrame, texts: DataFrame, bits: int, hot_texts: int = HOT_TEXTS) -> DataFrame:
+    """name, spans (intervals to be removed, packed as SPAN; they may overlap), whole (all of it goes)."""
+    own = own.filter("name IS NOT NULL").select(F.col("name").alias("doc_id"), "text")
+    buckets = max(8, texts.count() // DOCS_PER_BUCKET)
+    firsts = staged(texts.groupBy("key").agg(F.min("name").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "suffix-firsts")
+    later = F.shiftright("name", bits) > F.shiftright("first", bits)
+    copies = staged(with_group(texts, firsts, "key", "c").filter(later).select("name").distinct(), "suffix-copies")
     shared = staged(documents_anchors(own, buckets, hot_texts), "suffix-shared")
-    out = staged(found_spans(own, shared, buckets), "suffix-spans")
-    discard(shared, sizes)
-    return out.join(copies.withColumn("whole", F.lit(True)), "doc_id", "full").select("doc_id", F.col("data").alias("spans"), F.coalesce("whole", F.lit(False)).alias("whole"))
+    out = staged(found_spans(own, shared, buckets, bits).withColumnRenamed("doc_id", "name"), "suffix-spans")
+    discard(shared, firsts)
+    return out.join(copies.withColumn("whole", F.lit(True)), "name", "full").select("name", F.col("data").alias("spans"), F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, hot_texts: int = HOT_TEXTS) -> DataFrame:
@@ -409,11 +433,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot_texts: int = HO
     as `kept` if asked for.
 
     Null counts as empty: no bytes, nothing removed. Texts under WIDTH bytes neither lose nor cost anything. Rows that
-    repeat a doc_id are not each other's repeats; each loses what smaller doc_ids hold. (Where one doc_id has several
-    different texts, what is found in any of them is removed from all: a doc_id is taken to name one text.) Rows without doc_id have no
-    place in the order: they are left whole. An empty table gives no rows.
+    repeat a doc_id are not each other's repeats, whether their texts are equal or not; each loses of its own text what
+    smaller doc_ids hold. Rows without doc_id have no place in the order: they are left whole. An empty table gives no
+    rows. Texts are read whole at any length.
     """
-    own = docs.select(F.col("doc_id").cast("long"), "text").join(repeated_spans(docs, hot_texts).hint("shuffle_hash"), "doc_id", "left")
+    rows, texts, bits = named(docs)
+    own = rows.join(repeated_spans(rows, texts, bits, hot_texts).hint("shuffle_hash"), "name", "left").select("doc_id", "text", "spans", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from corpusloom.llm import bpe, exact_dedup, jaccard, packing, pii, quality, sharding, suffix_dedup, token_counts, toxicity
 from corpusloom.llm.components import components
+from corpusloom.llm.packets import buckets_of, by_bucket
 
 DATA = "/root/testdata/sf0.001"
 RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -507,6 +508,36 @@ def test_suffix_dedup(docs, texts, empty, hot_texts):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_several_texts_under_one_doc_id(spark):
+    """What one text of a doc_id loses, another text of it keeps."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 9))
+    passage, other = (" ".join(word() for _ in range(12)) for _ in range(2))
+    rows = [(1, passage + " " + word()), (5, word() + " " + passage), (5, " ".join(word() for _ in range(30))), (5, other + " " + passage), (5, word() + " " + passage + " " + other), (7, other), (7, passage), (7, passage), (3, word() * 9)]
+    first: dict = {}
+    for d, t in sorted(rows):
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    want = collections.Counter()
+    for d, t in rows:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 49):
+            gone[i : i + 50] |= first[t[i : i + 50]] < d
+        want[d, len(t), int(gone.sum()), hashlib.sha256("".join(c for c, g in zip(t, gone, strict=True) if not g).encode()).hexdigest()] += 1
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, name int")
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame).collect()) == want
+
+
+@pytest.mark.parametrize("buckets", [8, 1000, 100_000])
+def test_buckets_are_even_and_in_order(buckets):
+    data = np.random.default_rng(1).integers(97, 123, 200_000).astype(np.uint8)
+    values = np.unique(suffix_dedup.window_anchors(data))
+    held = np.bincount(buckets_of(values, buckets), minlength=buckets)
+    assert held.max() <= 2 * held.mean() + 12
+    order = buckets_of(values[by_bucket(values, buckets)], buckets)
+    assert (np.diff(order) >= 0).all()
+
+
 @pytest.mark.parametrize("period", [4, 8, 16])
 def test_suffix_order(period):
     cover = suffix_dedup.difference_cover(period)
