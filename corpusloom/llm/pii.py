@@ -4,7 +4,8 @@ Base spans come from fixed patterns with checks (see `KINDS`). Beside them there
 numbers without a plus sign, spelled-out mail addresses, card-like numbers, secrets). Three labelers vote on each:
 a strict regex, a gazetteer and the words to its left. Expectation-maximisation over the counts of vote patterns
 estimates how reliable each labeler is, and a logistic span classifier is trained on its soft labels with the votes
-and the candidate's shape as features. Candidates it is sure of, and that no base span overlaps, are added.
+and the candidate's shape as features. Candidates it is sure of are added where no base span overlaps them and none of
+an earlier kind that it is sure of either (kinds in the order of `POOL`), so that added spans never overlap.
 
 Vote and shape patterns are few by construction (3 votes of 3 values, 3 buckets), so their counts over all documents
 are the only thing the driver gets, and the trained classifier goes back as a literal map from pattern to score.
@@ -36,6 +37,7 @@ POOL = {
     "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}+",
 }
 ALL_KINDS = ["email", "ip", "card", "phone", "secret"]
+#: Characters to a candidate's left that the context labeler reads: its cues stand right before what they announce.
 LEFT = 24
 SURE = 0.9
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
@@ -46,6 +48,13 @@ GAZETTEER = {
     "phone": r"^\(?(?:0|1|8[0-9]{2}|44|49|33|34)",
     "secret": r"^(?:AKIA|ghp_|gho_|sk-|sk_live_|xox[bp]-|eyJ|AIza)",
 }
+#: What such lists exclude (names of no host, book numbers' prefixes, years, digits and letters in their order).
+UNLISTED = {
+    "email": r"(?i)\b(?:localhost|invalid|nowhere)$",
+    "card": r"^(?:97[89]|0)",
+    "phone": r"^(?:19|20)[0-9]{2}[ ./-]",
+    "secret": r"(?i)^(?:abcdef|qwerty|0?123456|(?:[a-z]+[_-])+[a-z]+[0-9]{0,2}$)",
+}
 CONTEXT = {
     "email": r"(?i)mail|contact|write|kontakt|correo|courriel",
     "card": r"(?i)card|visa|master|amex|karte|carte|tarjeta",
@@ -121,7 +130,7 @@ def pattern_of(kind: str, s: Column, left: Column) -> Column:
         F.when(share < 0.25, "s").when(share < 0.75, "m").otherwise("l"),
         F.when(left.rlike(r"[\"'(\[:=]$"), "q").otherwise("p"),
     )
-    return F.concat(vote(strict, never), vote(s.rlike(GAZETTEER[kind]), F.lit(False)), vote(left.rlike(CONTEXT[kind]), left.rlike(AGAINST)), shape)
+    return F.concat(vote(strict, never), vote(s.rlike(GAZETTEER[kind]), s.rlike(UNLISTED[kind])), vote(left.rlike(CONTEXT[kind]), left.rlike(AGAINST)), shape)
 
 
 def candidates(text: Column, kind: str) -> Column:
@@ -189,7 +198,10 @@ def added_spans(text: Column, base: Column, scores: dict[str, dict[str, float]])
             kept.append(F.transform(own, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     if not kept:
         return F.slice(base, 1, 0)
-    return F.filter(F.concat(*kept), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    order = F.create_map(*[F.lit(v) for i, k in enumerate(POOL) for v in (ALL_KINDS.index(k), i)])
+    meets = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"])
+    sure_of = F.concat(*kept)
+    return F.filter(sure_of, lambda x: ~F.exists(base, lambda b: meets(x, b)) & ~F.exists(sure_of, lambda y: meets(x, y) & (order[y["kind"]] < order[x["kind"]])))
 
 
 def joined(spans: Column) -> Column:

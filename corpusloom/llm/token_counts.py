@@ -8,10 +8,12 @@ in two levels so that no task ever sees more than the summaries of `SPAN` blocks
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +24,8 @@ from corpusloom.llm.bpe import read_ranks, read_vocabulary
 
 BLOCK_TOKENS = 1 << 16
 SPAN = 1024
+#: Bytes of a flat file that one task reads.
+AT_ONCE = 1 << 28
 EOD = 50256
 BLOCKS = "file_id long, block_no long, tokens binary, first_ordinal long, doc_ids array<long>"
 _ENCODINGS: dict = {}
@@ -69,12 +73,31 @@ def flat_files(docs: DataFrame, vocabulary: str, pattern: str, eod: int = EOD, b
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(write, BLOCKS)
 
 
-def read_flat_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, width: int = 2) -> DataFrame:
-    """Flat token files of a folder as blocks (file_id is a file's path); a file may hold up to 2 GB."""
+def read_flat_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, width: int = 2, at_once: int = AT_ONCE) -> DataFrame:
+    """Flat token files of a folder as blocks (file_id is a file's path). Files of up to `at_once` bytes are read by
+    Spark, from any store that it reads; of larger ones a task reads a range of blocks, so that neither a file's length
+    nor its task's memory is bounded by the other. A range is read through Arrow's file systems."""
     size = block_tokens * width
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), "content", "length")
-    cut = whole.filter("length > 0").select("file_id", "content", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size))).alias("block_no"))
-    return cut.select("file_id", "block_no", F.substring(F.col("content"), (F.col("block_no") * size + 1).cast("int"), F.lit(size)).alias("tokens"))
+    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), "content", "length").filter("length > 0")
+    cut = whole.filter(F.col("length") <= at_once).select("file_id", "content", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size))).alias("block_no"))
+    small = cut.select("file_id", "block_no", F.substring(F.col("content"), (F.col("block_no") * size + 1).cast("int"), F.lit(size)).alias("tokens"))
+    step = max(1, at_once // size)
+    ranges = whole.filter(F.col("length") > at_once).select("file_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size), F.lit(step).cast("long"))).alias("first"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, first in zip(batch.column("file_id").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                store, at = pa.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with store.open_input_file(at) as f:
+                    f.seek(first * size)
+                    for block in range(first, first + step):
+                        data = f.read(size)
+                        if not data:
+                            break
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["file_id", "block_no", "tokens"])
+
+    large = ranges.repartition("file_id", "first").mapInArrow(read, "file_id string, block_no long, tokens binary")
+    return small.unionByName(large)
 
 
 def scan_separators(blocks: DataFrame, eod: int = EOD, dtype: str = "<u2") -> DataFrame:

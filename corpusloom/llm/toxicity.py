@@ -27,11 +27,11 @@ DENSE_SHARE = 0.02
 #: Features of one document are at most its distinct hashed words, so at most 2 ** BITS whatever its length.
 
 
-def hashed(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc_id, x: the sorted distinct numbers of a document's words (lower case, edge punctuation dropped)."""
+def hashed(docs: DataFrame, *more: str, bits: int = BITS) -> DataFrame:
+    """doc_id, x: the distinct numbers of a document's words (lower case, edge punctuation dropped); and `more`, in SQL."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}']+"), F.lit(0))
     number = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(1 << bits)).cast("int"))
-    return docs.select(F.col("doc_id").cast("long"), F.array_distinct(number).alias("x"))
+    return docs.select(F.col("doc_id").cast("long"), F.array_distinct(number).alias("x"), *map(F.expr, more))
 
 
 class Linear:
@@ -129,15 +129,21 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray, size: int = 1 << BITS) ->
 
 
 def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> Chain:
-    """Repeated labels of a document count once (toxic if any says so); labels that are null or of no document are left out."""
+    """Repeated labels of a document count once (toxic if any says so); labels that are null or of no document are left
+    out. A labelled doc_id with several texts counts by the one of the smallest digest. Folds are dealt by a hash of the
+    features, so that copies never lie on both sides of a fold."""
     known = labelled.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     spread = F.xxhash64("doc_id", F.lit(17))
     picked = known.orderBy(spread, "doc_id").limit(sample)
-    some = docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # at most `sample` rows are broadcast
-    got = hashed(some.drop("toxic")).join(F.broadcast(picked), "doc_id").orderBy("doc_id").toArrow()
-    rows = [np.asarray(x, np.int32) for x in got.column("x").to_pylist()]
-    toxic = np.array(got.column("toxic").to_pylist(), float)
-    return Chain(rows, graded(rows, toxic), np.arange(len(rows)) % folds)
+    some = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked.select("doc_id")), "doc_id")  # at most `sample` rows are broadcast
+    one = hashed(some, "sha2(text, 256) AS own").groupBy("doc_id").agg(F.min_by("x", "own").alias("x"))
+    got = one.join(F.broadcast(picked), "doc_id").select("doc_id", F.array_sort("x").alias("x"), "toxic").withColumn("fold", F.pmod(F.xxhash64("x"), F.lit(folds))).orderBy("doc_id").toArrow()
+    x = got.column("x").combine_chunks()
+    ends = np.cumsum([0, *(x.value_lengths().to_numpy() if len(x) else [])]).astype(np.int64)
+    flat = np.asarray(x.flatten(), np.int32) if len(x) else np.zeros(0, np.int32)
+    rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    toxic = np.asarray(got.column("toxic"), float)
+    return Chain(rows, graded(rows, toxic), np.asarray(got.column("fold")))
 
 
 def classify(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> DataFrame:

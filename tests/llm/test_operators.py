@@ -68,6 +68,39 @@ def test_classifier_chain(docs, texts, labels, empty):
     assert not any(r.toxic for r in toxicity.classify(docs, labels.filter("false")).collect())
 
 
+def test_chain_against_plain_loops(docs, texts, labels):
+    """Scores of every document by loops over its words and the models' weights; words are told and hashed here."""
+    import regex
+    import xxhash
+
+    chain = toxicity.fit(docs, labels)
+    want = []
+    for d, t in texts:
+        found = {xxhash.xxh64_intdigest(w.encode(), seed=42) % (1 << toxicity.BITS) for w in regex.findall(r"[\p{L}\p{M}\p{N}']+", (t or "").lower())}
+        p = []
+        for m in chain.models:
+            z = sum(float(m.w[x]) for x in found) / max(sum(float(m.norm[x]) for x in found), 1e-9) ** 0.25
+            z += sum(a * b for a, b in zip(p, m.d, strict=True)) + m.b
+            p.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        want.append((d or -1, bool(p[-1] >= chain.cutoffs[-1] and found), *p))
+    got = [(r.doc_id or -1, r.toxic, *(r[f"p_{c}"] for c in toxicity.CATEGORIES)) for r in toxicity.classify(docs, labels).collect()]
+    assert len(got) == len(want) and all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-5) for a, b in zip(sorted(got), sorted(want), strict=True))
+
+
+def test_copies_share_a_fold(spark):
+    rows = [(i, f"word{i % 7} another{i % 7}") for i in range(70)]
+    docs = spark.createDataFrame(rows + [(3, "word3 of another text")], "doc_id long, text string")
+    said = []
+    real = toxicity.Chain
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "Chain", lambda rows, y, fold: said.append((rows, fold)) or real(rows, y, fold))
+        toxicity.fit(docs, spark.createDataFrame([(i, i % 7 == 0) for i in range(70)], "doc_id long, toxic boolean").selectExpr("doc_id", "int(toxic) AS toxic"))
+    folds = collections.defaultdict(set)
+    for x, f in zip(*said[0], strict=True):
+        folds[tuple(x)].add(int(f))
+    assert len(said[0][0]) == 70 and all(len(f) == 1 for f in folds.values())
+
+
 def test_chain_learns_held_out_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").dropDuplicates(["doc_id"])
@@ -242,6 +275,43 @@ def test_personal_data(spark, docs, texts, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_reliabilities_against_plain_maximisation():
+    """The same expectation-maximisation, candidate by candidate."""
+    rng = np.random.default_rng(9)
+    votes = ["".join(rng.choice(list("+-0"), 3, p=[0.4, 0.3, 0.3])) for _ in range(300)]
+    real = [1 / (1 + math.exp(-2 * (v.count("+") - v.count("-") - 0.5))) for v in votes]
+    for _ in range(60):
+        mass = [sum(1 - r for r in real), sum(real)]
+        said = [[collections.Counter({x: 1.0 for x in "+-0"}) for _ in range(3)] for _ in range(2)]
+        for v, r in zip(votes, real, strict=True):
+            for j, x in enumerate(v):
+                said[1][j][x] += r
+                said[0][j][x] += 1 - r
+        chance = lambda v, c: (mass[c] + 1) / (sum(mass) + 2) * math.prod(said[c][j][x] / (mass[c] + 3) for j, x in enumerate(v))  # noqa: B023, E731
+        real = [chance(v, 1) / (chance(v, 1) + chance(v, 0)) for v in votes]
+    got = pii.reliabilities({v + "msp": n for v, n in collections.Counter(votes).items()})
+    assert all(got[v] == pytest.approx(r, abs=1e-6) for v, r in zip(votes, real, strict=True))
+
+
+def test_span_classifier_against_its_gradient():
+    """At the weights found, the derivative of the regularised loss on the soft labels is next to nothing."""
+    counts = {"+++mmq": 40, "+0+mmp": 25, "0-0ssp": 60, "---slp": 30, "0+0msp": 10, "-0-ssq": 20}
+    scores, soft, total = pii.span_classifier(counts, steps=20_000), pii.reliabilities(counts), sum(counts.values())
+    near = {p: scores[p] - soft[p[:3]] for p in counts}
+    for j in range(6):
+        for x in {p[j] for p in counts}:
+            assert abs(sum(n / total * near[p] for p, n in counts.items() if p[j] == x)) < 2e-2
+    assert scores["+++mmq"] > 0.9 > 0.5 > scores["---slp"]
+
+
+def test_added_spans_never_overlap(spark):
+    texts = [(i, f"call (0{i % 10}1) 4111 1111 1111 1111 or write me at bob{i} (at) mail{i} dot com, card: 4111 1111 1111 1111 token = 4111-1111-1111-1111-aaaa{i}") for i in range(60)]
+    for r in pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        spans = [(int(a), int(b)) for _, a, b in (x.split(":") for x in r.spans.split(","))]
+        added = set(spans) - {(int(a), int(b)) for _, a, b in (x.split(":") for x in personal(dict(texts)[r.doc_id]))}
+        assert all(x == y or x[1] <= y[0] or y[1] <= x[0] for x in added for y in spans)
+
+
 def test_labelers_find_secrets_and_leave_words_alone(spark):
     secret = [(i, f'x token = "{hashlib.sha1(str(i).encode()).hexdigest()}" y') for i in range(30)]
     plain = [(100 + i, f"a plain sentence with a longwordwithoutanynumbers{'x' * i} and version 1.2") for i in range(30)]
@@ -569,11 +639,12 @@ def test_token_counts(docs, texts, empty, reference_encoding, block):
     assert token_counts.count_tokens(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_flat_files_of_other_writers(spark, tmp_path):
+@pytest.mark.parametrize("at_once", [token_counts.AT_ONCE, 13, 6])
+def test_flat_files_of_other_writers(spark, tmp_path, at_once):
     ids = np.array([5, 6, 9, 9, 7, 9, 1, 2, 3, 4], "<u2")  # 9 ends a document
     ids.tofile(tmp_path / "a.bin")
     (tmp_path / "b.bin").write_bytes(b"")
-    blocks = token_counts.read_flat_files(spark, f"file://{tmp_path}", block_tokens=3)
+    blocks = token_counts.read_flat_files(spark, f"file://{tmp_path}", block_tokens=3, at_once=at_once)
     got = sorted((r.ordinal, r.start, r.n_tokens, r.closed) for r in token_counts.scan_separators(blocks, eod=9).collect())
     assert got == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 1, True), (3, 6, 4, False)]
 
