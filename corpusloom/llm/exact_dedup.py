@@ -92,7 +92,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in docs.columns]
     packed = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_id"), own_digest().alias("_own"))
     same = lambda t: (F.col("_id") == t["doc_id"]) & (F.col("_own") == t["own"])
-    left = packed.join(gone, same(gone), "left_anti")
+    left = packed.join(gone.hint("shuffle_hash"), same(gone), "left_anti")  # as many as there are copies: not to be broadcast
     if again.limit(1).count():
         one = left.join(again, same(again), "left_semi").dropDuplicates(["_id", "_own"])
         left = left.join(again, same(again), "left_anti").unionByName(one)

@@ -169,9 +169,15 @@ def shared_tokens(table: pa.Table, homes: int) -> pa.Table:
         tokens.append(top << np.uint64(48) | hi << np.uint64(32) | np.frombuffer(table["lo"][r].as_buffer(), "<u4"))
     name, token = np.concatenate(names), np.concatenate(tokens)
     del names, tokens
+    order = np.argsort(token, kind="stable")
+    name, token = name[order], token[order]
+    del order
+    starts, ends = runs(token)
+    many = np.repeat(ends - starts > 1, ends - starts)
+    name, token = name[many], token[many]  # most tokens have one set, and go before the rest is sorted
     order = np.lexsort((name, token))
     name, token = name[order], token[order]
-    fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (name[1:] != name[:-1])])  # a set comes from many slices
+    fresh = np.concatenate([np.ones(min(1, len(name)), bool), (token[1:] != token[:-1]) | (name[1:] != name[:-1])])  # a set comes from many slices
     name, token = name[fresh], token[fresh]
     starts, ends = runs(token)
     df = np.repeat(ends - starts, ends - starts)
@@ -347,7 +353,7 @@ def verified(links_: DataFrame, sets: DataFrame, docs: DataFrame, share: int = S
     """a, b, real: whether the shingles themselves of two linked sets reach the threshold. A set's text is that of one of
     its documents; texts move once for a link, whatever the number of their copies."""
     asked = staged(links_.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets.select("rep", "set_key", F.col("first").alias("doc_id")), "rep"), "jaccard-asked")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(asked.hint("shuffle_hash"), "doc_id")  # as many as sets with links
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # a doc_id may have other texts too
@@ -421,4 +427,4 @@ def keep_first(docs: DataFrame, share: int = SHARE, words: int = WORDS) -> DataF
     repeat a doc_id are of one component: all that have its smallest doc_id stay, as they name one document; rows
     without doc_id, without words, or linked with nothing stay. An empty table gives no rows."""
     found = staged(join_components(docs, share, words).filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-dropped")
-    return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

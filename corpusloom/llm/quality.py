@@ -20,10 +20,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.llm._common import discard, staged
 
@@ -205,11 +206,12 @@ def keep_good(docs: DataFrame, labelled: DataFrame, risk: float = RISK, delta: f
     found, chosen = cutoffs_for(docs, labelled, risk, delta)
     discard(found)
     own = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.cast("string").alias("stratum"))
 
-    @F.pandas_udf(", ".join(FEATURES.split(", ")[2:]))
-    def figures(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([describe(t) for t in text], columns=NAMES[2:], dtype="int64")
+    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([describe(t.as_py()) for t in pc.struct_field(batch.column("row"), "text")], np.int64).reshape(-1, len(NAMES) - 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found.T)], names=["row", "stratum", *NAMES[2:]])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.cast("string").alias("stratum"), figures("text").alias("f"))
-    flat = packed.select("row", "stratum", *[F.col("f")[n].alias(n) for n in NAMES[2:]])
+    flat = rows.mapInArrow(figures, StructType([*rows.schema.fields, *(StructField(n, LongType()) for n in NAMES[2:])]))
     return flat.filter(~base_failed() & rejected_by(chosen).isNull()).select("row.*")
