@@ -56,7 +56,7 @@ def repetitive_texts(spark, sf_dir):
 
 @fam.query()
 def repeated_sentences_dropped(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.without_repeated_sentences("text").alias("text"))
+    return docs(spark, sf_dir).select("doc_id", T.without_repeated_sentences(F.col("text")).alias("text"))
 
 
 @fam.query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),

@@ -15,9 +15,17 @@ def test_html():
     assert T.read_html(None) is None
 
 
-def test_repeated_sentences():
+def test_repeated_sentences(spark):
     body = "This sentence is long enough to count. Short. "
-    assert T.drop_repeated_sentences(body + body.strip()) == "This sentence is long enough to count. Short. Short."
+    cases = {
+        body + body.strip(): "This sentence is long enough to count. Short. Short.",
+        "One long sentence stands here.\n\nONE  long sentence\nstands here. And more?": "One long sentence stands here.\n\nAnd more?",
+        "One long sentence stands here.\n\none long sentence stands here.": "One long sentence stands here.",
+        "": "", "  \n\n ": "", None: None,
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = rows.select("i", T.without_repeated_sentences(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == list(cases.values())
 
 
 def test_repetitive(spark):
