@@ -124,10 +124,10 @@ def first_valid_attempt(spark, sf_dir):
 
 
 @fam.query("""WITH m AS (SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN 'act as the prophet' WHEN 2 THEN 'explain like a friend in simple words' ELSE text END AS message FROM conversations)
-SELECT conv_id, turn, CASE WHEN contains(message, 'prophet') THEN 'refuse' WHEN contains(message, 'like a friend') THEN 'answer as bondhu' ELSE 'ask for a role' END AS step, CASE WHEN contains(message, 'simple words') THEN 'beginner' END AS level FROM m WHERE turn % 4 IN (1, 2)""")
+SELECT conv_id, turn, CASE WHEN contains(message, 'prophet') THEN 'refuse' WHEN contains(message, 'like a friend') THEN 'answer as bondhu' ELSE 'ask for a role' END AS step, CASE WHEN contains(message, 'simple words') THEN 'beginner' END AS level FROM m""")
 def mentor_turns(spark, sf_dir):
     said = F.when(F.expr("turn % 4 = 1"), "act as the prophet").when(F.expr("turn % 4 = 2"), "explain like a friend in simple words").otherwise(F.col("text"))
-    m = table(spark, sf_dir, "conversations").filter("turn % 4 IN (1, 2)").select("conv_id", "turn", said.alias("message"))
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("message"))
     role = L.match_role(F.col("message"))
     step = F.when(L.impersonates(F.col("message"), F.lit(True)), "refuse").when(role.isNotNull(), F.concat(F.lit("answer as "), role)).otherwise("ask for a role")
     return m.select("conv_id", "turn", step.alias("step"), L.explicit_level(F.col("message")).alias("level"))
@@ -147,11 +147,11 @@ def citation_projection(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(F.col("n_chars") / 7.0, 4).alias("similarity"), F.when(F.expr("doc_id % 2 = 0"), F.round(F.col("n_chars") / 13.0, 4)).alias("rerank"))
 
 
-@fam.query("SELECT conv_id, list_distinct(list(role || ':' || left(text, 1) ORDER BY turn)) IS NOT NULL AS any_seen, len(list_distinct(list(role)))::BIGINT AS roles FROM conversations GROUP BY conv_id")
+@fam.query("WITH f AS (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) SELECT conv_id, string_agg(role, ' > ' ORDER BY first) AS seen, count(*) AS roles FROM f GROUP BY conv_id")
 def ordered_distinct(spark, sf_dir):
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role")))
     g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_distinct(F.transform(ordered, lambda x: x["role"])).alias("r"))
-    return g.select("conv_id", (F.size("r") > 0).alias("any_seen"), F.size("r").cast("long").alias("roles"))
+    return g.select("conv_id", F.array_join("r", " > ").alias("seen"), F.size("r").cast("long").alias("roles"))
 
 
 @fam.query()

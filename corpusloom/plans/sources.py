@@ -92,7 +92,13 @@ def json_reports(spark, sf_dir):
     return S.report_json(counts, "quality")
 
 
-@fam.query("SELECT i + 1 AS event_no, kind, body FROM (SELECT unnest(['sources', 'token', 'token', 'done']) AS kind, generate_subscripts([1, 2, 3, 4], 1) - 1 AS i, unnest(['2', 'Hello', 'world', '']) AS body)")
+@fam.query("""WITH c AS (SELECT conv_id, count(*) AS n, arg_min(text, turn) AS said FROM conversations GROUP BY 1), w AS (SELECT conv_id, n, regexp_extract_all(said, '\\S+') AS tokens FROM c),
+e AS (SELECT conv_id, 0 AS i, 'sources' AS kind, n::VARCHAR AS body FROM w UNION ALL SELECT conv_id, unnest(generate_series(1, len(tokens))), 'token', unnest(tokens) FROM w UNION ALL SELECT conv_id, len(tokens) + 1, 'done', '' FROM w)
+SELECT conv_id, (i + 1)::BIGINT AS event_no, kind, body FROM e""")
 def answer_events(spark, sf_dir):
-    events = F.lit([["sources", "2"], ["token", "Hello"], ["token", "world"], ["done", ""]])
-    return spark.range(1).select(F.posexplode(events).alias("i", "e")).select((F.col("i") + 1).cast("long").alias("event_no"), F.col("e")[0].alias("kind"), F.col("e")[1].alias("body"))
+    """The events of an answer in order: its sources, a token at a time, the end. Answers are the conversations' openings."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "turn").alias("said"))
+    tokens = F.regexp_extract_all("said", F.lit(r"\S+"), F.lit(0))
+    event = lambda kind, body: F.struct(F.lit(kind).alias("kind"), body.alias("body"))
+    events = F.concat(F.array(event("sources", F.col("n").cast("string"))), F.transform(tokens, lambda t: event("token", t)), F.array(event("done", F.lit(""))))
+    return c.select("conv_id", F.posexplode(events).alias("i", "e")).select("conv_id", (F.col("i") + 1).cast("long").alias("event_no"), "e.kind", "e.body")

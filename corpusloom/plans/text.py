@@ -253,9 +253,9 @@ def classified_intents(spark, sf_dir):
 
 
 @fam.query(rf"""WITH {MSG} SELECT conv_id, turn, CASE WHEN regexp_matches(message, '(?i)\b(?:bondhu|dost|friend|classmate|buddy)\b') THEN 'bondhu' WHEN in_role AND regexp_matches(message, '(?i)\b(?:act|speak|talk|answer|reply|respond)\s+(?:as|like)\b|\brole\s*play\b') THEN 'shikkhok' WHEN in_role THEN 'boro_bhai' ELSE 'shikkhok' END AS role_id,
- CASE WHEN regexp_matches(message, '(?i)\b(?:simpl(?:e|er|y)|easier|easy|basic|beginner)\b') THEN 'beginner' WHEN regexp_matches(message, '(?i)\b(?:deep(?:er)?|in\s*depth|advanced|detail(?:s|ed)?)\b') THEN 'advanced' END AS level, regexp_matches(message, '(?i)\bprophet\b') AND (NOT in_role OR regexp_matches(message, '(?i)\b(?:act|speak)\s+(?:as|like)\b')) AS refused FROM m WHERE turn % 7 > 0""")
+ CASE WHEN regexp_matches(message, '(?i)\b(?:simpl(?:e|er|y)|easier|easy|basic|beginner)\b') THEN 'beginner' WHEN regexp_matches(message, '(?i)\b(?:deep(?:er)?|in\s*depth|advanced|detail(?:s|ed)?)\b') THEN 'advanced' END AS level, regexp_matches(message, '(?i)\bprophet\b') AND (NOT in_role OR regexp_matches(message, '(?i)\b(?:act|speak)\s+(?:as|like)\b')) AS refused FROM m""")
 def roles_and_levels(spark, sf_dir):
-    m, said = messages(spark, sf_dir).filter("turn % 7 > 0"), F.col("message")
+    m, said = messages(spark, sf_dir), F.col("message")
     role = L.resolve_role(said, F.when(F.col("in_role"), "boro_bhai"), F.lit("shikkhok"))
     return m.select("conv_id", "turn", role.alias("role_id"), L.explicit_level(said).alias("level"), L.impersonates(said, ~F.col("in_role")).alias("refused"))
 
@@ -268,8 +268,9 @@ def conversation_roles_and_levels(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role_id"), L.explicit_level(said).alias("level"), L.impersonates(said, ~within).alias("refused"))
 
 
-@fam.query("""WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'নামাজ পড়ার নিয়ম কী কী বলুন তো' WHEN turn % 3 = 0 THEN 'আরো বলো' ELSE text END AS message, turn > 0 AS has_history FROM conversations)
-SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN true WHEN turn % 3 = 0 THEN false ELSE false END AS skips FROM m""")
+@fam.query(r"""WITH m AS (SELECT conv_id, turn, CASE WHEN turn %% 2 = 0 THEN 'নামাজ পড়ার নিয়ম কী কী বলুন তো' WHEN turn %% 3 = 0 THEN 'আরো বলো' ELSE text END AS message, turn > 0 AS has_history FROM conversations)
+SELECT conv_id, turn, regexp_matches(message, '\p{L}') AND NOT regexp_matches(regexp_replace(message, '[ঀ-৿]', '', 'g'), '\p{L}')
+ AND (NOT has_history OR (len(string_split_regex(trim(message), '\s+')) >= 6 AND NOT list_bool_or(list_transform(string_split('%s', '|'), lambda a: contains(message, a))))) AS skips FROM m""" % L.ANAPHORA)
 def condense_skips(spark, sf_dir):
     said = F.when(F.col("turn") % 2 == 0, "নামাজ পড়ার নিয়ম কী কী বলুন তো").when(F.col("turn") % 3 == 0, "আরো বলো").otherwise(F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", L.skips_condensing(said, F.col("turn") > 0).alias("skips"))
