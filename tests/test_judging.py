@@ -14,7 +14,7 @@ def test_judge_sees_labels_only_and_invents_nothing(spark):
 
     def judge(key, rows):
         asked["type"] = True
-        return F.map_from_entries(F.concat(F.transform(F.slice(rows, 1, 2), lambda x: F.struct(x["label"], F.length(x["answer"]).cast("long"))), F.array(F.struct(F.lit("Z"), F.lit(99).cast("long")))))
+        return F.map_from_entries(F.concat(F.transform(F.slice(rows, 1, 2), lambda x: F.struct(x["label"].alias("l"), F.length(x["answer"]).cast("long").alias("s"))), F.array(F.struct(F.lit("Z").alias("l"), F.lit(99).cast("long").alias("s")))))
 
     got = J.judged(c, "k", "model", "answer", judge, seed=1).collect()
     assert len(got) == 120 and {r.label for r in got} == {"A", "B", "C"} and all((r.score is None) == (r.label == "C") for r in got)
