@@ -1,4 +1,8 @@
-"""Limits whose decisions depend on earlier decisions, as keyed state."""
+"""Limits whose decisions depend on earlier decisions, as keyed state.
+
+A key's state goes when the watermark has passed the time from which it says nothing more, so that keys which stay away
+do not pile up. Requests that come later than `late` behind the newest one are too late for a decision and give none.
+"""
 
 from __future__ import annotations
 
@@ -12,11 +16,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 DECISION = "user_id long, event_id long, accepted boolean, wait_us long"
 
 
-def sliding_limit(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
+def kept_until(state: GroupState, us: int, *values) -> None:
+    """Keeps a key's state until the watermark has passed `us`; not at all if it has already."""
+    ms = us // 1000 + 1
+    if ms <= state.getCurrentWatermarkMs():
+        state.remove()
+    else:
+        state.update(values)
+        state.setTimeoutTimestamp(ms)
+
+
+def sliding_limit(requests: DataFrame, limit: int, window_us: int, late: str = "10 minutes") -> DataFrame:
     """Accepts a request if fewer than `limit` accepted ones lie in (t - window, t]. The state of a key is the times of
     its accepted requests that still count, so at most `limit` numbers."""
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
         out = []
@@ -25,16 +42,20 @@ def sliding_limit(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
             ok = len(held) < limit
             out.append((key[0], event, ok, 0 if ok else (held[0] if held else t) + window_us - t))
             held += [t] * ok
-        state.update((held,))
+        kept_until(state, (held[-1] if held else int(rows["us"].iloc[-1])) + window_us, held)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISION.split(", ")])
 
-    return requests.groupBy("user_id").applyInPandasWithState(decide, DECISION, "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    timed = requests.withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(decide, DECISION, "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def daily_counter(requests: DataFrame, limit: int, day_us: int = 86_400_000_000) -> DataFrame:
+def daily_counter(requests: DataFrame, limit: int, day_us: int = 86_400_000_000, late: str = "10 minutes") -> DataFrame:
     """Accepts the first `limit` requests of each key and UTC day."""
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         day, taken = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
         out = []
@@ -44,10 +65,11 @@ def daily_counter(requests: DataFrame, limit: int, day_us: int = 86_400_000_000)
             ok = taken < limit
             taken += ok
             out.append((key[0], event, ok, 0 if ok else (day + 1) * day_us - t))
-        state.update((int(day), int(taken)))
+        kept_until(state, (int(day) + 1) * day_us, int(day), int(taken))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISION.split(", ")])
 
-    return requests.groupBy("user_id").applyInPandasWithState(decide, DECISION, "day long, taken long", "append", GroupStateTimeout.NoTimeout)
+    timed = requests.withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(decide, DECISION, "day long, taken long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def new_or_changed(current: DataFrame, arrived: DataFrame, key: str, version: str) -> DataFrame:
