@@ -14,7 +14,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def length(a: Column) -> Column:
+    """Norm of a vector; a vector of zeros counts as of length one."""
+    n = norm(a)
+    return F.when(n == 0, F.lit(1.0)).otherwise(n)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; a vector of zeros counts as of length one."""
-    one = lambda n: F.when(n == 0, F.lit(1.0)).otherwise(n)
-    return dot(a, b) / (one(norm(a)) * one(norm(b)))
+    return dot(a, b) / (length(a) * length(b))

@@ -134,8 +134,11 @@ def _scored_in_place(docs: DataFrame, doc: str, terms: pa.Table, query: str, kin
 
 def dense_scores(queries: DataFrame, chunks: DataFrame, query: str, key: str) -> DataFrame:
     """query, key, score: exact cosine of every query vector `qv` with every chunk vector `cv`. Each query is compared
-    with all chunks by design; Spark sends a small query side to the chunks and deals out blocks of a large one."""
-    return chunks.crossJoin(queries).select(query, key, F.round(vectors.cosine(F.col("qv"), F.col("cv")), 6).alias("score"))
+    with all chunks by design; Spark sends a small query side to the chunks and deals out blocks of a large one.
+    Lengths are worked out once a vector, not once a pair."""
+    asked = queries.select(query, "qv", vectors.length(F.col("qv")).alias("_qn"))
+    held = chunks.select(key, "cv", vectors.length(F.col("cv")).alias("_cn"))
+    return held.crossJoin(asked).select(query, key, F.round(vectors.dot(F.col("qv"), F.col("cv")) / (F.col("_qn") * F.col("_cn")), 6).alias("score"))
 
 
 def best_of_variants(hits: DataFrame, query: str, key: str) -> DataFrame:

@@ -22,13 +22,13 @@ def prefixes(c):
     return F.transform(T.words(c), lambda w: F.substring(w, 1, 4))
 
 
-def bm25_sql(name: str, tokens: str, k: int) -> str:
-    """CTEs {name}_top: item_id, doc_id, score, rank."""
+def bm25_sql(name: str, tokens: str, k: int, asked: str = "benchmark") -> str:
+    """CTEs up to {name}_top: item_id, doc_id, score, rank. `asked` holds item_id and text."""
     return f"""
 {name}_d AS (SELECT doc_id, {tokens} AS t FROM documents),
 {name}_p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM {name}_d) GROUP BY ALL),
 {name}_s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {name}_d),
-{name}_q AS (SELECT DISTINCT item_id, unnest({tokens}) AS term FROM benchmark),
+{name}_q AS (SELECT DISTINCT item_id, unnest({tokens}) AS term FROM {asked}),
 {name}_f AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
 {name}_r AS (SELECT q.item_id, p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM {name}_q q JOIN {name}_p p USING (term) JOIN {name}_f USING (term) CROSS JOIN {name}_s GROUP BY ALL),

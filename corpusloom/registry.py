@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES: list[str] = ["retrieval", "evaluation", "cleaning", "ingest", "state", "text", "sources", "streams", "composites", "judging", "star"]
+FAMILIES: list[str] = ["retrieval", "hybrid", "evaluation", "cleaning", "ingest", "state", "text", "sources", "streams", "composites", "judging", "star"]
 
 
 def _modules():
