@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from corpusloom.functions import text as T
 from corpusloom.plans._base import Family, table
 from corpusloom.sources import dumps as D
 from corpusloom.sources import files as S
+from corpusloom.streaming.sinks import shared_dir
 
 fam = Family()
 QUERIES, ORACLES = fam.queries, fam.oracles
@@ -102,3 +107,59 @@ def answer_events(spark, sf_dir):
     event = lambda kind, body: F.struct(F.lit(kind).alias("kind"), body.alias("body"))
     events = F.concat(F.array(event("sources", F.col("n").cast("string"))), F.transform(tokens, lambda t: event("token", t)), F.array(event("done", F.lit(""))))
     return c.select("conv_id", F.posexplode(events).alias("i", "e")).select("conv_id", (F.col("i") + 1).cast("long").alias("event_no"), "e.kind", "e.body")
+
+
+# ---- sheets, question lists, notes -----------------------------------------------------------------------------------
+
+
+def written(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+SPACED = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+@fam.query(f"""SELECT doc_id::VARCHAR AS no, {SPACED.format(c="'  ' || source || '   of ' || lang")} AS head, lang AS tail FROM documents WHERE source <> '' AND lang <> ''""")
+def sheet_of_terms(spark, sf_dir):
+    """S8: a headerless sheet with spaces to clean, title rows and rows of too few cells, which go."""
+    at, d = written(spark, "sheet"), table(spark, sf_dir, "documents")
+    row = F.concat_ws(",", F.col("doc_id").cast("string"), F.lit(""), F.lit("x"), F.lit(""), F.concat(F.lit('"  '), "source", F.lit("   of "), "lang", F.lit('"')), F.coalesce("lang", F.lit("")))
+    title, short = d.select(F.lit("No,a,b,c,Term,Meaning")).distinct(), d.select(F.concat_ws(",", F.col("doc_id").cast("string"), F.lit("a"), F.lit("b")))
+    d.filter("source IS NOT NULL AND lang IS NOT NULL").select(row).union(title).union(short).toDF("value").write.text(at)
+    return S.csv_terms(spark, at).select(F.col("c0").alias("no"), F.col("c4").alias("head"), F.col("c5").alias("tail"))
+
+
+@fam.query("SELECT doc_id, CASE WHEN doc_id % 10 > 0 THEN quality END::INT AS quality, toxic::INT AS toxic FROM labels")
+def sheet_by_header(spark, sf_dir):
+    """S9: typed cells, null where a cell isn't of its type; a sheet that isn't there has no rows."""
+    at, kind = written(spark, "sheet"), StructType([StructField("doc_id", LongType()), StructField("quality", IntegerType()), StructField("toxic", IntegerType())])
+    quality = F.when(F.expr("doc_id % 10 > 0"), F.col("quality").cast("string")).otherwise("unknown")
+    table(spark, sf_dir, "labels").select("doc_id", quality.alias("quality"), "toxic").write.option("header", True).csv(at)
+    return S.csv_by_header(spark, at, kind).unionByName(S.csv_by_header(spark, f"{at}-nowhere", kind))
+
+
+@fam.query("""SELECT 'q' || item_id AS id, text AS question, item_id % 3 > 0 AS answerable, CASE WHEN item_id % 3 > 0 THEN ['page_' || item_id] ELSE [] END AS gold FROM benchmark""")
+def question_lists(spark, sf_dir):
+    """S10: files of fifty questions of either layout; gold of questions without an answer is emptied."""
+    at, b = written(spark, "questions"), table(spark, sf_dir, "benchmark").withColumn("file", F.expr("item_id div 50"))
+    keys, yes, name = F.array(F.concat(F.lit("page_"), F.col("item_id").cast("string"))), F.expr("item_id % 3 > 0").alias("answerable"), F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id")
+    older = F.to_json(F.collect_list(F.struct(name, F.col("text").alias("query"), yes, keys.alias("relevant_ids"))))
+    newer = F.to_json(F.struct(F.collect_list(F.struct(name, F.col("text").alias("question"), yes, keys.alias("expected_row_keys"))).alias("questions")))
+    b.groupBy("file").agg(F.when(F.col("file") % 2 == 0, older).otherwise(newer).alias("value")).write.partitionBy("file").text(at)
+    return S.eval_questions(spark, f"{at}/file=*").select("id", "question", "answerable", "gold")
+
+
+DIGITS = "translate(turn::VARCHAR, '0123456789', '০১২৩৪৫৬৭৮৯')"
+
+
+@fam.query(f"""WITH v AS (SELECT conv_id, turn, text || ' ' || {DIGITS} || ' (ক) ' || {DIGITS} AS t FROM conversations),
+m AS (SELECT conv_id, turn, unnest(regexp_extract_all(t, '[০-৯]+(\\s*\\(ক\\))?')) AS mark, generate_subscripts(regexp_extract_all(t, '[০-৯]+(\\s*\\(ক\\))?'), 1) AS place FROM v),
+k AS (SELECT *, TRY_CAST(translate(regexp_replace(mark, '\\s*\\(ক\\)', ''), '০১২৩৪৫৬৭৮৯', '0123456789') AS INT) * CASE WHEN mark LIKE '%(ক)%' THEN -1 ELSE 1 END AS key FROM m),
+n AS (SELECT conv_id, CASE WHEN turn % 2 = 0 THEN turn ELSE -turn END AS key, role || turn AS note FROM conversations)
+SELECT conv_id, turn, coalesce(list(note ORDER BY place) FILTER (note IS NOT NULL), []) AS notes, count(*) FILTER (note IS NULL) AS orphans FROM k LEFT JOIN n USING (conv_id, key) GROUP BY ALL""")
+def notes_by_key(spark, sf_dir):
+    """J8: notes by (conversation, number), never by number alone; a marked number is another key than a plain one."""
+    c, n = table(spark, sf_dir, "conversations"), T.bengali_digits(F.col("turn"))
+    verses = c.select(F.col("conv_id").alias("sura"), F.col("turn").alias("verse"), F.concat("text", F.lit(" "), n, F.lit(" (ক) "), n).alias("text"))
+    notes = c.select(F.col("conv_id").alias("sura"), F.when(F.expr("turn % 2 = 0"), F.col("turn")).otherwise(-F.col("turn")).cast("int").alias("key"), F.concat("role", F.col("turn").cast("string")).alias("note"))
+    return S.with_notes(verses, notes).select(F.col("sura").alias("conv_id"), F.col("verse").alias("turn"), "notes", "orphans")
