@@ -16,18 +16,18 @@ def canonical_rows(rows: DataFrame, key: str, digest: str, excluded: str, prefer
     """One row per duplicate group: digest, n, canonical, ambiguous, overridden, blocked.
 
     A row that is not excluded comes first, then a preferred one, then the lowest id. A group is ambiguous if several
-    rows are left before ids decide. An override (digest, canonical_id) wins if it names a row of the group; ambiguous
-    groups without one are blocked."""
-    by = Window.partitionBy(digest)
+    rows are left before ids decide. Rows for which a null leaves that open count but are never chosen by rule. An
+    override (digest, canonical_id) wins if it names a row of the group; ambiguous groups without one are blocked."""
     tier = F.col(excluded).cast("int") * 2 + (~preferred).cast("int")
-    seen = rows.withColumn("_tier", tier).withColumn("_best", F.min("_tier").over(by))
-    groups = seen.groupBy(digest).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("_tier") == F.col("_best"), F.col(key))).alias("by_rule"), (F.count_if(F.col("_tier") == F.col("_best")) > 1).alias("ambiguous"), F.collect_set(key).alias("_ids")).filter("n > 1")
+    by_tier = rows.groupBy(digest, tier.alias("_tier")).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_low"))  # at most five rows a group
+    groups = by_tier.groupBy(digest).agg(F.sum("_n").alias("n"), F.min(F.when(F.col("_tier").isNotNull(), F.struct("_tier", "_n", "_low"))).alias("_first")).filter("n > 1")
+    groups = groups.select(digest, "n", F.col("_first._low").alias("by_rule"), F.coalesce(F.col("_first._n") > 1, F.lit(False)).alias("ambiguous"))
     if overrides is None:
-        groups = groups.withColumn("canonical_id", F.lit(None).cast("long"))
+        groups = groups.withColumns({"canonical_id": F.lit(None).cast("long"), "_named": F.lit(False)})
     else:
-        groups = groups.join(overrides, digest, "left")
-    named = F.array_contains("_ids", F.col("canonical_id"))
-    hit = F.coalesce(named, F.lit(False))
+        held = rows.select(digest, F.col(key).alias("canonical_id"))
+        groups = groups.join(overrides.join(held, [digest, "canonical_id"], "left_semi").withColumn("_named", F.lit(True)), digest, "left")
+    hit = F.coalesce("_named", F.lit(False))
     return groups.select(digest, "n", F.when(hit, F.col("canonical_id")).otherwise(F.col("by_rule")).alias("canonical"), "ambiguous", hit.alias("overridden"), (F.col("ambiguous") & ~hit).alias("blocked"))
 
 

@@ -208,5 +208,5 @@ def sample_eligibility(spark, sf_dir):
 @fam.query("WITH s AS (SELECT DISTINCT o_custkey AS serial FROM orders WHERE o_orderstatus = 'P') SELECT r.i AS missing FROM (SELECT unnest(range(1, (SELECT max(serial) + 1 FROM s))) AS i) r ANTI JOIN s ON s.serial = r.i")
 def serial_gaps(spark, sf_dir):
     s = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("missing")).distinct()
-    top = s.agg(F.max("missing").alias("top"))
-    return top.select(F.explode(F.sequence(F.lit(1).cast("long"), "top")).alias("missing")).join(s, "missing", "left_anti")
+    top = s.agg(F.max("missing")).first()[0] or 0  # one number
+    return spark.range(1, top + 1).toDF("missing").join(s, "missing", "left_anti")

@@ -62,3 +62,13 @@ def test_near_duplicates_match_all_pairs(spark):
     got = {(r.a, r.b) for r in C.near_duplicate_pairs(df, "id", "w", "cls", 0.5).collect()}
     s = {i: set(w) for i, _, w in sets}
     assert got == {(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) / len(s[a] | s[b]) >= 0.5}
+
+
+def test_canonical_rows_with_nulls(spark):
+    rows = [(1, "a", None, "main"), (2, "a", False, "other"), (3, "a", False, "other"), (4, "b", None, "main"), (5, "b", None, "main"), (6, "c", False, "main")]
+    df = spark.createDataFrame(rows, "id long, digest string, excluded boolean, source string")
+    got = {r.digest: (r.n, r.canonical, r.ambiguous, r.blocked) for r in C.canonical_rows(df, "id", "digest", "excluded", F.col("source") == "main").collect()}
+    assert got == {"a": (3, 2, True, True), "b": (2, None, False, False)}
+    named = spark.createDataFrame([("a", 1), ("b", 6)], "digest string, canonical_id long")
+    got = {r.digest: (r.canonical, r.overridden, r.blocked) for r in C.canonical_rows(df, "id", "digest", "excluded", F.col("source") == "main", named).collect()}
+    assert got == {"a": (1, True, False), "b": (None, False, False)}
