@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from corpusloom.llm import bpe, exact_dedup, jaccard, packing, pii, quality, sharding, suffix_dedup, token_counts, toxicity
+from corpusloom.llm import bpe, exact_dedup, jaccard, mixing, packing, periodic_runs, pii, quality, sharding, suffix_dedup, token_counts, toxicity
 from corpusloom.llm._common import documents, labels
 
 
@@ -48,6 +48,14 @@ def op10_token_group_join(spark, sf_dir):
     return jaccard.join_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_classifier_chain, op2_risk_controlled_rules, op3_weak_supervision, op4_lpt_shards, op5_retrieval_packing, op6_chunk_recipes, op7_cover_suffixes, op8_separator_scan, op9_two_tier_bpe, op10_token_group_join)}
+def op11_harmonic_grid(spark, sf_dir):
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.planted(documents(spark, sf_dir))))
 
-ORACLES = {"op6_chunk_recipes": exact_dedup.ORACLE}
+
+def op12_hash_threshold_mix(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_classifier_chain, op2_risk_controlled_rules, op3_weak_supervision, op4_lpt_shards, op5_retrieval_packing, op6_chunk_recipes, op7_cover_suffixes, op8_separator_scan, op9_two_tier_bpe, op10_token_group_join, op11_harmonic_grid, op12_hash_threshold_mix)}
+
+ORACLES = {"op6_chunk_recipes": exact_dedup.ORACLE, "op12_hash_threshold_mix": mixing.ORACLE}
