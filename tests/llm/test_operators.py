@@ -529,10 +529,20 @@ def test_chunks_tile_and_clashes_fall_back(spark):
     texts = ["One sentence here. " * 200, "no marks at all " * 900, "x" * 10_000, ""]
     for t in texts:
         assert "".join(re.findall(exact_dedup.chunk_pattern(), t)) == t
-    rows = spark.createDataFrame([(1, "s", [5], [b"a"]), (2, "s", [5], [b"b"])], "doc_id long, text_sha256 string, ids array<long>, digests array<binary>")
+    rows = spark.createDataFrame([(1, b"o", "s", [5], [b"a"]), (2, b"o", "s", [5], [b"b"])], "doc_id long, own binary, text_sha256 string, ids array<long>, digests array<binary>")
     assert exact_dedup.verified(rows).select("recipe").distinct().count() == 2
 
 
+def test_clashing_identifiers_part_no_copies_and_join_no_strangers(spark, monkeypatch):
+    """All chunks get one identifier: the operator has to see it and compare digests."""
+    rows = [(1, "one text"), (2, "another"), (3, "one  text"), (4, None), (5, ""), (6, "One sentence here. " * 200), (7, "One sentence here. " * 200), (8, "one sentence here. " * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(5).cast("long"))
+    assert exact_dedup.recipes(docs).select(F.explode("ids")).distinct().count() == 1
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(docs).collect()}
+    assert got == {1: (1, 2, True), 2: (2, 1, True), 3: (1, 2, False), 4: (4, 2, True), 5: (4, 2, False), 6: (6, 2, True), 7: (6, 2, False), 8: (8, 1, True)}
+
+
 def test_keep_first_keeps_every_text(spark, docs, empty):
     rows = [(1, "dup", "a"), (5, "dup", "b"), (5, "only here", "c"), (7, "twice", "d"), (7, "twice", "e"), (None, "dup", "f"), (8, None, "g"), (9, "", "h"), (3, "x  y", "i"), (3, "x y", "j"), (3, "x\ty", "k")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, own string")  # a column of a name used inside
