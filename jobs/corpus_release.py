@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import cleaning as C
-from jobs._common import command_line_session, counted, log, settings
+from jobs._common import command_line_session, log, settings
 
 DECISION = "doc_id long, lang string, source string, n_words long, digest string, canonical long, reasons string, reason string"
 KEPT = "doc_id long, text string, n_words long, digest string"
@@ -57,22 +57,23 @@ def run(spark: SparkSession, documents: str, labels: str, out: str, release: str
     """Writes one release and returns its counts. Null texts are empty; null or blank languages and sources are
     `unknown`; a row without doc_id is left out ("no id"); rows that repeat doc_id and text alike are one row."""
     config = config or settings(spark, __file__)
-    docs, read = counted(spark.read.parquet(documents).select("doc_id", "text", "lang", "source"))
+    docs = spark.read.parquet(documents).select("doc_id", "text", "lang", "source")
     at = {name: f"{out}/{name}/release={release}" for name in ("decisions", "corpus", "report")}
-    first = F.substring_index("exclusion_reason", ";", 1)
-    every, judged = counted(decided(facts(docs, spark.read.parquet(labels).select("doc_id", "quality", "toxic"), config), config), kept=F.count_if(~F.col("excluded")))
-    every.select("doc_id", "lang", "source", "n_words", "digest", "canonical", F.col("exclusion_reason").alias("reasons"), F.coalesce(first, F.lit("none")).alias("reason")).write.mode("overwrite").partitionBy("reason").parquet(at["decisions"])
+    first = F.coalesce(F.substring_index("exclusion_reason", ";", 1), F.lit("none"))
+    every = decided(facts(docs, spark.read.parquet(labels).select("doc_id", "quality", "toxic"), config), config)
+    every.select("doc_id", "lang", "source", "n_words", "digest", "canonical", F.col("exclusion_reason").alias("reasons"), first.alias("reason")).write.mode("overwrite").partitionBy("reason").parquet(at["decisions"])
     decisions = spark.read.schema(DECISION).parquet(at["decisions"])
 
     kept = decisions.filter("reason = 'none'").select("doc_id", "digest", "n_words", F.col("lang").alias("_lang"), F.col("source").alias("_source"))
     text = F.coalesce("text", F.lit(""))
-    texts = spark.read.parquet(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text", T.content_hash(text).alias("digest"))
-    met = texts.join(kept, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
-    corpus, published = counted(met.select("doc_id", T.normalise(text).alias("text"), "n_words", "digest", F.col("_lang").alias("lang"), F.col("_source").alias("source")), words=F.coalesce(F.sum("n_words"), F.lit(0)))
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", T.content_hash(text).alias("digest")).join(kept, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    corpus = met.select("doc_id", T.normalise(text).alias("text"), "n_words", "digest", F.col("_lang").alias("lang"), F.col("_source").alias("source"))
     corpus.hint("rebalance", "lang", "source").write.mode("overwrite").partitionBy("lang", "source").parquet(at["corpus"])
     report = decisions.groupBy("lang", "source", "reason").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_words").alias("words"), F.count_if(F.contains("reasons", F.lit("duplicate"))).alias("duplicates"))
     report.write.mode("overwrite").partitionBy("lang").json(at["report"])
-    got = {"release": release, "read": read.get["rows"], "texts": judged.get["rows"], "published": published.get["rows"], "words": published.get["words"], "left_out": judged.get["rows"] - judged.get["kept"]}
+
+    texts, published, words = decisions.agg(F.count(F.lit(1)), F.count_if(F.col("reason") == "none"), F.coalesce(F.sum(F.when(F.col("reason") == "none", F.col("n_words"))), F.lit(0))).first()
+    got = {"release": release, "read": docs.count(), "texts": texts, "published": published, "words": words, "left_out": texts - published}
     log.info("corpus_release %(release)s: read %(read)d rows, %(texts)d distinct; published %(published)d with %(words)d words, left out %(left_out)d", got)
     return got
 

@@ -4,7 +4,8 @@ A corpus grows by files of documents, and a document may be sent again with anot
 no run has taken before (a file stream with a checkpoint, drained and ended), normalises the texts, refuses what is not
 fit for search, leaves out what has not changed, and writes the terms of the rest.
 
-    out/documents/batch=N/lang=..            one row a new or changed document: doc_id, seen_us, digest, n_words, reason
+    out/documents/batch=N/lang=..            one row a document that was sent: doc_id, seen_us, digest, n_words, reason,
+                                             status (new, changed, unchanged, stale, refused)
     out/postings/batch=N/lang=../bucket=..   its terms: doc_id, term, tf, dl; sorted by term within files
 
 A batch writes folders of its own and looks only at earlier ones, so that a batch which is broken off and run again
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import lexical_index
-from jobs._common import command_line_session, counted, log, settings
+from jobs._common import command_line_session, log, settings
 
-VERSION = "doc_id long, seen_us long, digest string, n_words long, reason string"
+VERSION = "doc_id long, seen_us long, digest string, n_words long, reason string, status string"
+STATUSES = ("new", "changed", "unchanged", "stale", "refused")
 POSTING = "doc_id long, term string, tf long, dl long"
 
 
@@ -51,7 +53,8 @@ def prepared(arrived: DataFrame, min_words: int) -> DataFrame:
 
 
 def versions(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(f"{VERSION}, batch long, lang string").parquet(f"{out}/documents")
+    sent = spark.read.schema(f"{VERSION}, batch long, lang string").parquet(f"{out}/documents")
+    return sent.filter(F.col("status").isin("new", "changed"))
 
 
 def newest_versions(known: DataFrame) -> DataFrame:
@@ -63,25 +66,24 @@ def take(arrived: DataFrame, batch: int, out: str, config: dict) -> dict:
     """One batch: what it writes, and how much of each kind it saw."""
     spark = arrived.sparkSession
     before = newest_versions(versions(spark, out).filter(F.col("batch") < batch)).select("doc_id", F.col("seen_us").alias("was_us"), F.col("digest").alias("was"), F.col("lang").alias("was_lang"))
-    arrived, read = counted(arrived)
-    # rows without doc_id cannot be told from one another: they are counted, and no version is made of them
+    # rows without doc_id cannot be told from one another: they are one refused row, and no version is made of them
     rows = prepared(arrived, config["min_words"]).join(before, "doc_id", "left")
     same = (F.col("digest") == F.col("was")) & (F.col("lang") == F.col("was_lang"))
     status = F.when(F.col("doc_id").isNull(), "refused").when(F.col("was").isNull(), "new").when(F.col("seen_us") < F.col("was_us"), "stale").when(same, "unchanged").otherwise("changed")
-    kinds = ["new", "changed", "unchanged", "stale"]
-    judged, seen = counted(rows.withColumn("status", status), **{k: F.count_if(F.col("status") == k) for k in kinds}, fit=F.count_if(F.col("status").isin("new", "changed") & F.col("reason").isNull()))
-    fresh = judged.filter(F.col("status").isin("new", "changed"))
 
     documents, postings = f"{out}/documents/batch={batch}", f"{out}/postings/batch={batch}"
-    fresh.select("doc_id", "seen_us", "digest", "n_words", "reason", "lang").write.mode("overwrite").partitionBy("lang").parquet(documents)
-    written = spark.read.schema(f"{VERSION}, lang string").parquet(documents).filter("reason IS NULL").select("doc_id", "lang")
-    fit = rows.filter("reason IS NULL").select("doc_id", "words")
-    terms = lexical_index.counted(fit, "doc_id", F.col("words")).filter("term IS NOT NULL").join(written, "doc_id")
+    rows.select("doc_id", "seen_us", "digest", "n_words", "reason", status.alias("status"), "lang").write.mode("overwrite").partitionBy("lang").parquet(documents)
+    written = spark.read.schema(f"{VERSION}, lang string").parquet(documents)
+    fit = written.filter("reason IS NULL AND status IN ('new', 'changed')").select("doc_id", "lang")
+    words = rows.filter("reason IS NULL").select("doc_id", "words")
+    terms = lexical_index.counted(words, "doc_id", F.col("words")).filter("term IS NOT NULL").join(fit, "doc_id")
     terms = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(config["term_buckets"])).cast("int"))
-    terms, kept = counted(terms)
     terms.hint("rebalance", "lang", "bucket").sortWithinPartitions("lang", "bucket", "term").write.mode("overwrite").partitionBy("lang", "bucket").parquet(postings)
-    got = {"batch": batch, "read": read.get["rows"], **{k: seen.get[k] for k in (*kinds, "fit")}, "postings": kept.get["rows"]}
-    log.info("index_intake batch %(batch)d: read %(read)d rows; new %(new)d, changed %(changed)d, unchanged %(unchanged)d, stale %(stale)d; wrote %(fit)d documents with %(postings)d postings", got)
+
+    # counts come from file footers and from the table of versions
+    kinds = {r.status: r["count"] for r in written.groupBy("status").count().collect()}
+    got = {"batch": batch, "read": arrived.count(), **{k: kinds.get(k, 0) for k in STATUSES}, "fit": fit.count(), "postings": spark.read.schema(f"{POSTING}, lang string, bucket int").parquet(postings).count()}
+    log.info("index_intake batch %(batch)d: read %(read)d rows; new %(new)d, changed %(changed)d, unchanged %(unchanged)d, stale %(stale)d, refused %(refused)d; wrote %(fit)d documents with %(postings)d postings", got)
     return got
 
 
