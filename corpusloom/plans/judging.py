@@ -19,12 +19,13 @@ def requests(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
-@fam.query("""WITH c AS (SELECT conv_id, 'opening' AS model, arg_min(text, turn) AS answer FROM conversations GROUP BY 1 UNION ALL SELECT conv_id, 'closing', arg_max(text, turn) FROM conversations GROUP BY 1 UNION ALL SELECT conv_id, 'longest', max(text) FROM conversations GROUP BY 1),
+@fam.query("""WITH c AS (SELECT conv_id, 'opening' AS model, arg_min(text, turn) AS answer FROM conversations GROUP BY 1 UNION ALL SELECT conv_id, 'closing', arg_max(text, turn) FROM conversations GROUP BY 1 UNION ALL SELECT conv_id, 'longest', arg_max(text, (length(text), -turn)) FROM conversations GROUP BY 1),
 l AS (SELECT *, chr((64 + row_number() OVER (PARTITION BY conv_id ORDER BY md5('7:' || conv_id || ':' || model), model))::INT) AS label, len(regexp_extract_all(answer, '\\S+'))::BIGINT AS score FROM c)
 SELECT conv_id, model, label, score, score = max(score) OVER (PARTITION BY conv_id) AS best FROM l""")
 def judged_answers(spark, sf_dir):
-    """Three answers of each conversation before a judge that does not know whose they are."""
-    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("opening"), F.max_by("text", "turn").alias("closing"), F.max("text").alias("longest"))
+    """Three answers of each conversation before a judge that does not know whose they are; of equally long ones the
+    earliest is the longest."""
+    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("opening"), F.max_by("text", "turn").alias("closing"), F.max_by("text", F.struct(F.length("text"), -F.col("turn"))).alias("longest"))
     c = t.select("conv_id", F.explode(F.create_map(*[x for m in ("opening", "closing", "longest") for x in (F.lit(m), F.col(m))])).alias("model", "answer"))
     return J.judged(c, "conv_id", "model", "answer", J.by_length, seed=7)
 

@@ -235,7 +235,8 @@ def script_ratios(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.coalesce(L.share_of(t, "[A-Za-z]") >= 0.8, F.lit(False)).alias("mostly_latin"), L.article_language(t).alias("language"))
 
 
-MESSAGE = "CASE turn % 7 WHEN 0 THEN text WHEN 1 THEN 'please summarize ' || left(text, 30) WHEN 2 THEN 'talk to me like a friend' WHEN 3 THEN 'can you recommend a book' WHEN 4 THEN 'stop roleplay' WHEN 5 THEN 'act as the prophet' ELSE 'give me a simple note' END"
+#: Whole texts, most of them with a sentence before or after them that a rule looks for.
+MESSAGE = "CASE turn % 7 WHEN 1 THEN 'please summarize ' || text WHEN 2 THEN text || ' talk to me like a friend' WHEN 3 THEN 'can you recommend a book. ' || text WHEN 4 THEN text || ' stop roleplay' WHEN 5 THEN 'act as the prophet. ' || text WHEN 6 THEN text || ' give me a simple note' ELSE text END"
 
 
 def messages(spark, sf_dir):
@@ -268,17 +269,18 @@ def conversation_roles_and_levels(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role_id"), L.explicit_level(said).alias("level"), L.impersonates(said, ~within).alias("refused"))
 
 
-@fam.query(r"""WITH m AS (SELECT conv_id, turn, CASE WHEN turn %% 2 = 0 THEN 'নামাজ পড়ার নিয়ম কী কী বলুন তো' WHEN turn %% 3 = 0 THEN 'আরো বলো' ELSE text END AS message, turn > 0 AS has_history FROM conversations)
+@fam.query(r"""WITH m AS (SELECT conv_id, turn, CASE WHEN turn %% 2 = 0 THEN 'নামাজ পড়ার নিয়ম কী কী বলুন তো ' || regexp_replace(text, '[A-Za-zÀ-ɏ]+', 'কথা', 'g') WHEN turn %% 3 = 0 THEN 'আরো বলো ' || text ELSE text END AS message, turn > 0 AS has_history FROM conversations)
 SELECT conv_id, turn, regexp_matches(message, '\p{L}') AND NOT regexp_matches(regexp_replace(message, '[ঀ-৿]', '', 'g'), '\p{L}')
  AND (NOT has_history OR (len(string_split_regex(trim(message), '\s+')) >= 6 AND NOT list_bool_or(list_transform(string_split('%s', '|'), lambda a: contains(message, a))))) AS skips FROM m""" % L.ANAPHORA)
 def condense_skips(spark, sf_dir):
-    said = F.when(F.col("turn") % 2 == 0, "নামাজ পড়ার নিয়ম কী কী বলুন তো").when(F.col("turn") % 3 == 0, "আরো বলো").otherwise(F.col("text"))
+    bengali = F.concat(F.lit("নামাজ পড়ার নিয়ম কী কী বলুন তো "), F.regexp_replace("text", "[A-Za-zÀ-ɏ]+", "কথা"))  # every word of the text as a Bengali one
+    said = F.when(F.col("turn") % 2 == 0, bengali).when(F.col("turn") % 3 == 0, F.concat(F.lit("আরো বলো "), "text")).otherwise(F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", L.skips_condensing(said, F.col("turn") > 0).alias("skips"))
 
 
 @fam.query()
 def small_talk_split(spark, sf_dir):
-    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("hi, thanks! "), "text")).when(F.col("turn") % 3 == 1, "assalamu alaikum, kemon achen?").otherwise(F.col("text"))
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("hi, thanks! "), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("assalamu alaikum, kemon achen? "), "text")).otherwise(F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", L.classify_small_talk(said).alias("s")).select("conv_id", "turn", "s.subtype", "s.remainder")
 
 
@@ -368,5 +370,5 @@ def draft_reasons(spark, sf_dir):
 @fam.query()
 def expanded_queries(spark, sf_dir):
     """Every turn rewritten by the stand-in, with its raw text where that gives no Bengali."""
-    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", M.expand_query(F.col("text")).alias("e"))
-    return m.select("conv_id", "turn", "e.variants", "e.fallback")
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return M.expand_query(m, "text").select("conv_id", "turn", "variants", "fallback")

@@ -6,6 +6,7 @@ do not pile up. Requests that come later than `late` behind the newest one are t
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,50 +27,74 @@ def kept_until(state: GroupState, us: int, *values) -> None:
         state.setTimeoutTimestamp(ms)
 
 
+def admits(held: list[int], t: int, limit: int, window_us: int) -> tuple[bool, int]:
+    """Whether a request at `t` may join the accepted times `held` (sorted), and how long it would have to wait: no window
+    (x - window, x] may hold more than `limit`, windows that end after a late request included."""
+    here = bisect_right(held, t)
+    after = [*held[:here], t, *held[here:]]
+    for i in range(max(0, here - limit), min(here + 1, len(after) - limit)):
+        if after[i + limit] - after[i] < window_us:
+            return False, after[i] + window_us - t
+    return True, 0
+
+
 def sliding_limit(requests: DataFrame, limit: int, window_us: int, late: str = "10 minutes") -> DataFrame:
-    """Accepts a request if fewer than `limit` accepted ones lie in (t - window, t]. The state of a key is the times of
-    its accepted requests that still count, so at most `limit` numbers."""
+    """Accepts a request if no window of `window_us` then holds more than `limit` accepted ones: for requests in order,
+    if fewer than `limit` lie in (t - window, t]. A late one is also weighed against those accepted before it came.
+
+    The state of a key is the sorted times of its accepted requests that a request may still meet: those not older than
+    the watermark by more than a window, so at most `limit` for each window since the watermark."""
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        still = state.getCurrentWatermarkMs() * 1000 - window_us
+        held = [x for x in (state.get[0] if state.exists else []) if x > still]
+        rows = pd.concat([b[["us", "event_id"]] for b in batches]).sort_values(["us", "event_id"])
         out = []
-        for event, t in zip(rows["event_id"], rows["us"], strict=True):
-            held = [x for x in held if x > t - window_us]
-            ok = len(held) < limit
-            out.append((key[0], event, ok, 0 if ok else (held[0] if held else t) + window_us - t))
-            held += [t] * ok
-        kept_until(state, (held[-1] if held else int(rows["us"].iloc[-1])) + window_us, held)
+        for event, t in zip(rows["event_id"].tolist(), rows["us"].tolist(), strict=True):
+            ok, wait = admits(held, t, limit, window_us)
+            out.append((key[0], event, ok, wait))
+            if ok:
+                insort(held, t)
+        kept_until(state, max([*held[-1:], int(rows["us"].iloc[-1])]) + window_us, held)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISION.split(", ")])
 
     timed = requests.withWatermark("ts", late)
     return timed.groupBy("user_id").applyInPandasWithState(decide, DECISION, "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def counts_of_days(days: list[int], taken: list[int], times: list[int], limit: int, day_us: int) -> tuple[dict[int, int], list[tuple[bool, int]]]:
+    """The counts of all open days after requests at `times`, and what was decided: late ones count for their own day."""
+    counts = dict(zip(days, taken, strict=True))
+    said = []
+    for t in times:
+        day = t // day_us
+        ok = counts.get(day, 0) < limit
+        counts[day] = counts.get(day, 0) + ok
+        said.append((ok, 0 if ok else (day + 1) * day_us - t))
+    return counts, said
+
+
 def daily_counter(requests: DataFrame, limit: int, day_us: int = 86_400_000_000, late: str = "10 minutes") -> DataFrame:
-    """Accepts the first `limit` requests of each key and UTC day."""
+    """Accepts the first `limit` requests of each key and UTC day, in the order in which they come. A key's state holds a
+    count for every day that the watermark has not passed, so that a late request counts for its own day and leaves the
+    others alone."""
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        day, taken = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        out = []
-        for event, t in zip(rows["event_id"], rows["us"], strict=True):
-            if t // day_us != day:
-                day, taken = t // day_us, 0
-            ok = taken < limit
-            taken += ok
-            out.append((key[0], event, ok, 0 if ok else (day + 1) * day_us - t))
-        kept_until(state, (int(day) + 1) * day_us, int(day), int(taken))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISION.split(", ")])
+        days, taken = state.get if state.exists else ([], [])
+        rows = pd.concat([b[["us", "event_id"]] for b in batches]).sort_values(["us", "event_id"])
+        counts, said = counts_of_days(list(days), list(taken), rows["us"].tolist(), limit, day_us)
+        open_days = sorted(d for d in counts if (d + 1) * day_us > state.getCurrentWatermarkMs() * 1000)
+        kept_until(state, (max(counts) + 1) * day_us, open_days, [counts[d] for d in open_days])
+        yield pd.DataFrame([(key[0], e, *d) for e, d in zip(rows["event_id"].tolist(), said, strict=True)], columns=[c.split()[0] for c in DECISION.split(", ")])
 
     timed = requests.withWatermark("ts", late)
-    return timed.groupBy("user_id").applyInPandasWithState(decide, DECISION, "day long, taken long", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("user_id").applyInPandasWithState(decide, DECISION, "days array<long>, taken array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def new_or_changed(current: DataFrame, arrived: DataFrame, key: str, version: str) -> DataFrame:

@@ -33,3 +33,33 @@ def test_limits_over_batches(spark, tmp_path):
     for u, e, t in sorted(rows, key=lambda r: r[2]):
         n = seen[u, t // (100 * MINUTE)] = seen.get((u, t // (100 * MINUTE)), 0) + 1
         assert daily[e] == (n <= 4)
+
+
+def test_late_requests_count_for_their_own_day(spark, tmp_path):
+    day = 1440 * MINUTE
+    parts = [[(1, 1, START + day), (1, 2, START + day + MINUTE)], [(1, 3, START + day - MINUTE)], [(1, 4, START + day + 3 * MINUTE), (1, 5, START + day - 2 * MINUTE), (1, 6, START + day - 3 * MINUTE), (2, 7, START + day)]]
+    day0 = START - START % day + day
+    parts = [[(u, e, t - START % day) for u, e, t in p] for p in parts]
+    assert all((t // day) in (day0 // day, day0 // day - 1) for p in parts for _, _, t in p)
+    got = {r.event_id: r.accepted for r in drained(limits.daily_counter(batches(spark, tmp_path, parts), 2, day, "1 day")).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: True, 7: True}  # 6 comes before 5 in its batch
+
+
+def test_late_requests_and_sliding_windows(spark, tmp_path):
+    at = lambda *minutes: [(1, m, START + m * MINUTE) for m in minutes]
+    stream = batches(spark, tmp_path, [at(100, 150, 200), at(140), at(145, 205, 210), at(301)])
+    got = {r.event_id: (r.accepted, r.wait_us // MINUTE) for r in drained(limits.sliding_limit(stream, 2, 100 * MINUTE, "1 day")).collect()}
+    assert got == {100: (True, 0), 150: (True, 0), 200: (True, 0), 140: (False, 60), 145: (False, 55), 205: (False, 45), 210: (False, 40), 301: (True, 0)}
+
+
+def test_windows_never_hold_more_than_the_limit():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        held, limit, window = [], rng.randint(1, 4), rng.randint(1, 30)
+        for t in [rng.randrange(100) for _ in range(60)]:
+            ok, wait = limits.admits(held, t, limit, window)
+            new = sorted([*held, t])
+            assert ok == all(sum(x - window < y <= x for y in new) <= limit for x in new) and (ok or wait > 0 or t < max(held))
+            held = new if ok else held

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusloom import registry
@@ -90,10 +91,36 @@ def test_draft_reasons(spark):
 
 def test_expand_query(spark):
     b, c = "নামাজ পড়ার নিয়ম", "রোজার নিয়ম"
-    cases = [  # query, primed, first and second reply, wanted
+    cases: list = [  # query, primed, first and second reply, wanted
         ("  ", None, b, b, ([], False)), (b, c, c, c, ([b], False)), ("prayer", c, b, b, ([c], False)), ("prayer", "no", b, c, ([b], False)), ("prayer", None, "no", c, ([c], False)),
         ("prayer", None, "", c, ([c], False)), ("prayer", None, None, c, (["prayer"], True)), ("prayer", None, "no", "no", (["prayer"], True)), (None, None, b, b, ([], False)), ("নামাজে khushu", None, b, c, ([b], False)),
     ]
-    df = spark.createDataFrame([(i, *x[:4]) for i, x in enumerate(cases)], "i int, q string, p string, a string, b string")
-    got = df.select("i", M.expand_query(F.col("q"), F.col("p"), lambda q, n: F.col("ab"[n])).alias("e")).orderBy("i").collect()
-    assert [(r.e.variants, r.e.fallback) for r in got] == [x[4] for x in cases]
+    # each query has its own number, told back by the model, so that replies can differ
+    df = spark.createDataFrame([(i, q if not q or not q.isascii() or not q.strip() else f"{q} {i}", p) for i, (q, p, *_) in enumerate(cases)] * 2, "i int, q string, p string")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def model(prompts: pd.Series, attempt: pd.Series) -> pd.Series:
+        calls.add(len(prompts))
+        said = lambda p, n: cases[9 if p.startswith("নামাজে") else int(p.split()[-1])][2 + n]
+        return pd.Series([said(p, n) for p, n in zip(prompts, attempt, strict=True)])
+
+    out = M.expand_query(df, "q", "p", lambda q, n: model(q, F.lit(n)))
+    got = out.orderBy("i").collect()
+    want = [([f"{v} {i}" if v == "prayer" else v for v in variants], raw) for i, (*_, (variants, raw)) in enumerate(cases)]
+    assert [(r.variants, r.fallback) for r in got] == [w for w in want for _ in range(2)]
+    out.count()
+    # first calls: 3 to 7 and 9, once for each distinct query; second calls: 4, 5 and 7; none for empty, Bengali or primed ones
+    assert calls.value == 6 + 3
+
+
+def test_no_calls_where_none_is_needed(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def model(prompts: pd.Series) -> pd.Series:
+        calls.add(len(prompts))
+        return prompts
+
+    df = spark.createDataFrame([("",), (None,), ("নামাজ পড়ার নিয়ম",), (" \n",)] * 5, "q string")
+    assert M.expand_query(df, "q", None, lambda q, n: model(q)).filter("fallback").count() == 0 and calls.value == 0
