@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import retrieval as R
+from corpusloom.operators import vector_index as VI
 from corpusloom.plans._base import Family, table
+from corpusloom.streaming.sinks import shared_dir
 
 fam = Family()
 QUERIES, ORACLES = fam.queries, fam.oracles
@@ -146,6 +148,28 @@ def dense_topk(spark, sf_dir):
     return R.top_k(dense(spark, sf_dir).drop("label"), "query_id", "vec_id", 25)
 
 
+def indexed(spark, sf_dir) -> tuple[VI.VectorIndex, DataFrame]:
+    """The stored index of all embeddings, and those that ask."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return VI.stored(e, "vec_id", "embedding", shared_dir(spark)), e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+
+
+@fam.query(DENSE_SQL + " SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sims QUALIFY rank <= 25")
+def dense_topk_indexed(spark, sf_dir):
+    """dense_topk through the inverted-file index: no query is compared with every vector, and no result is lost."""
+    index, asked = indexed(spark, sf_dir)
+    return VI.search_exact(index, asked, "query_id", "qv", 25)
+
+
+@fam.query()
+def vector_index_recall(spark, sf_dir):
+    """Of each query's ten best, how many the approximate search finds in its nearest cells."""
+    index, asked = indexed(spark, sf_dir)
+    all_ = VI.search_exact(index, asked, "query_id", "qv", 10).select("query_id", "vec_id")
+    near = VI.search(index, asked, "query_id", "qv", 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return all_.join(near, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("best"), F.count("hit").alias("found"))
+
+
 @fam.query(DENSE_SQL + " SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sims WHERE score >= 0.25 QUALIFY rank <= 25")
 def dense_min_similarity(spark, sf_dir):
     return R.top_k(dense(spark, sf_dir).drop("label").filter("score >= 0.25"), "query_id", "vec_id", 25)
