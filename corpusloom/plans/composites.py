@@ -11,6 +11,7 @@ from corpusloom.operators import models as M
 from corpusloom.operators import retrieval as R
 from corpusloom.plans import evaluation as E
 from corpusloom.plans import retrieval as P
+from corpusloom.operators.containment import contained
 from corpusloom.plans._base import Family, table
 
 fam = Family()
@@ -67,13 +68,13 @@ def chapters_nulls_last(spark, sf_dir):
 
 @fam.query("SELECT doc_id, (SELECT min(p_partkey) FROM part WHERE contains(lower(d.text), split_part(p_name, ' ', 1)) OR contains(d.text, p_brand)) AS book FROM documents d")
 def title_in_message(spark, sf_dir):
-    """The lowest id among titles that a text contains. Titles that read the same are matched once."""
+    """The lowest id among titles that a text contains: first words of names whatever their case, brands as they are."""
     p = table(spark, sf_dir, "part")
-    names = p.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("t"), F.lit(True).alias("fold"), "p_partkey").union(p.select("p_brand", F.lit(False), "p_partkey"))
-    titles = names.groupBy("t", "fold").agg(F.min("p_partkey").alias("p_partkey"))
+    words = p.select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("title"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower("text").alias("low"))
-    hit = F.when(F.col("fold"), F.contains("low", "t")).otherwise(F.contains("text", "t"))
-    return d.join(titles, hit, "left").groupBy("doc_id").agg(F.min("p_partkey").alias("book"))
+    by_word = contained(d, "doc_id", "low", words, "p_partkey", "title", least=True)
+    by_brand = contained(d, "doc_id", "text", p, "p_partkey", "p_brand", least=True)
+    return by_word.join(by_brand.withColumnRenamed("p_partkey", "b"), "doc_id").select("doc_id", F.least("p_partkey", "b").alias("book"))
 
 
 @fam.query("""WITH new AS (SELECT lower(trim(c_name)) || '@x.org' AS email, CASE c_custkey % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'root' ELSE 'user' END AS role, c_custkey FROM customer), known AS (SELECT lower(trim(c_name)) || '@x.org' AS email FROM customer WHERE c_acctbal < 0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import retrieval as R
+from corpusloom.operators.containment import contained
 from corpusloom.plans import retrieval as P
 from corpusloom.plans._base import Family, table
 
@@ -18,13 +19,12 @@ KS = [1, 3, 5, 10]
 
 
 def gold(spark, sf_dir) -> DataFrame:
-    """Documents that hold a question's opening."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("opening"))
+    """Documents that hold a question, whole."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.join(b, F.contains("text", "opening")).select("item_id", "doc_id")
+    return contained(d, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", "doc_id")
 
 
-GOLD = "gold AS (SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60)))"
+GOLD = "gold AS (SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
 RANKED = P.HYBRID_SQL + f", {GOLD}"
 METRICS = RANKED + """, g AS (SELECT item_id, count(*) AS n_gold FROM gold GROUP BY 1), n AS (SELECT item_id, max(rank) AS n FROM ranked GROUP BY 1),
 h AS (SELECT r.item_id, r.rank FROM ranked r SEMI JOIN gold USING (item_id, doc_id)),
