@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -23,6 +23,18 @@ def quoted(c):
     return F.concat(F.lit("'"), F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t")), F.lit("'"))
 
 
+def dumped(lines: DataFrame) -> DataFrame:
+    """`lines` (file, no, line) written as one text file for each `file`, and read again as dumps are."""
+    spark = lines.sparkSession
+    at = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    lines.repartition("file").sortWithinPartitions("file", "no").select("file", "line").write.partitionBy("file").text(at)
+    return D.numbered_lines(spark, at)
+
+
+def dump_of(path) -> Column:
+    return F.regexp_extract(path, "file=([^/]*)/", 1)
+
+
 def mysql_lines(spark, sf_dir) -> DataFrame:
     """A file for each source: an INSERT block of documents with a damaged line, and a block of another table."""
     d = table(spark, sf_dir, "documents")
@@ -33,13 +45,13 @@ def mysql_lines(spark, sf_dir) -> DataFrame:
     files = d.select(F.col("source").alias("file")).distinct()
     extra = [(0, "-- dump"), (1, "INSERT INTO `posts` (`id`, `lang`, `text`, `n`) VALUES"), (2, "(12, 'cut off"), (10_000_000, "INSERT INTO `users` (`id`, `name`) VALUES"), (10_000_001, "(1, 'nobody');")]
     fixed = files.crossJoin(spark.sql("SELECT * FROM VALUES " + ", ".join(f"({n}, r\"{t}\")" for n, t in extra) + " AS t(no, line)"))
-    return fixed.select("file", "no", "line").union(rows)
+    return dumped(fixed.select("file", "no", "line").union(rows))
 
 
 @fam.query("SELECT source AS file, doc_id, CASE WHEN doc_id % 6 > 0 THEN lang END AS lang, text, n_chars || '.5e0' AS n FROM documents")
 def mysql_dump_scan(spark, sf_dir):
     rows = D.by_name(D.mysql_rows(mysql_lines(spark, sf_dir), "posts").filter("vals IS NOT NULL"))
-    return rows.select("file", F.col("row")["id"].cast("long").alias("doc_id"), F.col("row")["lang"].alias("lang"), F.col("row")["text"].alias("text"), F.col("row")["n"].alias("n"))
+    return rows.select(dump_of("file").alias("file"), F.col("row")["id"].cast("long").alias("doc_id"), F.col("row")["lang"].alias("lang"), F.col("row")["text"].alias("text"), F.col("row")["n"].alias("n"))
 
 
 @fam.query("SELECT count(*) AS rows, count(DISTINCT source) AS skipped FROM documents")
@@ -70,13 +82,13 @@ def copy_lines(spark, sf_dir) -> DataFrame:
     files = d.select(F.col("source").alias("file")).distinct()
     extra = [(0, "SET transaction_timeout = 0;"), (1, "COPY public.docs (id, lang, body) FROM stdin;"), (2, "narrow"), (10_000_000, "\\."), (10_000_001, "COPY public.users (id) FROM stdin;"), (10_000_002, "1"), (10_000_003, "\\.")]
     fixed = files.crossJoin(spark.sql("SELECT * FROM VALUES " + ", ".join(f"({n}, r\"{t}\")" for n, t in extra) + " AS t(no, line)"))
-    return fixed.select("file", "no", "line").union(rows)
+    return dumped(fixed.select("file", "no", "line").union(rows))
 
 
 @fam.query("SELECT source AS file, doc_id, CASE WHEN doc_id % 6 > 0 THEN lang END AS lang, text AS body FROM documents")
 def copy_dump_scan(spark, sf_dir):
     r = F.col("row")
-    return D.copy_rows(copy_lines(spark, sf_dir), "docs").select("file", r["id"].cast("long").alias("doc_id"), r["lang"].alias("lang"), r["body"].alias("body"))
+    return D.copy_rows(copy_lines(spark, sf_dir), "docs").select(dump_of("file").alias("file"), r["id"].cast("long").alias("doc_id"), r["lang"].alias("lang"), r["body"].alias("body"))
 
 
 @fam.query("SELECT 'docs' AS \"table\", count(*) + count(DISTINCT source) AS n FROM documents UNION ALL SELECT 'users', count(DISTINCT source) FROM documents")
