@@ -43,8 +43,9 @@ BLOCK = 300_000
 HOT_TEXTS = 4096
 _HOT = np.uint64(1 << 63)
 _AGAIN = 1 << 15  # marks, beside a run's size, that its bytes are those of the run before
-#: Where a doc_id has several texts each is named by the rank of its doc_id and, in so many low bits, a number of its own.
-VARIANT_BITS, RANGES = 20, 200
+#: Where a doc_id has several texts each is named by the range and the rank of its doc_id and, in as many low bits as the
+#: doc_id with most texts needs, a number of its own.
+RANGES, RANK_BITS = 200, 55
 _BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 _ODD = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 
@@ -398,21 +399,26 @@ def named(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     if not texts.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").limit(1).count():
         return rows.withColumn("name", F.col("doc_id")), texts.withColumnRenamed("doc_id", "name"), 0
 
+    apart = texts.distinct()
+    bits = (apart.groupBy("doc_id").count().agg(F.max("count")).first()[0] - 1).bit_length()
+
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, rank, variant, base = None, 0, 0, TaskContext.get().partitionId() << 55
+        before, rank, variant, base = None, 0, 0, TaskContext.get().partitionId() << RANK_BITS
         for batch in batches:
             names = []
             for doc in batch.column("doc_id").to_pylist():
                 rank, variant = (rank, variant + 1) if doc == before else (rank + 1, 0)
                 before = doc
-                names.append(base | rank << VARIANT_BITS | variant)
+                if rank >> (RANK_BITS - bits):
+                    raise OverflowError(f"a range holds more doc_ids than {RANK_BITS - bits} bits can name")
+                names.append(base | rank << bits | variant)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], names=["doc_id", "key", "name"])
 
-    names = staged(texts.distinct().repartitionByRange(RANGES, "doc_id").sortWithinPartitions("doc_id", "key").mapInArrow(number, "doc_id long, key binary, name long"), "suffix-names")
+    names = staged(apart.repartitionByRange(RANGES, "doc_id").sortWithinPartitions("doc_id", "key").mapInArrow(number, "doc_id long, key binary, name long"), "suffix-names")
     own = rows.withColumn("key", text_key()).join(names, ["doc_id", "key"], "left").select("doc_id", "text", "name")
     named_texts = staged(texts.join(names, ["doc_id", "key"]).select("name", "key"), "suffix-keys")
     discard(texts)
-    return own, named_texts, VARIANT_BITS
+    return own, named_texts, bits
 
 
 def repeated_spans(own: DataFrame, texts: DataFrame, bits: int, hot_texts: int = HOT_TEXTS) -> DataFrame:
