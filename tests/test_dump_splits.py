@@ -22,7 +22,7 @@ def mysql_dump(rng, rows):
     for table in ("users", "posts", "users", "posts"):
         lines.append(f"INSERT INTO `{table}` (`id`, `said`) VALUES")
         for i in range(rows):
-            said = rng.choice(["it''s", "a\\'b", "c\\\\", "d;e", "é\\n", "(1, 'x');", "x" * rng.randint(0, 90)])
+            said = rng.choice(["it''s", "a\\'b", "c\\\\", "d;e", "é\\n", "(1, ''x'');", "x" * rng.randint(0, 90)])
             lines.append(f"({i}, '{said}')" + (";" if i == rows - 1 else ","))
             if table == "posts":
                 want[len(lines) - 1] = [str(i), D.unescaped(said)]
