@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranks import placed
+
 
 def duplicate_groups(rows: DataFrame, key: str, digest: Column) -> DataFrame:
     """digest, n, ids (sorted) of digests that more than one row has."""
@@ -73,7 +75,12 @@ def near_duplicate_pairs(rows: DataFrame, key: str, tokens: str, within: str, th
 
 
 def interleaved(rows: DataFrame, group: list[str], order: str) -> DataFrame:
-    """Adds turn and place: groups take turns, in the order in which they first appear."""
-    first = F.min(order).over(Window.partitionBy(*group))
-    turned = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*group).orderBy(order))).withColumn("_first", first)
-    return turned.withColumn("place", F.row_number().over(Window.orderBy("turn", "_first", order))).drop("_first")
+    """Adds turn and place, both from 1: groups take turns, in the order in which they first appear. Both are places in a
+    distributed order, so neither all rows nor those of one group meet in a task."""
+    keyed = rows.withColumn("_group", F.struct(*group))
+    inner = placed(keyed, ["_group", order], "_at")
+    starts = inner.groupBy("_group").agg(F.min("_at").alias("_start"), F.min(order).alias("_first"))
+    same = F.col("_group") == F.col("_own")
+    turned = inner.join(starts.withColumnRenamed("_group", "_own"), same).withColumn("turn", F.col("_at") - F.col("_start") + 1)
+    out = placed(turned.select(*rows.columns, "turn", "_first"), ["turn", "_first", order])
+    return out.withColumn("place", F.col("place") + 1).drop("_first")

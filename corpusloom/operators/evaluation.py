@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranks import selected
+
 
 def metrics_at(ranked: DataFrame, gold: DataFrame, query: str, key: str, ks: list[int]) -> DataFrame:
     """query, k, n_gold, hit, recall, mrr, precision for every query with gold keys. Recall divides by distinct gold
@@ -101,10 +103,9 @@ def overlap(scores: DataFrame) -> DataFrame:
     return ends.crossJoin(inside).select((F.col("pos_min") > F.col("neg_max")).alias("clean_split"), gap.alias("median_gap"), "inside", (gap < 0.15).alias("heavy"))
 
 
-def upper_median(c: str) -> Column:
-    """The element at n div 2 of the sorted values that are numbers."""
-    values = F.array_sort(F.collect_list(F.when(~F.isnan(c), F.col(c))))
-    return F.when(F.size(values) > 0, F.element_at(values, F.expr("1") + F.floor(F.size(values) / 2).cast("int")))
+def upper_medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group, upper_median: the element at n div 2 of each group's sorted values that are numbers."""
+    return selected(rows, group, value, F.floor(F.col("n") / 2)).withColumnRenamed(value, "upper_median")
 
 
 def family_split(records: DataFrame, key: str, family: str, stratum: list[str], share: float, seed: str) -> DataFrame:

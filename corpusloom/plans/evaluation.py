@@ -208,7 +208,8 @@ def model_ab_summary(spark, sf_dir):
 
 @fam.query(f"WITH {RUNS}, v AS (SELECT model, list_sort(list(value)) AS vs FROM runs GROUP BY model) SELECT model, round(list_avg(vs), 6) AS mean, vs[len(vs) // 2 + 1] AS upper_median, vs[1] AS least FROM v")
 def mean_upper_median_min(spark, sf_dir):
-    return model_runs(spark, sf_dir).groupBy("model").agg(F.round(F.avg("value"), 6).alias("mean"), E.upper_median("value").alias("upper_median"), F.min("value").alias("least"))
+    runs = model_runs(spark, sf_dir)
+    return runs.groupBy("model").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least")).join(E.upper_medians(runs, "model", "value"), "model")
 
 
 @fam.query(f"WITH {RUNS} SELECT model, metric, event_id, x FROM (SELECT model, 'slow' AS metric, event_id, value AS x, row_number() OVER (PARTITION BY model ORDER BY value DESC, event_id) AS r FROM runs UNION ALL SELECT model, 'tokens', event_id, k, row_number() OVER (PARTITION BY model ORDER BY k DESC, event_id) FROM runs) WHERE r <= 5")

@@ -9,6 +9,7 @@ from corpusloom.functions import identity as N
 from corpusloom.functions import language as L
 from corpusloom.functions import text as T
 from corpusloom.operators import models as M
+from corpusloom.operators.caches import least_recently_used
 from corpusloom.plans._base import Family, table
 
 fam = Family()
@@ -291,6 +292,16 @@ def memoised_rewrites(spark, sf_dir):
     return m.join(memo, "k").select("conv_id", "turn", "first_seen")
 
 
+@fam.query(r"""WITH w AS (SELECT conv_id, turn, unnest(words) AS k, generate_subscripts(words, 1) - 1 AS word FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS words FROM conversations)),
+o AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, word) AS i FROM w), p AS (SELECT *, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM o),
+d AS (SELECT a.i, count(b.i) AS apart FROM p a LEFT JOIN p b ON b.i > a.before AND b.i < a.i AND coalesce(b.before, 0) <= a.before WHERE a.before IS NOT NULL GROUP BY a.i)
+SELECT conv_id, turn, word, coalesce(apart < 512, false) AS hit FROM p LEFT JOIN d USING (i)""")
+def cached_word_lookups(spark, sf_dir):
+    """Which words of all turns, looked up one after the other, a cache of 512 would have held."""
+    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.words(F.col("text"))).alias("word", "k"))
+    return least_recently_used(w, ["conv_id", "turn", "word"], "k").withColumn("word", F.col("word").cast("long"))
+
+
 # ---- JSON, maps, dates -----------------------------------------------------------------------------------------------
 
 
