@@ -5,11 +5,6 @@ A ranking is a DataFrame with a query column, a key column and a rank from 1. Al
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,120 +13,17 @@ from corpusloom.functions import vectors
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
-def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """key, term, tf, dl: one row per term of a document; dl counts all its tokens."""
-    said = docs.select(key, tokens.alias("_t")).withColumn("dl", F.size("_t").cast("long"))
-    return said.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-
-
 def query_terms(queries: DataFrame, key: str, tokens: Column) -> DataFrame:
     """key, term: distinct terms of each query."""
     return queries.select(key, F.explode(F.array_distinct(tokens)).alias("term"))
 
 
-def bm25_scores(terms: DataFrame, posted: DataFrame, query: str, doc: str, sizes: DataFrame) -> DataFrame:
-    """query, doc, score (rounded to 6, above zero). `sizes`: one row with n (documents) and avgdl.
-
-    Postings are first cut down to the queries' terms, so that document frequencies and scores are worked out for those
-    alone; Spark broadcasts the terms only if their size allows."""
-    wanted = posted.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = wanted.join(df, "term").crossJoin(F.broadcast(sizes)).select("term", doc, weight.alias("w"))  # sizes is one row
-    return terms.join(weighted, "term").groupBy(query, doc).agg(F.round(F.sum("w"), 6).alias("score")).filter("score > 0")
-
-
-def corpus_sizes(docs: DataFrame, tokens: Column) -> DataFrame:
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
-
-
 def top_k(scored: DataFrame, query: str, key: str, k: int, score: str = "score") -> DataFrame:
     """Adds rank; the k best of each query, ties by key."""
     by = Window.partitionBy(query).orderBy(F.desc(score), key)
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
-#: Query terms up to which the terms go to the documents; beyond it postings are joined.
-SENT_TERMS = 2_000_000
-
-
-def bm25_top_k(docs: DataFrame, doc: str, doc_tokens: Column, queries: DataFrame, query: str, tokens: Column, k: int) -> DataFrame:
-    """query, doc, score (rounded to 6, above zero), rank: the k best of each query, ties by doc.
-
-    While the queries' terms are few enough to be sent, documents are scored where they are and each partition keeps
-    its own k best, so that a row is formed only for a candidate; else terms and postings meet in joins."""
-    if k <= 0:
-        return docs.select(F.lit(None).cast("long").alias(query), doc, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    terms = query_terms(queries, query, tokens)
-    if terms.limit(SENT_TERMS + 1).count() > SENT_TERMS:
-        return top_k(bm25_scores(terms, postings(docs, doc, doc_tokens), query, doc, corpus_sizes(docs, doc_tokens)), query, doc, k)
-    return top_k(_scored_in_place(docs.select(doc, doc_tokens.alias("_t")), doc, terms.toArrow(), query, dict(queries.dtypes)[query], k), query, doc, k)
-
-
-def _scored_in_place(docs: DataFrame, doc: str, terms: pa.Table, query: str, kind: str, k: int) -> DataFrame:
-    spark = docs.sparkSession
-    asked = terms.column(query).to_numpy()
-    names, at_query = np.unique(asked, return_inverse=True)
-    coded = terms.column("term").combine_chunks().dictionary_encode()
-    words, at_term = coded.dictionary, coded.indices.to_numpy()
-    order = np.argsort(at_term, kind="stable")
-    starts = np.searchsorted(at_term[order], np.arange(len(words) + 1))
-    sent = spark.sparkContext.broadcast((words, at_query[order], starts))
-    kinds = dict(docs.dtypes)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value[0]
-        for batch in batches:
-            lists = batch.column("_t")
-            sizes = lists.value_lengths().fill_null(0).to_numpy()
-            found = pc.index_in(lists.flatten(), value_set=words).fill_null(-1).to_numpy()
-            row = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)[found >= 0]
-            pair, tf = np.unique(row * (len(words) + 1) + found[found >= 0], return_counts=True)
-            ends = np.searchsorted(pair // (len(words) + 1), np.arange(len(sizes) + 1)).astype(np.int32)
-            as_list = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(doc), pa.array(sizes, pa.int64()), as_list((pair % (len(words) + 1)).astype(np.int32)), as_list(tf.astype(np.int32))], names=[doc, "dl", "ids", "tfs"])
-
-    held = docs.mapInArrow(encode, f"`{doc}` {kinds[doc]}, dl long, ids array<int>, tfs array<int>").persist()
-    n, mean = held.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(1.0))).first()
-    df = np.zeros(len(words))
-    for r in held.select(F.explode("ids").alias("i")).groupBy("i").count().collect():  # at most the terms sent
-        df[r.i] = r["count"]
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, queries, starts = sent.value
-        best_q, best_d, best_s = np.zeros(0, np.int64), None, np.zeros(0)
-        for batch in batches:
-            dl, ids, tfs = batch.column("dl").to_numpy(), batch.column("ids"), batch.column("tfs").flatten().to_numpy()
-            flat, ends = ids.flatten().to_numpy(), np.cumsum([0, *ids.value_lengths().to_numpy()])
-            step = max(1, 4_000_000 // len(names)) if len(names) else len(dl)  # rows of scores held at once
-            for low in range(0, len(dl) if len(names) else 0, step):
-                total = np.zeros((min(step, len(dl) - low), len(names)))
-                for i in range(len(total)):
-                    own = slice(ends[low + i], ends[low + i + 1])
-                    t, tf = flat[own], tfs[own]
-                    if len(t):
-                        w = idf[t] * tf / (tf + K1 * (1 - B + B * dl[low + i] / mean))
-                        sizes = starts[t + 1] - starts[t]
-                        where = np.repeat(starts[t] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                        total[i] = np.bincount(queries[where], np.repeat(w, sizes), len(names))
-                total = np.round(total, 6)
-                row, q = np.nonzero(total > 0)
-                d = batch.column(doc).take(pa.array(row + low))
-                best_d = d if best_d is None else pa.concat_arrays([best_d, d])
-                best_q, best_s = np.concatenate([best_q, q]), np.concatenate([best_s, total[row, q]])
-                order = np.lexsort((pc.rank(best_d).to_numpy(), -best_s, best_q)) if len(best_q) else np.zeros(0, np.int64)
-                ordered = best_q[order]
-                place = np.arange(len(order)) - np.searchsorted(ordered, ordered)
-                keep = order[place < k]
-                best_q, best_d, best_s = best_q[keep], best_d.take(pa.array(keep)), best_s[keep]
-        if best_d is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(names[best_q]), best_d, pa.array(best_s)], names=[query, doc, "score"])
-
-    return held.mapInArrow(score, f"`{query}` {kind}, `{doc}` {kinds[doc]}, score double")
-
-
 def dense_scores(queries: DataFrame, chunks: DataFrame, query: str, key: str) -> DataFrame:
     """query, key, score: exact cosine of every query vector `qv` with every chunk vector `cv`. Each query is compared
     with all chunks by design; Spark sends a small query side to the chunks and deals out blocks of a large one.

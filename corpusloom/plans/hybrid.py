@@ -13,6 +13,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions import vectors
 from corpusloom.operators import lexical_index as X
 from corpusloom.operators import retrieval as R
+from corpusloom.operators import vector_index as VI
 from corpusloom.plans._base import Family, table
 from corpusloom.plans.retrieval import COSINE, GRAM_TOKENS, WORD_TOKENS, bm25_sql
 from corpusloom.streaming.sinks import shared_dir
@@ -61,9 +62,10 @@ def vectors_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def dense_lists(spark, sf_dir) -> DataFrame:
-    """asked, doc_id, score, rank: similar documents of each form."""
+    """asked, doc_id, score, rank: similar documents of each form, from the stored index of vectors."""
     asked, held = vectors_of(spark, sf_dir)
-    return R.top_k(R.dense_scores(asked.select("asked", "qv"), held, "asked", "doc_id").filter(F.col("score") >= AT_LEAST), "asked", "doc_id", FETCH)
+    index = VI.stored(held, "doc_id", "cv", shared_dir(spark))
+    return VI.search_exact(index, asked.select("asked", "qv"), "asked", "qv", FETCH).filter(F.col("score") >= AT_LEAST)
 
 
 def lexical_lists(spark, sf_dir) -> DataFrame:

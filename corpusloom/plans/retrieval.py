@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import lexical_index as X
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import vector_index as VI
 from corpusloom.plans._base import Family, table
@@ -45,9 +46,15 @@ def corpus(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
 
 
+#: Names of the ways to cut a text: an index is stored for each.
+TOKENIZERS = {T.words: "words", prefixes: "first four letters of words", T.tokens: "words and 3-5 n-grams"}
+
+
 def leg(spark, sf_dir, tokens, k: int = 25) -> DataFrame:
+    """The k best documents of each question, from the stored index of the corpus; it is built at its first use."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return R.bm25_top_k(corpus(spark, sf_dir).select("doc_id", "text"), "doc_id", tokens(text), benchmark(spark, sf_dir), "item_id", tokens(text), k)
+    index = X.stored(corpus(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", tokens(text), shared_dir(spark), TOKENIZERS[tokens])
+    return X.search(index, benchmark(spark, sf_dir), "item_id", tokens(text), k)
 
 
 @fam.query(f"WITH {bm25_sql('w', WORD_TOKENS, 25)} SELECT item_id, doc_id, score, rank FROM w_top")
@@ -65,9 +72,9 @@ def bm25_index_build(spark, sf_dir):
     """Builds the whole n-gram index, and returns its figures."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = corpus(spark, sf_dir).select("doc_id", "text")
-    posted = R.postings(d, "doc_id", T.tokens(text))
-    by_term = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
-    return by_term.agg(F.sum("df").alias("postings"), F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens")).crossJoin(R.corpus_sizes(d, T.tokens(text)).select(F.round("avgdl", 6).alias("avgdl")))
+    by_term = X.counted(d, "doc_id", T.tokens(text)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.avg("dl").alias("dl"))
+    real = F.col("term").isNotNull()  # the row without a term counts documents
+    return by_term.agg(F.sum(F.when(real, F.col("df"))).alias("postings"), F.count_if(real).alias("terms"), F.sum(F.when(real, F.col("tf"))).alias("tokens"), F.round(F.max(F.when(~real, F.col("dl"))), 6).alias("avgdl"))
 
 
 def hybrid(spark, sf_dir) -> DataFrame:
