@@ -12,6 +12,7 @@ from corpusloom.functions import text as T
 from corpusloom.plans._base import Family, table
 from corpusloom.sources import dumps as D
 from corpusloom.sources import files as S
+from corpusloom.sources.sqlite import SqliteFiles
 from corpusloom.streaming.sinks import shared_dir
 
 fam = Family()
@@ -175,3 +176,25 @@ def notes_by_key(spark, sf_dir):
     verses = c.select(F.col("conv_id").alias("sura"), F.col("turn").alias("verse"), F.concat("text", F.lit(" "), n, F.lit(" (ক) "), n).alias("text"))
     notes = c.select(F.col("conv_id").alias("sura"), F.when(F.expr("turn % 2 = 0"), F.col("turn")).otherwise(-F.col("turn")).cast("int").alias("key"), F.concat("role", F.col("turn").cast("string")).alias("note"))
     return S.with_notes(verses, notes).select(F.col("sura").alias("conv_id"), F.col("verse").alias("turn"), "notes", "orphans")
+
+
+@fam.query("SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS segment FROM customer")
+def sqlite_round_trip(spark, sf_dir):
+    """Customers written as SQLite files, one a task, and read again by ranges of row numbers."""
+    spark.dataSource.register(SqliteFiles)
+    at = f"{shared_dir(spark)}/sqlite-{uuid.uuid4().hex}"
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), F.when(F.expr("c_custkey % 5 > 0"), F.col("c_mktsegment")).alias("segment"))
+    c.repartition(4, "c_custkey").write.format("sqlite_files").option("table", "legacy customer").mode("append").save(at)
+    return spark.read.format("sqlite_files").schema(c.schema).option("table", "legacy customer").option("rows_per_task", 500).load(at)
+
+
+@fam.query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
+def sqlite_migration_resumed(spark, sf_dir):
+    """Line items of a SQLite copy that are new by their natural key: what was migrated before (finished orders) is left
+    out by an anti join."""
+    spark.dataSource.register(SqliteFiles)
+    at = f"{shared_dir(spark)}/sqlite-{uuid.uuid4().hex}"
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"))
+    items.write.format("sqlite_files").option("table", "items").mode("append").save(at)
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return spark.read.format("sqlite_files").schema(items.schema).option("table", "items").load(at).join(done, "l_orderkey", "left_anti")
