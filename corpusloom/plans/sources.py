@@ -104,7 +104,8 @@ def export_statements(spark, sf_dir):
     return s.select(F.regexp_extract("statement", r"VALUES \('(\d+)'", 1).cast("long").alias("c_custkey"), "statement")
 
 
-@fam.query()
+@fam.query("""WITH c AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL)
+SELECT quality, '{"quality":' || quality || ',"rows":[' || string_agg('{"toxic":' || toxic || ',"n":' || n || '}', ',' ORDER BY toxic, n) || ']}' AS report FROM c GROUP BY quality""")
 def json_reports(spark, sf_dir):
     counts = table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
     return S.report_json(counts, "quality")

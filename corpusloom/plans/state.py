@@ -159,17 +159,31 @@ def blocked_check(spark, sf_dir):
     return requests(spark, sf_dir).select("event_id", n.alias("failures"))
 
 
-@fam.query()
+def sliding_sql(rows: str, name: str, limit: int, window_us: int) -> str:
+    """CTEs {name}_o and {name}: user_id, i, event_id, us, accepted, wait_us, held: a request after the other of each user,
+    with the times of the accepted ones that still count."""
+    return f"""{name}_o AS (SELECT event_id, user_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM {rows}),
+{name} AS (SELECT user_id, i, event_id, us, true AS accepted, 0::BIGINT AS wait_us, [us] AS held FROM {name}_o WHERE i = 1
+ UNION ALL SELECT user_id, i, event_id, us, len(h) < {limit}, CASE WHEN len(h) < {limit} THEN 0 ELSE h[1] + {window_us} - us END, CASE WHEN len(h) < {limit} THEN list_append(h, us) ELSE h END
+ FROM (SELECT o.*, list_filter(f.held, lambda x: x > o.us - {window_us}) AS h FROM {name} f JOIN {name}_o o ON o.user_id = f.user_id AND o.i = f.i + 1))"""
+
+
+@fam.query(f"WITH RECURSIVE {REQ}, {sliding_sql('req', 'f', 3, DAY)} SELECT user_id, event_id, accepted, wait_us FROM f")
 def sliding_window_limiter(spark, sf_dir):
     return S.folded(requests(spark, sf_dir), "user_id", "us", "event_id", lambda: S.sliding_log(3, DAY), "wait_us")
 
 
-@fam.query()
+@fam.query(f"""WITH RECURSIVE {REQ}, o AS (SELECT event_id, user_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM req),
+f AS (SELECT user_id, i, event_id, us AS start, true AS accepted, 1::BIGINT AS taken FROM o WHERE i = 1
+ UNION ALL SELECT user_id, i, event_id, start, base < 2, base + (base < 2)::BIGINT FROM (SELECT o.user_id, o.i, o.event_id, CASE WHEN f.start <= o.us - {DAY} THEN o.us ELSE f.start END AS start, CASE WHEN f.start <= o.us - {DAY} THEN 0 ELSE f.taken END AS base FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))
+SELECT user_id, event_id, accepted, taken FROM f""")
 def guest_ip_window(spark, sf_dir):
     return S.folded(requests(spark, sf_dir), "user_id", "us", "event_id", lambda: S.anchored_window(2, DAY), "taken")
 
 
-@fam.query()
+@fam.query(f"""WITH RECURSIVE {REQ}, {sliding_sql('req', 'a', 3, DAY)}, one AS (SELECT event_id, user_id, us FROM a WHERE accepted), {sliding_sql('one', 'b', 1, HOUR)}, two AS (SELECT event_id, user_id, us FROM b WHERE accepted),
+three AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY user_id, us // {DAY} ORDER BY us, event_id) <= 2), four AS (SELECT * FROM three QUALIFY row_number() OVER (PARTITION BY us // {DAY} ORDER BY us, event_id) <= 50)
+SELECT event_id, 1 + (event_id IN (SELECT event_id FROM one))::BIGINT + (event_id IN (SELECT event_id FROM two))::BIGINT + (event_id IN (SELECT event_id FROM three))::BIGINT + (event_id IN (SELECT event_id FROM four))::BIGINT AS stages_passed FROM req""")
 def limit_chain(spark, sf_dir):
     """Address, owner, daily and budget limits one behind the other: what one rejects does not spend the next.
     The log knows users only: they stand for addresses and for owners."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.plans._base import Family
+from corpusloom.plans.state import sliding_sql
 from corpusloom.streaming import limits, windows
 from corpusloom.streaming.sinks import drained
 
@@ -55,6 +56,6 @@ def stream_daily_limit(spark, sf_dir):
     return drained(limits.daily_counter(stream(spark, sf_dir), 2)).select("user_id", "event_id", "accepted")
 
 
-@fam.query()
+@fam.query(f"WITH RECURSIVE req AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events), {sliding_sql('req', 'f', 3, DAY)} SELECT user_id, event_id, accepted, wait_us FROM f")
 def stream_sliding_limiter(spark, sf_dir):
     return drained(limits.sliding_limit(stream(spark, sf_dir), 3, DAY))
