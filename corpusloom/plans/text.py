@@ -120,10 +120,12 @@ def lexical_tokens(spark, sf_dir):
 
 
 W6 = r"regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')"
-NGRAM6 = f"(CASE WHEN len({W6}) >= 6 THEN list_distinct(list_transform(range(1, len({W6}) - 4), lambda i: array_to_string(list_slice({W6}, i, i + 5), ' '))) ELSE [] END)"
+def ngrams_sql(key: str, rows: str) -> str:
+    """key, s: distinct runs of six words of each row."""
+    return f"(SELECT {key}, unnest(list_distinct(list_transform(range(1, len(w) - 4), lambda i: array_to_string(list_slice(w, i, i + 5), ' ')))) AS s FROM (SELECT {key}, {W6} AS w FROM {rows}) WHERE len(w) >= 6)"
 
 
-@fam.query(f"WITH b AS (SELECT item_id, {NGRAM6} AS g FROM benchmark), d AS (SELECT doc_id, {NGRAM6} AS g FROM documents) SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, unnest(g) AS s FROM b) x JOIN (SELECT doc_id, unnest(g) AS s FROM d) y USING (s)")
+@fam.query(f"SELECT DISTINCT item_id, doc_id FROM {ngrams_sql('item_id', 'benchmark')} x JOIN {ngrams_sql('doc_id', 'documents')} y USING (s)")
 def shared_word_ngrams(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.word_ngrams(F.col("text"))).alias("s"))
     d = docs(spark, sf_dir).select("doc_id", F.explode(T.word_ngrams(F.col("text"))).alias("s"))
