@@ -178,7 +178,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
     as `ids` (little-endian unsigned 32-bit) if asked for.
 
     Null counts as empty; an empty text has no tokens and the digests of no bytes. Texts are encoded whole, one at a
-    time, whatever their length; repeated rows each; an empty table gives no rows. Other columns are not read.
+    time, whatever their length; repeated rows and rows without doc_id each; an empty table gives no rows. Other columns,
+    whatever they are called, are not read.
     """
     spark = docs.sparkSession
     data = spark.sparkContext.broadcast(read_vocabulary(vocabulary))  # a fixed file of a tokenizer

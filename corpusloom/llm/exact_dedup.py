@@ -73,7 +73,7 @@ def deduplicate(docs: DataFrame, lo: int = MIN_CHARS, hi: int = MAX_CHARS) -> Da
     A null text counts as empty, and all empty texts are one group (an empty recipe). Rows that repeat a doc_id are
     counted each; those with the smallest doc_id of their group are kept. A row without doc_id is kept by nothing: its
     `kept` is null. An empty table gives no rows. A group of a third of all rows is summed before it moves, and what is
-    known of it is brought to its rows by broadcast.
+    known of it is brought to its rows by broadcast. Only doc_id and text are read, whatever other columns are called.
     """
     return grouped(docs, lo, hi).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"

@@ -402,7 +402,8 @@ def join_components(docs: DataFrame, share: int = SHARE, words: int = WORDS) ->
 
     Null, empty and blank texts have no shingles and are their own component; a text with fewer than `words` words is
     one shingle. Rows that repeat a doc_id, with the same text or others, are linked through it. Rows whose doc_id is
-    null are linked with nothing and have no component. An empty table gives no rows. Very long texts are read whole.
+    null are linked with nothing and have no component. An empty table gives no rows. Very long texts are read whole. Only
+    doc_id and text are read, whatever other columns are called.
     """
     seed = 0
     while True:

@@ -221,7 +221,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     spans, n_added.
 
     Null counts as empty: no spans, the digest of no bytes. Texts are read whole at any length; repeated rows each; an
-    empty table gives no rows. Where no candidate is found nothing is trained and nothing is added.
+    empty table gives no rows. Where no candidate is found nothing is trained and nothing is added. Rows without doc_id are
+    searched like others. Only doc_id and text are read, whatever other columns are called. Of sure
+    candidates that overlap the one of the earlier kind stands, and none stands on a base span. The context labeler reads the
+    LEFT characters before a candidate, as cues stand right before what they announce: a cue farther off does not vote.
     """
     found = with_spans(docs.select("doc_id", "text"), fit(docs))
     of = lambda kind: F.size(F.filter("_base", lambda x: x["kind"] == ALL_KINDS.index(kind))).cast("long").alias(f"n_{kind}")

@@ -194,7 +194,9 @@ def quality_rules(docs: DataFrame, labelled: DataFrame, risk: float = RISK, delt
     Null, empty and blank texts have no words: they fail the base and are not kept. A null language is a stratum of
     its own; strata without labels, or with too few for the test to pass, have no cutoffs
     and face the base rules only, as the guarantee cannot be given there. Without labels no rule acts. A document that is
-    labelled both good and bad counts as good, so that cutoffs are the more careful. Repeated rows are judged each; an empty table gives no rows; columns with other names are not read.
+    labelled both good and bad counts as good, so that cutoffs are the more careful. Repeated
+    rows are judged each, and rows without doc_id by their text; an empty table gives no rows; columns with other names,
+    those used inside included, are not read. A figure that equals a cutoff passes.
     """
     found, chosen = cutoffs_for(docs, labelled, risk, delta)
     return judged(found, chosen)

@@ -83,7 +83,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rows_per_strip: int =
     slot, grown_shard.
 
     An empty table gives no rows. Repeated rows are rows of their own in the same group. Null and empty texts: see
-    `measured`. A group as large as a third of the table fills its shard alone; that is the price of never cutting it.
+    `measured`. A group as large as a third of the table fills its shard alone; that is the price of never cutting it. Rows
+    without doc_id are placed with the group of their text. Groups of one size are ties, told apart
+    by their digests.
     """
     rows = staged(measured(docs), "lpt-rows")
     groups = staged(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")), "lpt-groups")

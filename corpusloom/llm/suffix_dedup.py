@@ -441,7 +441,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot_texts: int = HO
     Null counts as empty: no bytes, nothing removed. Texts under WIDTH bytes neither lose nor cost anything. Rows that
     repeat a doc_id are not each other's repeats, whether their texts are equal or not; each loses of its own text what
     smaller doc_ids hold. Rows without doc_id have no place in the order: they are left whole. An empty table gives no
-    rows. Texts are read whole at any length.
+    rows. Texts are read whole at any length. Only doc_id and text are read, whatever other columns are called.
     """
     rows, texts, bits = named(docs)
     own = rows.join(repeated_spans(rows, texts, bits, hot_texts).hint("shuffle_hash"), "name", "left").select("doc_id", "text", "spans", "whole")

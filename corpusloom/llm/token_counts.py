@@ -140,7 +140,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, eod: int = EOD,
     flat files that the documents were written to.
 
     Null counts as empty: a document of no tokens. Repeated rows are documents of their own; an empty table gives no
-    rows; very long texts fill as many blocks as they need.
+    rows; very long texts fill as many blocks as they need. Rows without doc_id are written and counted like others. Only
+    doc_id and text are read, whatever other columns are called.
     """
     files = staged(flat_files(docs, vocabulary, pattern, eod, block_tokens), "flat-tokens")
     found = scan_separators(files.filter("tokens IS NOT NULL").select("file_id", "block_no", "tokens"), eod)

@@ -151,7 +151,8 @@ def classify(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, folds:
 
     Null and empty texts have no features: they get the intercepts' probabilities and are never called toxic.
     Without labels nothing is called toxic. Very long texts are read whole; their features are at most 2 ** BITS.
-    Repeated rows are scored each; an empty table gives no rows.
+    Repeated rows are scored each, and so are rows without doc_id, which no label can name; an empty table gives no rows.
+    A probability that equals the cutoff is toxic. Only doc_id and text are read, whatever other columns are called.
     """
     chain = fit(docs, labelled, sample, folds)
     shared = docs.sparkSession.sparkContext.broadcast((chain.models, chain.cutoffs))
