@@ -70,12 +70,7 @@ def repeated_sentences_dropped(spark, sf_dir):
 k AS (SELECT *, length(line) < 20 OR row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY pos) = 1 AS keep FROM l)
 SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (keep) AS text FROM k GROUP BY doc_id""")
 def repeated_lines_dropped(spark, sf_dir):
-    lines = F.split("text", "\n", -1)
-    fold = F.aggregate(lines, F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out")), lambda a, x: F.struct(
-        F.when((F.length(x) >= 20) & ~F.array_contains(a["seen"], F.lower(x)), F.array_append(a["seen"], F.lower(x))).otherwise(a["seen"]).alias("seen"),
-        F.when((F.length(x) < 20) | ~F.array_contains(a["seen"], F.lower(x)), F.array_append(a["out"], x)).otherwise(a["out"]).alias("out"),
-    ), lambda a: F.array_join(a["out"], "\n"))
-    return docs(spark, sf_dir).select("doc_id", fold.alias("text"))
+    return docs(spark, sf_dir).select("doc_id", T.without_repeated_lines(F.col("text")).alias("text"))
 
 
 #: DuckDB has no case folding; of the letters in these texts it parts from lower case in one.
