@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.graphs import kept, classes_of
 from corpusloom.operators.ranks import placed
 
 
@@ -74,6 +75,23 @@ def near_duplicate_pairs(rows: DataFrame, key: str, tokens: str, within: str, th
     return scored.filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
+def near_duplicate_classes(rows: DataFrame, key: str, tokens: str, within: str, threshold: float) -> DataFrame:
+    """One row a row: key, representative (the smallest key with the same token set), copies (rows with that set),
+    n_links (other token sets of the class `within` that are linked with it), class_id (smallest key that links reach).
+
+    Equal sets are one representative, so that copies are never paired; no link between different sets is lost. Rows
+    without tokens (none or null) stand for each other and are linked with nothing; a null `within` is linked with nothing."""
+    own = rows.select(F.col(key).alias("id"), F.col(within).alias("cls"), F.array_sort(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))).alias("set"))
+    own = own.withColumn("name", F.sha2(F.array_join("set", " ").cast("binary"), 256))  # tokens hold no spaces
+    reps = kept(own.groupBy("cls", "name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("set").alias("set")), "token-sets")
+    links = kept(near_duplicate_pairs(reps, "rep", "set", "cls", threshold).select("a", "b"), "near-links")
+    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    told = reps.select("cls", "name", "rep", "copies").join(degree, "rep", "left").join(classes_of(links).withColumnRenamed("id", "rep"), "rep", "left")
+    told = told.select(F.col("cls").alias("_c"), F.col("name").alias("_n"), F.col("rep").alias("representative"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
+    met = own.select("id", "cls", "name").join(told, F.col("cls").eqNullSafe(F.col("_c")) & (F.col("name") == F.col("_n")))
+    return met.select(F.col("id").alias(key), "representative", "copies", "n_links", "class_id")
+
+
 def interleaved(rows: DataFrame, group: list[str], order: str) -> DataFrame:
     """Adds turn and place, both from 1: groups take turns, in the order in which they first appear. Both are places in a
     distributed order, so neither all rows nor those of one group meet in a task."""

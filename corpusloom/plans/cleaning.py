@@ -124,6 +124,17 @@ def near_duplicate_texts(spark, sf_dir):
     return C.near_duplicate_pairs(firsts.select("id", w.alias("w"), "lang"), "id", "w", "lang", 0.72)
 
 
+@fam.query(f"""WITH RECURSIVE r AS (SELECT doc_id, lang, list_sort({TOKENS}) AS s FROM documents), t AS (SELECT lang, s, min(doc_id) AS id, count(*) AS copies FROM r GROUP BY ALL),
+p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s)) AS i, len(x.s) + len(y.s) AS n FROM t x JOIN t y ON x.lang = y.lang AND x.id < y.id AND len(x.s) > 0 AND len(y.s) > 0 AND least(len(x.s), len(y.s)) >= greatest(len(x.s), len(y.s)) * 0.72),
+q AS MATERIALIZED (SELECT a, b FROM p WHERE round(i / (n - i), 6) >= 0.72), l AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
+c AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+SELECT r.doc_id, t.id AS representative, t.copies, (SELECT count(*) FROM l WHERE l.a = t.id) AS n_links, coalesce((SELECT least(min(c.b), t.id) FROM c WHERE c.a = t.id), t.id) AS class_id FROM r JOIN t ON r.lang IS NOT DISTINCT FROM t.lang AND r.s = t.s""")
+def near_duplicate_classes(spark, sf_dir):
+    """Every document with the first of its token set, the links of that set to others, and the class they form."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}\p{M}_]+"), F.lit(0))
+    return C.near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", w.alias("w"), "lang"), "doc_id", "w", "lang", 0.72)
+
+
 @fam.query(f"""WITH {PAGES_SQL}, reasons AS (SELECT doc_id, 'orphan page' AS reason FROM pages_dim WHERE n_chars < 200 UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'low quality' FROM labels WHERE quality = 0)
 SELECT doc_id, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons FROM reasons GROUP BY doc_id""")
 def union_of_reasons(spark, sf_dir):

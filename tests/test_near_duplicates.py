@@ -1,0 +1,47 @@
+"""Classes of near duplicates against comparing every pair."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from corpusloom.operators.cleaning import near_duplicate_classes
+from corpusloom.operators.graphs import classes_of
+
+
+def test_classes_against_every_pair(spark):
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(60)}" for _ in range(12)] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(60)}"
+        rows.append((i, words, rng.choice(["en", "de"])))
+    rows += [(1000, [], "en"), (1001, None, "en"), (1002, [], None), (1003, ["a", "b"], None), (1004, ["b", "a", "a"], None)]
+    df = spark.createDataFrame(rows, "id long, words array<string>, lang string").withColumns({c: F.lit(7) for c in ("rep", "cls", "name", "copies")})
+    got = {r.id: (r.representative, r.copies, r.n_links, r.class_id) for r in near_duplicate_classes(df, "id", "words", "lang", 0.72).collect()}
+    assert len(got) == len(rows)
+    sets = {i: (g, frozenset(w or [])) for i, w, g in rows}
+    groups: dict = {}
+    for i, s in sets.items():
+        groups.setdefault(s, []).append(i)
+    rep = {i: min(groups[s]) for i, s in sets.items()}
+    linked = {r: set() for r in rep.values()}
+    for a in linked:
+        for b in linked:
+            (g, x), (h, y) = sets[a], sets[b]
+            if a != b and g is not None and g == h and x and y and round(len(x & y) / len(x | y), 6) >= 0.72:
+                linked[a].add(b)
+    for i in rep:
+        reach, todo = {rep[i]}, [rep[i]]
+        while todo:
+            todo = [b for a in todo for b in linked[a] if b not in reach]
+            reach |= set(todo)
+        assert got[i] == (rep[i], len(groups[sets[i]]), len(linked[rep[i]]), min(reach)), i
+    assert sum(n > 0 for _, _, n, _ in got.values()) > 20
+
+
+def test_classes_of_a_long_chain_and_of_nothing(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (301, 300)], "a long, b long")
+    assert {r.id: r.class_id for r in classes_of(chain).collect()} == {i: 0 for i in range(201)} | {300: 300, 301: 300}
+    assert classes_of(chain.filter("false")).count() == 0
