@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -28,11 +28,13 @@ from jobs._common import command_line_session, log, settings
 
 VERSION = "doc_id long, seen_us long, digest string, n_words long, reason string, status string"
 STATUSES = ("new", "changed", "unchanged", "stale", "refused")
+ARRIVAL = "doc_id long, text string, lang string"
 POSTING = "doc_id long, term string, tf long, dl long"
 
 
 def as_pattern(path: str) -> str:
     """A pattern that only `path` meets: a stream may then read a single file, or a folder that files are added to."""
+    path = path.rstrip("/")
     return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
 
 
@@ -94,7 +96,7 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str | None =
     config = config or settings(spark, __file__)
     for name, schema, parts in (("documents", f"{VERSION}, batch long, lang string", ["batch", "lang"]), ("postings", f"{POSTING}, batch long, lang string, bucket int", ["batch", "lang", "bucket"])):
         spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*parts).parquet(f"{out}/{name}")  # so that they can be read from the first batch on
-    raw = spark.readStream.schema(spark.read.parquet(documents).schema).option("maxFilesPerTrigger", config["max_files_per_batch"]).parquet(as_pattern(documents))
+    raw = spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", config["max_files_per_batch"]).parquet(as_pattern(documents))
     arrived = raw.select("doc_id", "text", "lang", F.col("_metadata.file_modification_time").alias("seen"))
     done: list[dict] = []
     query = arrived.writeStream.foreachBatch(lambda df, n: done.append(take(df, n, out, config))).option("checkpointLocation", checkpoint or f"{out}/checkpoint").trigger(availableNow=True).start()
@@ -112,6 +114,14 @@ def current(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     return known.select("doc_id", "lang", "digest", "n_words", "reason"), postings.join(live, ["doc_id", "batch"]).select("doc_id", "lang", "term", "tf", "dl")
 
 
+def search_index(spark: SparkSession, out: str) -> lexical_index.Index:
+    """The whole of what has been taken in, for `lexical_index.search`; it counts documents that are fit."""
+    documents, postings = current(spark, out)
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sizes = documents.filter("reason IS NULL").agg(F.count(F.lit(1)).alias("n"), F.avg("n_words").alias("avgdl"))
+    return lexical_index.Index("doc_id", postings, terms, sizes)
+
+
 def main() -> None:
     args = argparse.ArgumentParser(description=__doc__.split("\n")[0])
     for name, needed in (("documents", True), ("out", True), ("checkpoint", False), ("config", False)):

@@ -14,6 +14,7 @@ from pathlib import Path
 import duckdb
 import pytest
 from compare import cell
+from pyspark.sql import functions as F
 
 from jobs import corpus_release, index_intake, queries
 from jobs._common import settings
@@ -120,6 +121,28 @@ def test_intake_in_many_batches_and_of_nothing(spark, folder):
     assert indexed(spark, f"{folder}/none/out") == ({}, {})
 
 
+def test_search_over_what_was_taken_in(spark, folder):
+    """The same hits as from an index that is built at once of the newest texts."""
+    send(spark, folder, FIRST)
+    index_intake.run(spark, f"{folder}/documents/", f"{folder}/out")
+    send(spark, folder, SECOND)
+    index_intake.run(spark, f"{folder}/documents/", f"{folder}/out")
+    fit = {d for d, (_, reason) in plain(FIRST + SECOND)[0].items() if reason is None}
+    newest = {d: t for d, t, _ in FIRST + SECOND if d in fit}
+    words = index_intake.T.words
+    asked = spark.createDataFrame([(1, "a house by the river"), (2, "now or later"), (3, "nothing of it")], "q long, text string")
+    at_once = index_intake.lexical_index.stored(spark.createDataFrame(list(newest.items()), "doc_id long, text string"), "doc_id", "text", words(F.col("text")), f"{folder}/index", "words")
+    hits = lambda index: sorted(tuple(r) for r in index_intake.lexical_index.search(index, asked, "q", words(F.col("text")), 5).select("q", "doc_id", "score", "rank").collect())
+    assert hits(index_intake.search_index(spark, f"{folder}/out")) == hits(at_once) != []
+
+
+def test_intake_of_a_folder_without_files(spark, folder):
+    Path(f"{folder}/documents").mkdir()
+    assert index_intake.run(spark, f"{folder}/documents", f"{folder}/out") == []
+    send(spark, folder, FIRST)
+    assert [b["new"] for b in index_intake.run(spark, f"{folder}/documents", f"{folder}/out")] == [5]
+
+
 LABELS = "doc_id long, quality int, toxic int"
 
 
