@@ -67,6 +67,14 @@ def readable_seconds(s: Column) -> Column:
     return F.when(s < 90, F.concat(F.bround(s).cast("int").cast("string"), F.lit("s"))).when(s < 5400, F.format_string("%.1fmin", F.bround(s / 60, 1))).otherwise(F.format_string("%.1fh", F.bround(s / 3600, 1)))
 
 
+def rates(rows: DataFrame, by: str, micros: str, left: Column) -> DataFrame:
+    """by, n, per_second (of the time between its first and last row; null where that is none), to_go (how long `left`
+    more would take at that rate, readable)."""
+    took = (F.max(micros) - F.min(micros)) / 1_000_000
+    told = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.when(took > 0, F.count(F.lit(1)) / took).alias("_rate"), left.alias("_left"))
+    return told.select(by, "n", F.round("_rate", 6).alias("per_second"), F.when(F.col("_rate").isNotNull(), readable_seconds(F.col("_left") / F.col("_rate"))).alias("to_go"))
+
+
 def dumped(steps: list[tuple[str, DataFrame]], key: str) -> DataFrame:
     """One row for each step of a plan, in order: step_no, step, rows, keys (distinct), least and most of `key`."""
     out: DataFrame | None = None

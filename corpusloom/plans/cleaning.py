@@ -106,9 +106,8 @@ def empty_parents(spark, sf_dir):
 
 @fam.query("SELECT c_custkey, c_name, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def correlated_count(spark, sf_dir):
-    table(spark, sf_dir, "customer").createOrReplaceTempView("loom_customer")
-    table(spark, sf_dir, "orders").createOrReplaceTempView("loom_orders")
-    return spark.sql("SELECT c_custkey, c_name, (SELECT count(*) FROM loom_orders WHERE o_custkey = c_custkey) AS n_orders FROM loom_customer")
+    rows = {"c": table(spark, sf_dir, "customer"), "o": table(spark, sf_dir, "orders")}  # named for this statement only
+    return spark.sql("SELECT c_custkey, c_name, (SELECT count(*) FROM {o} WHERE o_custkey = c_custkey) AS n_orders FROM {c}", **rows)
 
 
 TOKENS = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'))"

@@ -63,6 +63,13 @@ def readable_durations(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", J.readable_seconds(s).alias("took"))
 
 
+@fam.query(f"""WITH {REQ}, r AS (SELECT user_id, count(*) AS n, CASE WHEN max(us) > min(us) THEN count(*) / ((max(us) - min(us)) / 1000000.0::DOUBLE) END AS rate, count(*) FILTER (event_type = 'error') AS todo FROM req GROUP BY user_id), s AS (SELECT *, todo / rate AS s FROM r)
+SELECT user_id, n, round(rate, 6) AS per_second, CASE WHEN s < 90 THEN round_even(s, 0)::INT || 's' WHEN s < 5400 THEN format('{{:.1f}}min', round_even(s / 60, 1)) WHEN s IS NOT NULL THEN format('{{:.1f}}h', round_even(s / 3600, 1)) END AS to_go FROM s""")
+def request_rates(spark, sf_dir):
+    """Requests a second of each user, and how long as many more as failed would take."""
+    return J.rates(requests(spark, sf_dir), "user_id", "us", F.count_if(F.col("event_type") == "error"))
+
+
 STEPS = [("read", "true"), ("long enough", "n_chars >= 200"), ("English", "n_chars >= 200 AND lang = 'en'"), ("of the first sources", "n_chars >= 200 AND lang = 'en' AND source < 'src2'")]
 
 
