@@ -14,6 +14,7 @@ from corpusloom.functions import vectors
 from corpusloom.operators import lexical_index as X
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import vector_index as VI
+from corpusloom.operators.graphs import kept
 from corpusloom.plans._base import Family, table
 from corpusloom.plans.retrieval import COSINE, GRAM_TOKENS, WORD_TOKENS, bm25_sql
 from corpusloom.streaming.sinks import shared_dir
@@ -64,6 +65,7 @@ def vectors_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def dense_lists(spark, sf_dir) -> DataFrame:
     """asked, doc_id, score, rank: similar documents of each form, from the stored index of vectors."""
     asked, held = vectors_of(spark, sf_dir)
+    held = kept(held, "letters")  # the build reads them several times
     index = VI.stored(held, "doc_id", "cv", shared_dir(spark))
     return VI.search_exact(index, asked.select("asked", "qv"), "asked", "qv", FETCH).filter(F.col("score") >= AT_LEAST)
 
@@ -90,7 +92,7 @@ SELECT item_id, doc_id, similarity, rerank_score, row_number() OVER (PARTITION B
 def dense_pipeline(spark, sf_dir):
     """Dense retrieval: best similarity over a question's forms, the cut, all candidates scored again, the first few."""
     pool = dense_lists(spark, sf_dir).groupBy(F.expr("asked div 2").alias("item_id"), "doc_id").agg(F.max("score").alias("similarity"))
-    candidates = R.top_k(pool, "item_id", "doc_id", FETCH, "similarity")
+    candidates = kept(R.top_k(pool, "item_id", "doc_id", FETCH, "similarity"), "candidates")  # read twice; a few rows a question
     return R.reranked(scored_again(spark, sf_dir, candidates), "item_id", TOP).select("item_id", "doc_id", "similarity", "rerank_score", "rank")
 
 
@@ -107,8 +109,9 @@ def hybrid_pipeline(spark, sf_dir):
     similarity, the best over the forms, even if only the lexical leg found it; all are scored again, then capped."""
     lists = dense_lists(spark, sf_dir).select("asked", "doc_id", "rank", F.expr("int(asked % 2)").alias("list_no"))
     lists = lists.unionByName(lexical_lists(spark, sf_dir).select("asked", "doc_id", "rank", F.expr("2 + int(asked % 2)").alias("list_no")))
-    pool = R.fused(lists.withColumn("item_id", F.expr("asked div 2")), "item_id", "doc_id").filter(F.col("rank") <= FETCH)
-    asked, held = vectors_of(spark, sf_dir)
-    near = pool.select("item_id", "doc_id").join(asked, "item_id").join(held, "doc_id").groupBy("item_id", "doc_id").agg(F.max(F.round(vectors.cosine(F.col("qv"), F.col("cv")), 6)).alias("similarity"))
+    pool = kept(R.fused(lists.withColumn("item_id", F.expr("asked div 2")), "item_id", "doc_id").filter(F.col("rank") <= FETCH), "pool")  # read three times
+    asked, _ = vectors_of(spark, sf_dir)
+    met = documents(spark, sf_dir).join(pool.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", letters(F.col("text")).alias("cv"))
+    near = pool.select("item_id", "doc_id").join(asked, "item_id").join(met, "doc_id").groupBy("item_id", "doc_id").agg(F.max(F.round(vectors.cosine(F.col("qv"), F.col("cv")), 6)).alias("similarity"))
     ordered = R.reranked(scored_again(spark, sf_dir, pool.join(near, ["item_id", "doc_id"])), "item_id", FETCH)
     return R.capped(ordered, "item_id", "source", A_SOURCE, TOP).select("item_id", "doc_id", "source", "score", "similarity", "rerank_score", "rank")
