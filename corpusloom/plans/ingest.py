@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ingest as I
+from corpusloom.operators.migrations import AddColumn, UniqueKey, migrated
 from corpusloom.plans._base import Family, table
 
 fam = Family()
@@ -146,3 +147,23 @@ def reject_reasons(spark, sf_dir):
 def tuple_in_filter(spark, sf_dir):
     keys = table(spark, sf_dir, "documents").filter("n_chars > 5000").select("doc_id", "source")
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source").join(keys, ["doc_id", "source"], "left_semi").select("doc_id", "text", F.coalesce("source", F.lit("src0")).alias("source"))
+
+
+STEPS = [AddColumn("excluded_from_index", "boolean", False), AddColumn("exclusion_reason", "string"), AddColumn("lang", "string", "xx"), UniqueKey(("doc_id",)), UniqueKey(("source", "text"))]
+
+
+@fam.query("SELECT doc_id, lang, n_chars, false AS excluded_from_index, NULL::VARCHAR AS exclusion_reason FROM documents")
+def migrated_documents(spark, sf_dir):
+    """Documents after their migration was run three times, once without a ledger: added columns are added once."""
+    once, ledger = migrated(table(spark, sf_dir, "documents"), None, STEPS)
+    again, _ = migrated(once, ledger, STEPS)
+    return migrated(again, None, STEPS)[0].select("doc_id", "lang", "n_chars", "excluded_from_index", "exclusion_reason")
+
+
+@fam.query("""WITH i AS (SELECT count(*) AS n FROM (SELECT 1 FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING count(*) > 1)), t AS (SELECT count(*) AS n FROM (SELECT 1 FROM documents WHERE text IS NOT NULL GROUP BY source, text HAVING count(*) > 1))
+SELECT 'add excluded_from_index' AS step, 'applied' AS outcome, 0::BIGINT AS duplicates UNION ALL SELECT 'add exclusion_reason', 'applied', 0 UNION ALL SELECT 'add lang', 'present', 0
+UNION ALL SELECT 'unique doc_id', CASE WHEN n > 0 THEN 'skipped' ELSE 'applied' END, n FROM i UNION ALL SELECT 'unique source, text', CASE WHEN n > 0 THEN 'skipped' ELSE 'applied' END, n FROM t""")
+def migration_ledger(spark, sf_dir):
+    """What the migration of documents says it has done, after a second run over the same table."""
+    once, ledger = migrated(table(spark, sf_dir, "documents"), None, STEPS)
+    return migrated(once, ledger, STEPS)[1]

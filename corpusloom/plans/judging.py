@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import judging as J
+from corpusloom.operators import routing as R
 from corpusloom.operators import state as S
+from corpusloom.operators.remote import Patience, Refused, Remote
 from corpusloom.plans._base import Family, table
 
 fam = Family()
@@ -78,3 +82,35 @@ def pipeline_steps(spark, sf_dir):
     """What is left after each step of a selection."""
     d = table(spark, sf_dir, "documents")
     return J.dumped([(name, d.filter(c)) for name, c in STEPS], "doc_id")
+
+
+ROUTES = R.Routes(default="broad", models={"broad": "max_tokens", "brief": "max_completion_tokens"}, tasks={"title": "brief"}, caps={"title": 12, "answer": 0})
+
+
+def stand_in_service() -> Remote:
+    """A service whose model says the first words of a prompt, as many as its cap. It is overloaded when first asked, and
+    refuses a cap under a name that its model does not know."""
+    asked = []
+
+    def send(payload, timeout):
+        model, parameters, prompts = payload
+        asked.append(model)
+        if len(asked) == 1:
+            raise Refused(429)
+        if set(parameters) - {ROUTES.models[model]}:
+            raise Refused(400)
+        cap = parameters.get(ROUTES.models[model])
+        return [f"{model}: " + " ".join(re.findall(r"[^\x20\x09-\x0D]+", p)[:cap]) for p in prompts]
+
+    return Remote(send, Patience(pause=0.0))
+
+
+@fam.query(r"""WITH c AS (SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'title' WHEN 'assistant' THEN 'answer' ELSE 'rules' END AS task, CASE WHEN contains(text, '?') THEN 5 END AS budget FROM conversations),
+r AS (SELECT *, CASE task WHEN 'title' THEN 'brief' ELSE 'broad' END AS model, coalesce(budget, CASE task WHEN 'title' THEN 12 END)::BIGINT AS cap, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM c)
+SELECT conv_id, turn, task, model, CASE WHEN cap IS NULL THEN '{}' ELSE '{"' || CASE model WHEN 'brief' THEN 'max_completion_tokens' ELSE 'max_tokens' END || '":' || cap || '}' END AS parameters,
+ model || ': ' || array_to_string(CASE WHEN cap IS NULL THEN words ELSE words[:cap] END, ' ') AS reply FROM r""".replace("\\\\x", "\\x"))
+def routed_calls(spark, sf_dir):
+    """Every turn is asked about: the task decides on the model and on the cap, questions have a budget of their own."""
+    task = F.when(F.col("role") == "user", "title").when(F.col("role") == "assistant", "answer").otherwise("rules")
+    calls = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", task.alias("task"), F.when(F.contains("text", F.lit("?")), 5).alias("budget"))
+    return R.answered(calls, "text", ROUTES, "task", stand_in_service, "budget").select("conv_id", "turn", "task", "model", "parameters", "reply")

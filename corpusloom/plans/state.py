@@ -181,9 +181,12 @@ def guest_ip_window(spark, sf_dir):
     return S.folded(requests(spark, sf_dir), "user_id", "us", "event_id", lambda: S.anchored_window(2, DAY), "taken")
 
 
-@fam.query(f"""WITH RECURSIVE {REQ}, {sliding_sql('req', 'a', 3, DAY)}, one AS (SELECT event_id, user_id, us FROM a WHERE accepted), {sliding_sql('one', 'b', 1, HOUR)}, two AS (SELECT event_id, user_id, us FROM b WHERE accepted),
+CHAIN_SQL = f"""WITH RECURSIVE {REQ}, {sliding_sql('req', 'a', 3, DAY)}, one AS (SELECT event_id, user_id, us FROM a WHERE accepted), {sliding_sql('one', 'b', 1, HOUR)}, two AS (SELECT event_id, user_id, us FROM b WHERE accepted),
 three AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY user_id, us // {DAY} ORDER BY us, event_id) <= 2), four AS (SELECT * FROM three QUALIFY row_number() OVER (PARTITION BY us // {DAY} ORDER BY us, event_id) <= 50)
-SELECT event_id, 1 + (event_id IN (SELECT event_id FROM one))::BIGINT + (event_id IN (SELECT event_id FROM two))::BIGINT + (event_id IN (SELECT event_id FROM three))::BIGINT + (event_id IN (SELECT event_id FROM four))::BIGINT AS stages_passed FROM req""")
+SELECT event_id, 1 + (event_id IN (SELECT event_id FROM one))::BIGINT + (event_id IN (SELECT event_id FROM two))::BIGINT + (event_id IN (SELECT event_id FROM three))::BIGINT + (event_id IN (SELECT event_id FROM four))::BIGINT AS stages_passed FROM req"""
+
+
+@fam.query(CHAIN_SQL)
 def limit_chain(spark, sf_dir):
     """Address, owner, daily and budget limits one behind the other: what one rejects does not spend the next.
     The log knows users only: they stand for addresses and for owners."""
@@ -191,7 +194,9 @@ def limit_chain(spark, sf_dir):
     one = r.join(S.folded(r, "user_id", "us", "event_id", lambda: S.sliding_log(3, DAY), "wait_us").filter("accepted").select("event_id"), "event_id")
     two = one.join(S.folded(one, "user_id", "us", "event_id", lambda: S.sliding_log(1, HOUR), "wait_us").filter("accepted").select("event_id"), "event_id")
     three = two.withColumn("ok", S.first_n(two, ["user_id", F.expr(f"us div {DAY}")], ["us", "event_id"], 2)).filter("ok").drop("ok")
-    four = three.withColumn("ok", S.first_n(three, [F.expr(f"us div {DAY}")], ["us", "event_id"], 50)).filter("ok")
+    day, order = F.expr(f"us div {DAY}"), ["us", "event_id"]
+    thinned = three.withColumn("ok", S.first_n(three, [day, F.pmod(F.xxhash64("event_id"), F.lit(16))], order, 50)).filter("ok")  # the first 50 of all are among the first 50 of each group
+    four = thinned.withColumn("ok", S.first_n(thinned, [day], order, 50)).filter("ok")
     stage = lambda df, name: df.select("event_id", F.lit(name).alias("passed"))
     stages = stage(r, "asked").union(stage(one, "address")).union(stage(two, "owner")).union(stage(three, "daily")).union(stage(four, "budget"))
     return stages.groupBy("event_id").agg(F.count(F.lit(1)).alias("stages_passed"))

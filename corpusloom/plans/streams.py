@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.plans._base import Family
-from corpusloom.plans.state import sliding_sql
-from corpusloom.streaming import limits, windows
-from corpusloom.streaming.sinks import drained
+from corpusloom.plans.state import CHAIN_SQL, sliding_sql
+from corpusloom.streaming import limits, ordered, windows
+from corpusloom.streaming.sinks import ROCKS, STORE, drained, setting
 
 fam = Family()
 QUERIES, ORACLES = fam.queries, fam.oracles
 
-DAY = 86_400_000_000
+DAY, HOUR = 86_400_000_000, 3_600_000_000
 
 
 def stream(spark, sf_dir) -> DataFrame:
@@ -59,3 +59,14 @@ def stream_daily_limit(spark, sf_dir):
 @fam.query(f"WITH RECURSIVE req AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events), {sliding_sql('req', 'f', 3, DAY)} SELECT user_id, event_id, accepted, wait_us FROM f")
 def stream_sliding_limiter(spark, sf_dir):
     return drained(limits.sliding_limit(stream(spark, sf_dir), 3, DAY))
+
+
+@fam.query(f"{CHAIN_SQL} WHERE us <= (SELECT (max(us) - 600000000) // 1000 * 1000 FROM req)")
+def stream_limit_chain(spark, sf_dir):
+    """Address, owner, daily and budget limits as four stages of one stream: the same decisions as limit_chain, for all
+    requests that the watermark has passed. The budget is one key a day, so it is thinned by groups first."""
+    user = F.col("user_id")
+    stages = [ordered.Stage(user, ordered.Sliding(3, DAY)), ordered.Stage(user, ordered.Sliding(1, HOUR)), ordered.Stage(user, ordered.Daily(2)), ordered.Stage(F.lit("all"), ordered.Daily(50), dealt=16)]
+    with setting(spark, STORE, ROCKS):
+        decided = drained(ordered.chained(stream(spark, sf_dir).select("ts", "us", "event_id", "user_id"), stages))
+    return decided.select("event_id", (1 + F.coalesce(ordered.REJECTED, F.lit(len(stages)))).cast("long").alias("stages_passed"))

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from corpusloom.streaming import limits
-from corpusloom.streaming.sinks import drained
+from corpusloom.streaming import limits, ordered
+from corpusloom.streaming.sinks import ROCKS, STORE, drained, setting
 
 MINUTE = 60_000_000
 START = 170_000 * 100 * MINUTE  # some day of 2002; a multiple of what counts as a day below
@@ -63,3 +63,39 @@ def test_windows_never_hold_more_than_the_limit():
             new = sorted([*held, t])
             assert ok == all(sum(x - window < y <= x for y in new) <= limit for x in new) and (ok or wait > 0 or t < max(held))
             held = new if ok else held
+
+
+def plain_chain(rows, stages):
+    """One request after the other: the stage that rejects each, or None."""
+    said, spent = {}, {}
+    for u, e, t in sorted(rows, key=lambda r: (r[2], r[1])):
+        said[e] = None
+        for n, (key, limit, window, by_day) in enumerate(stages):
+            own = spent.setdefault((n, key(u)), [])
+            if sum(x // window == t // window if by_day else x > t - window for x in own) >= limit:
+                said[e] = n
+                break
+            own.append(t)
+    return said
+
+
+def test_chained_limits_over_batches_with_late_requests(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), i, START + rng.randrange(600) * MINUTE) for i in range(260)]
+    rows += [(9, 1000, START + 600 * MINUTE), (9, 1001, START + 700 * MINUTE)]
+    comes = sorted(rows, key=lambda r: r[2] // MINUTE + (0 if r[1] >= 1000 else rng.randrange(55)))  # up to 55 minutes late
+    parts = [comes[i : i + 40] for i in range(0, len(comes), 40)]
+    day, user = 200 * MINUTE, F.col("user_id")
+    stages = [
+        ordered.Stage(user, ordered.Sliding(6, 60 * MINUTE)), ordered.Stage(user % 2, ordered.Sliding(4, 20 * MINUTE)), ordered.Stage(user, ordered.Daily(14, day)), ordered.Stage(F.lit("all"), ordered.Daily(25, day), dealt=3),
+    ]
+    plain = [(lambda u: u, 6, 60 * MINUTE, False), (lambda u: u if u is None else u % 2, 4, 20 * MINUTE, False), (lambda u: u, 14, day, True), (lambda u: 0, 25, day, True)]
+    with setting(spark, STORE, ROCKS):
+        out = drained(ordered.chained(batches(spark, tmp_path, parts).select("ts", "us", "event_id", "user_id"), stages, "60 minutes"))
+    got = [(r.event_id, r.rejected_by) for r in out.collect()]
+    want = plain_chain(rows, plain)
+    past = START + 640 * MINUTE
+    assert len(got) == len(dict(got)) and dict(got) == {e: want[e] for _, e, t in rows if t <= past}
+    assert set(want.values()) == {None, 0, 1, 2, 3} and spark.conf.get(STORE) != ROCKS
