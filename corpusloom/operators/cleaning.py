@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.graphs import kept, classes_of
+from corpusloom.operators.near_sets import candidates
 from corpusloom.operators.ranks import placed
 
 
@@ -59,20 +61,41 @@ def orphans(parents: DataFrame, children: DataFrame, key: str, foreign: str) ->
 
 
 def near_duplicate_pairs(rows: DataFrame, key: str, tokens: str, within: str, threshold: float) -> DataFrame:
-    """Pairs (a < b) of the same class whose token sets reach a Jaccard similarity. A pair must share one of either's
-    rarest tokens, so candidates come from an equi-join on prefixes of tokens in order of frequency."""
+    """Pairs (a < b) of the same class whose token sets reach a Jaccard similarity. Candidates share a signature
+    (`near_sets`); all of them are then compared by their tokens."""
     sets = rows.select(F.col(key).alias("id"), F.col(within).alias("cls"), F.array_distinct(tokens).alias("set")).filter(F.size("set") > 0)
-    flat = sets.select("id", "cls", F.size("set").alias("n"), F.explode("set").alias("token"))
-    df = flat.groupBy("cls", "token").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("cls", "id").orderBy("df", "token"))
-    prefix = flat.join(df, ["cls", "token"]).withColumn("i", place).filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    a, b = prefix.select(F.col("id").alias("a"), "cls", "token", F.col("n").alias("na")), prefix.select(F.col("id").alias("b"), "cls", "token", F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
-    pairs = a.join(b, ["cls", "token"]).filter(fits).select("a", "b").distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    scored = pairs.join(left, "a").join(right, "b").withColumn("jaccard", F.round(shared / (F.size("sa") + F.size("sb") - shared), 6))
-    return scored.filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    return linked(kept(sets.withColumn("no", F.monotonically_increasing_id()), "sets"), threshold)
+
+
+#: Sets of candidates' components that a task holds at once, at most twice over; larger components are cut into blocks.
+BLOCK_SETS = 2048
+
+
+def linked(sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, jaccard of stored `sets` (no: a number of its own, id, cls, set). Sets that candidates connect are brought
+    together once and compared there, so that a set does not move with each of its pairs."""
+    pairs = kept(candidates(sets.select("no", "cls", F.transform("set", lambda t: F.xxhash64(t)).alias("hashes")), threshold), "candidates")
+    of = classes_of(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    parts = of.groupBy("class_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts"))
+    at = kept(of.join(parts, "class_id").select("id", "class_id", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")), "places")
+    x, y = (at.select(F.col("id").alias(n), "class_id", F.col("part").alias(f"p{n}")) for n in ("x", "y"))
+    met = pairs.join(x, "x").join(y.drop("class_id"), "y").select(F.col("class_id").alias("c"), F.least("px", "py").alias("i"), F.greatest("px", "py").alias("j"), "x", "y")
+    other = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = sets.select("no", "id", "set").join(other.withColumnRenamed("id", "no"), "no").select(F.col("class_id").alias("_c"), F.least("part", "other").alias("_i"), F.greatest("part", "other").alias("_j"), "no", "id", "set")
+
+    def compare(asked: pa.Table, own: pa.Table) -> pa.Table:
+        place = {no: i for i, no in enumerate(own["no"].to_pylist())} if asked.num_rows else {}
+        words = [set(w) for w in own["set"].to_pylist()] if asked.num_rows else []
+        ids = own["id"].combine_chunks()
+        a, b = ([place[no] for no in asked[c].to_pylist()] for c in ("x", "y"))
+        shared = [len(words[i] & words[j]) for i, j in zip(a, b, strict=True)]
+        total = [len(words[i]) + len(words[j]) for i, j in zip(a, b, strict=True)]
+        return pa.table({"ix": ids.take(pa.array(a, pa.int64())), "iy": ids.take(pa.array(b, pa.int64())), "shared": pa.array(shared, pa.int32()), "total": pa.array(total, pa.int32())})
+
+    kind = dict(sets.dtypes)["id"]
+    counted = met.groupBy("c", "i", "j").cogroup(held.groupBy("_c", "_i", "_j")).applyInArrow(compare, f"ix {kind}, iy {kind}, shared int, total int")
+    scored = counted.withColumn("jaccard", F.round(F.col("shared") / (F.col("total") - F.col("shared")), 6))
+    return scored.filter((F.col("jaccard") >= threshold) & (F.col("ix") != F.col("iy"))).select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b"), "jaccard")
 
 
 def near_duplicate_classes(rows: DataFrame, key: str, tokens: str, within: str, threshold: float) -> DataFrame:
@@ -83,8 +106,8 @@ def near_duplicate_classes(rows: DataFrame, key: str, tokens: str, within: str,
     without tokens (none or null) stand for each other and are linked with nothing; a null `within` is linked with nothing."""
     own = rows.select(F.col(key).alias("id"), F.col(within).alias("cls"), F.array_sort(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))).alias("set"))
     own = own.withColumn("name", F.sha2(F.array_join("set", " ").cast("binary"), 256))  # tokens hold no spaces
-    reps = kept(own.groupBy("cls", "name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("set").alias("set")), "token-sets")
-    links = kept(near_duplicate_pairs(reps, "rep", "set", "cls", threshold).select("a", "b"), "near-links")
+    reps = kept(own.groupBy("cls", "name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("set").alias("set")).withColumn("no", F.monotonically_increasing_id()), "token-sets")
+    links = kept(linked(reps.select("no", F.col("rep").alias("id"), "cls", "set"), threshold).select("a", "b"), "near-links")
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     told = reps.select("cls", "name", "rep", "copies").join(degree, "rep", "left").join(classes_of(links).withColumnRenamed("id", "rep"), "rep", "left")
     told = told.select(F.col("cls").alias("_c"), F.col("name").alias("_n"), F.col("rep").alias("representative"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))

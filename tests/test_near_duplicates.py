@@ -45,3 +45,27 @@ def test_classes_of_a_long_chain_and_of_nothing(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (301, 300)], "a long, b long")
     assert {r.id: r.class_id for r in classes_of(chain).collect()} == {i: 0 for i in range(201)} | {300: 300, 301: 300}
     assert classes_of(chain.filter("false")).count() == 0
+
+
+def test_candidates_miss_no_pair_and_name_few_others(spark, monkeypatch):
+    """Sets of many sizes with planted near copies, in several buckets and blocks: every link, by comparing all pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import cleaning, near_sets
+
+    monkeypatch.setattr(near_sets, "BUCKET", 500)
+    monkeypatch.setattr(near_sets, "PAIRS", 50)
+    monkeypatch.setattr(cleaning, "BLOCK_SETS", 2)
+    rng = random.Random(3)
+    rows = []
+    for i in range(150):
+        words = [f"w{int(rng.paretovariate(0.5)) % 400}" for _ in range(rng.choice([1, 2, 3, 5, 8, 20, 60, 200]))]
+        rows += [(len(rows) + j, [w for w in words if j == 0 or rng.random() > 0.1], rng.choice(["a", "b"]) if i % 10 == 0 else "a") for j in range(3)]
+    df = spark.createDataFrame(rows, "id long, w array<string>, cls string")
+    want = {(a, b) for a, x, c in rows for b, y, d in rows if a < b and c == d and x and y and round(len({*x} & {*y}) / len({*x} | {*y}), 6) >= 0.72}
+    got = cleaning.near_duplicate_pairs(df, "id", "w", "cls", 0.72)
+    assert len(want) > 50 and {(r.a, r.b) for r in got.collect()} == want
+    hashed = df.select(F.col("id").alias("no"), "cls", F.transform(F.array_distinct("w"), lambda t: F.xxhash64(t)).alias("hashes"))
+    assert near_sets.candidates(hashed, 0.72).count() < 2 * len(want)
