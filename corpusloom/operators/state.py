@@ -31,6 +31,15 @@ def first_n(rows: DataFrame, by: list[Column | str], order: list[str], limit: in
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order)) <= limit
 
 
+def trailing_counts(rows: DataFrame, key: str, micros: str, window_us: int) -> DataFrame:
+    """`rows` with n, as `trailing_count` has it. A row also stands in the stretch of time behind its own, so that a task
+    holds two stretches of a key, not all of its rows."""
+    own = rows.withColumns({"_at": F.floor(F.col(micros) / window_us), "_own": F.lit(True)})
+    behind = own.filter(F.col(micros).isNotNull()).withColumns({"_at": F.col("_at") + 1, "_own": F.lit(False)})
+    n = F.count(F.lit(1)).over(Window.partitionBy(key, "_at").orderBy(micros).rangeBetween(-(window_us - 1), 0))
+    return own.unionByName(behind).withColumn("n", n).filter("_own").drop("_at", "_own")
+
+
 def trailing_count(key: str, micros: str, window_us: int) -> Column:
     """Requests of the key in (t - window, t], this one included."""
     return F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(micros).rangeBetween(-(window_us - 1), 0))

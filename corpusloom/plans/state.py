@@ -149,8 +149,8 @@ def guest_lifetime_quota(spark, sf_dir):
 
 @fam.query(f"WITH {REQ} SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN {HOUR - 1} PRECEDING AND CURRENT ROW) AS n, n > 3 AS over FROM req")
 def sliding_demand(spark, sf_dir):
-    n = S.trailing_count("event_type", "us", HOUR)
-    return requests(spark, sf_dir).select("event_id", n.alias("n"), (n > 3).alias("over"))
+    r = requests(spark, sf_dir).select("event_id", "event_type", "us")
+    return S.trailing_counts(r, "event_type", "us", HOUR).select("event_id", "n", (F.col("n") > 3).alias("over"))
 
 
 @fam.query(f"WITH {REQ} SELECT event_id, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW) AS failures FROM req")
