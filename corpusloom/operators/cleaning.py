@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,36 +67,82 @@ def near_duplicate_pairs(rows: DataFrame, key: str, tokens: str, within: str, th
     """Pairs (a < b) of the same class whose token sets reach a Jaccard similarity. Candidates share a signature
     (`near_sets`); all of them are then compared by their tokens."""
     sets = rows.select(F.col(key).alias("id"), F.col(within).alias("cls"), F.array_distinct(tokens).alias("set")).filter(F.size("set") > 0)
-    return linked(kept(sets.withColumn("no", F.monotonically_increasing_id()), "sets"), threshold)
+    return linked(kept(sets.withColumns({"n": F.size("set"), "no": F.monotonically_increasing_id()}), "sets"), threshold)
 
 
 #: Sets of candidates' components that a task holds at once, at most twice over; larger components are cut into blocks.
 BLOCK_SETS = 2048
+#: Pairs of every so many that sets could form, from which on all are counted by matrices, of so many rows and columns at once.
+DENSE, ROWS, COLUMNS = 16, 1024, 4096
+
+
+def overlaps(token: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many tokens sets a[i] and b[i] share; set s has the distinct numbers token[starts[s]:starts[s + 1]]."""
+    (left, x), (right, y) = (np.unique(side, return_inverse=True) for side in (a, b))
+    if len(a) * DENSE < len(left) * len(right):
+        words = {s: set(token[starts[s] : starts[s + 1]].tolist()) for s in np.union1d(left, right).tolist()}
+        return np.array([len(words[i] & words[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.int32)
+
+    def numbered(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and tokens of `sets`, by token."""
+        many = starts[sets + 1] - starts[sets]
+        at = np.arange(many.sum()) + np.repeat(starts[sets] - np.cumsum(many) + many, many)
+        order = np.argsort(token[at], kind="stable")
+        return np.repeat(np.arange(len(sets)), many)[order], token[at][order]
+
+    (row_l, token_l), (row_r, token_r) = numbered(left), numbered(right)
+    both = np.intersect1d(token_l, token_r)
+    out = np.zeros(len(a), np.int32)
+    pairs = np.argsort(x, kind="stable")
+    for top in range(0, len(left), ROWS):
+        here = pairs[np.searchsorted(x[pairs], top) : np.searchsorted(x[pairs], top + ROWS)]
+        rows = (row_l >= top) & (row_l < top + ROWS)
+        found = np.zeros((min(ROWS, len(left) - top), len(right)), np.float32)  # whole numbers below 2 ** 24 are exact
+        for at in range(0, len(both), COLUMNS):
+            some = both[at : at + COLUMNS]
+            sides = []
+            for row, held, n in ((row_l[rows] - top, token_l[rows], len(found)), (row_r, token_r, len(right))):
+                i, j = np.searchsorted(held, some[0]), np.searchsorted(held, some[-1], "right")
+                place = np.minimum(np.searchsorted(some, held[i:j]), len(some) - 1)
+                met = some[place] == held[i:j]
+                side = np.zeros((n, len(some)), np.float32)
+                side[row[i:j][met], place[met]] = 1
+                sides.append(side)
+            found += sides[0] @ sides[1].T
+        out[here] = found[x[here] - top, y[here]]
+    return out
 
 
 def linked(sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b, jaccard of stored `sets` (no: a number of its own, id, cls, set). Sets that candidates connect are brought
-    together once and compared there, so that a set does not move with each of its pairs."""
-    pairs = kept(candidates(sets.select("no", "cls", F.transform("set", lambda t: F.xxhash64(t)).alias("hashes")), threshold), "candidates")
-    of = classes_of(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    parts = of.groupBy("class_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts"))
-    at = kept(of.join(parts, "class_id").select("id", "class_id", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")), "places")
-    x, y = (at.select(F.col("id").alias(n), "class_id", F.col("part").alias(f"p{n}")) for n in ("x", "y"))
-    met = pairs.join(x, "x").join(y.drop("class_id"), "y").select(F.col("class_id").alias("c"), F.least("px", "py").alias("i"), F.greatest("px", "py").alias("j"), "x", "y")
+    """a, b, jaccard of stored `sets` (no: a number of its own, id, cls, set, n: its size). Sets that candidates connect are brought
+    together once and compared there, so that a set does not move with each of its pairs. Small components share a home,
+    as a group of rows costs a task more than comparing the few sets of one."""
+    hashed = sets.select("no", "cls", "n", F.transform("set", lambda t: F.xxhash64(t)).alias("hashes"))
+    pairs = kept(candidates(hashed, threshold), "candidates")
+    of = kept(classes_of(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
+    homes = math.ceil(of.count() / BLOCK_SETS)
+    count = F.count(F.lit(1))
+    parts = of.groupBy("class_id").agg(F.ceil(count / BLOCK_SETS).cast("int").alias("parts"), (count > BLOCK_SETS / 16).alias("alone"))
+    home = F.when(F.col("alone"), F.col("class_id")).otherwise(F.pmod(F.xxhash64("class_id"), F.lit(max(1, homes))))
+    at = kept(of.join(parts, "class_id").select("id", "alone", home.alias("home"), "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")), "places")
+    x, y = (at.select(F.col("id").alias(n), "alone", "home", F.col("part").alias(f"p{n}")) for n in ("x", "y"))
+    met = pairs.join(x, "x").join(y.drop("alone", "home"), "y").select("alone", "home", F.least("px", "py").alias("i"), F.greatest("px", "py").alias("j"), "x", "y")
     other = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    held = sets.select("no", "id", "set").join(other.withColumnRenamed("id", "no"), "no").select(F.col("class_id").alias("_c"), F.least("part", "other").alias("_i"), F.greatest("part", "other").alias("_j"), "no", "id", "set")
+    held = sets.select("no", "id", "set").join(other.withColumnRenamed("id", "no"), "no").select(F.col("alone").alias("_alone"), F.col("home").alias("_home"), F.least("part", "other").alias("_i"), F.greatest("part", "other").alias("_j"), "no", "id", "set")
 
     def compare(asked: pa.Table, own: pa.Table) -> pa.Table:
-        place = {no: i for i, no in enumerate(own["no"].to_pylist())} if asked.num_rows else {}
-        words = [set(w) for w in own["set"].to_pylist()] if asked.num_rows else []
-        ids = own["id"].combine_chunks()
-        a, b = ([place[no] for no in asked[c].to_pylist()] for c in ("x", "y"))
-        shared = [len(words[i] & words[j]) for i, j in zip(a, b, strict=True)]
-        total = [len(words[i]) + len(words[j]) for i, j in zip(a, b, strict=True)]
+        own = own if asked.num_rows else own.slice(0, 0)
+        ids, no, lists = (own[c].combine_chunks() for c in ("id", "no", "set"))
+        token = lists.flatten().dictionary_encode().indices.to_numpy()  # equal tokens, equal numbers
+        starts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]
+        order = np.argsort(no.to_numpy())
+        a, b = (order[np.searchsorted(no.to_numpy()[order], asked[c].to_numpy())] for c in ("x", "y"))
+        shared, total = overlaps(token, starts, a, b), np.diff(starts)[a] + np.diff(starts)[b]
         return pa.table({"ix": ids.take(pa.array(a, pa.int64())), "iy": ids.take(pa.array(b, pa.int64())), "shared": pa.array(shared, pa.int32()), "total": pa.array(total, pa.int32())})
 
     kind = dict(sets.dtypes)["id"]
-    counted = met.groupBy("c", "i", "j").cogroup(held.groupBy("_c", "_i", "_j")).applyInArrow(compare, f"ix {kind}, iy {kind}, shared int, total int")
+    by = ["alone", "home", "i", "j"]
+    counted = met.groupBy(*by).cogroup(held.groupBy(*[f"_{c}" for c in by])).applyInArrow(compare, f"ix {kind}, iy {kind}, shared int, total int")
     scored = counted.withColumn("jaccard", F.round(F.col("shared") / (F.col("total") - F.col("shared")), 6))
     return scored.filter((F.col("jaccard") >= threshold) & (F.col("ix") != F.col("iy"))).select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b"), "jaccard")
 
@@ -104,10 +153,12 @@ def near_duplicate_classes(rows: DataFrame, key: str, tokens: str, within: str,
 
     Equal sets are one representative, so that copies are never paired; no link between different sets is lost. Rows
     without tokens (none or null) stand for each other and are linked with nothing; a null `within` is linked with nothing."""
-    own = rows.select(F.col(key).alias("id"), F.col(within).alias("cls"), F.array_sort(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))).alias("set"))
+    own = rows.select(F.col(key).alias("id"), F.col(within).alias("cls"), F.sort_array(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))).alias("set"))
     own = own.withColumn("name", F.sha2(F.array_join("set", " ").cast("binary"), 256))  # tokens hold no spaces
-    reps = kept(own.groupBy("cls", "name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("set").alias("set")).withColumn("no", F.monotonically_increasing_id()), "token-sets")
-    links = kept(linked(reps.select("no", F.col("rep").alias("id"), "cls", "set"), threshold).select("a", "b"), "near-links")
+    own = kept(own.withColumns({"n": F.size("set"), "no": F.monotonically_increasing_id()}), "named-sets")
+    reps = kept(own.groupBy("cls", "name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("no").alias("no")), "representatives")
+    sets = kept(own.select("no", "cls", "set", "n").filter("n > 0").join(reps.select("no", F.col("rep").alias("id")).hint("shuffle_hash"), "no"), "token-sets")
+    links = kept(linked(sets, threshold).select("a", "b"), "near-links")
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     told = reps.select("cls", "name", "rep", "copies").join(degree, "rep", "left").join(classes_of(links).withColumnRenamed("id", "rep"), "rep", "left")
     told = told.select(F.col("cls").alias("_c"), F.col("name").alias("_n"), F.col("rep").alias("representative"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))

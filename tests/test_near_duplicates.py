@@ -69,3 +69,90 @@ def test_candidates_miss_no_pair_and_name_few_others(spark, monkeypatch):
     assert len(want) > 50 and {(r.a, r.b) for r in got.collect()} == want
     hashed = df.select(F.col("id").alias("no"), "cls", F.transform(F.array_distinct("w"), lambda t: F.xxhash64(t)).alias("hashes"))
     assert near_sets.candidates(hashed, 0.72).count() < 2 * len(want)
+
+
+def prose(n, rng, words=4000):
+    """Sets of unrelated invented prose: every text draws from the same words, few of them common."""
+    import numpy as np
+
+    odds = 1 / np.arange(1, words + 1)
+    return [np.unique(rng.choice(words, rng.integers(100, 200), p=odds / odds.sum())).astype(np.int64) for _ in range(n)]
+
+
+def test_unrelated_sets_are_rarely_compared_and_near_copies_not_once_a_token(monkeypatch):
+    """Sets of unrelated texts share rare words too; the pairs whose parities are counted are few of those of fit sizes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusloom.operators import near_sets
+
+    rng = np.random.default_rng(5)
+    copies = [np.union1d(x[rng.random(len(x)) > 0.02], [9000 + i]) for i, x in enumerate(prose(1, rng) * 60)]
+    asked, count = [], np.bitwise_count
+    monkeypatch.setattr(near_sets.np, "bitwise_count", lambda x: asked.append(len(x)) or count(x))
+
+    def looked_at(sets):
+        """Pairs that were compared, those found, and those of fit sizes."""
+        asked.clear()
+        t, n = 0.72 - 1e-6, np.array([len(s) for s in sets])
+        share = (1 - t) / (1 + t) + 1e-9
+        token, many = np.unique(np.concatenate(sets), return_counts=True)
+        weight = near_sets.spread(near_sets.mixed(token.view(np.uint64)), np.rint(16 * np.log2(len(sets) / many)).astype(np.uint16) + 1, 300)
+        hashes = pa.array([near_sets.mixed(s.view(np.uint64)).view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([7] * len(sets)), hashes], names=["no", "cls", "hashes"])
+        met: dict = {}
+        for own, k, odd, off, signs in near_sets.signed(batch, weight, share, t):
+            for c in np.unique(k):
+                of = np.flatnonzero(k == c)
+                place = np.full(len(k), -1)
+                place[of] = np.arange(len(of))
+                some = signs[k[signs["set"]] == c].copy()
+                some["set"] = place[some["set"]] + sum(len(x[0]) for x in met.get(c, []))
+                met.setdefault(c, []).append((own[of], np.stack([odd[off[i] : off[i + 1]] for i in of]), some))
+        found, compared = set(), 0
+        for parts in met.values():
+            asked.clear()
+            own, odd, signs = (np.concatenate(x) for x in zip(*parts, strict=True))
+            found |= {tuple(sorted(p)) for p in near_sets.paired(own, odd, signs, share, t).tolist()}
+            compared += sum(asked) // odd.shape[1]
+        fit = sum(min(a, b) >= 0.72 * max(a, b) for i, a in enumerate(n) for b in n[:i])
+        true = {(j, i) for i in range(len(sets)) for j in range(i) if round(len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])), 6) >= 0.72}
+        assert true <= found
+        return compared, len(found), fit
+
+    compared, found, fit = looked_at(prose(300, rng))
+    assert found == 0 and compared < 0.1 * fit
+    compared, found, fit = looked_at(copies)
+    assert found == fit == 60 * 59 / 2 and compared < 8 * found
+
+
+def test_small_components_share_a_group_of_rows(spark, monkeypatch):
+    """A task's cost is that of its groups of rows; a group each for thousands of components of two or three sets is most of the time."""
+    from corpusloom.operators import cleaning
+
+    frames, kept = {}, cleaning.kept
+    monkeypatch.setattr(cleaning, "kept", lambda df, what: frames.setdefault(what, kept(df, what)))
+    rows = [(3 * i + j, [f"w{i}-{k}" for k in range(12)] + [f"x{j}"], "a") for i in range(40) for j in range(3)]
+    df = spark.createDataFrame(rows, "id long, w array<string>, cls string")
+    got = {(r.a, r.b, r.jaccard) for r in cleaning.near_duplicate_pairs(df, "id", "w", "cls", 0.72).collect()}
+    assert got == {(3 * i + a, 3 * i + b, round(12 / 14, 6)) for i in range(40) for a, b in ((0, 1), (0, 2), (1, 2))}
+    groups = frames["places"].drop("id", "part").distinct()
+    assert frames["places"].count() == 120 and groups.count() < 5
+
+
+def test_overlaps_by_matrices_and_by_sets(monkeypatch):
+    import numpy as np
+
+    from corpusloom.operators import cleaning
+
+    rng = np.random.default_rng(0)
+    sets = [rng.permutation(np.unique(np.r_[np.flatnonzero(rng.random(40) < 0.9), rng.integers(0, 300, 10)])) for _ in range(60)]
+    token, starts = np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])]
+    a, b = np.array([(i, j) for i in range(60) for j in range(i) if (i + j) % 3]).T
+    want = [len({*sets[i]} & {*sets[j]}) for i, j in zip(a, b, strict=True)]
+    for dense, rows, columns in ((0, 1, 1), (16, 1024, 4096), (16, 7, 5)):
+        monkeypatch.setattr(cleaning, "DENSE", dense)
+        monkeypatch.setattr(cleaning, "ROWS", rows)
+        monkeypatch.setattr(cleaning, "COLUMNS", columns)
+        assert cleaning.overlaps(token, starts, a, b).tolist() == want
+    assert len(cleaning.overlaps(token, starts, a[:0], b[:0])) == 0
